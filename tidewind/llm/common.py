@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -47,3 +50,51 @@ def attach(rows: DataFrame, classes: DataFrame, key: str, count: str, total: int
     found = rows.join(F.broadcast(hot), key, "inner")
     other = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(rest, key, "left")
     return found.unionByName(other)
+
+
+def stream_groups(df: DataFrame, keys: list[str], order: list[str], each: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
+    """Run ``each(rows, group)`` over whole groups of equal integer ``keys``, many groups a call.
+
+    Rows come sorted, as a stream of batches; only a group that is still open is
+    held, so groups should be of bounded size.  ``group`` numbers the rows' groups.
+    """
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        held: list[pd.DataFrame] = []
+
+        def done(pdf: pd.DataFrame) -> pd.DataFrame:
+            key = pdf[keys].to_numpy()
+            new = np.ones(len(pdf), dtype=np.int64)
+            new[1:] = (key[1:] != key[:-1]).any(axis=1)
+            return each(pdf.reset_index(drop=True), np.cumsum(new) - 1)
+
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            key = pdf[keys].to_numpy()
+            last = key[-1]
+            cut = len(pdf) - int((key == last).all(axis=1).sum())
+            if cut == 0 and held and (held[-1][keys].to_numpy()[-1] == last).all():
+                held.append(pdf)
+                continue
+            whole = pd.concat([*held, pdf.iloc[:cut]]) if held else pdf.iloc[:cut]
+            if len(whole):
+                yield done(whole)
+            held = [pdf.iloc[cut:]]
+        if held:
+            yield done(pd.concat(held))
+
+    return df.repartition(tasks(df), *keys).sortWithinPartitions(*keys, *order).mapInPandas(run, schema)
+
+
+def join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
+    """Merge the classes of rows a[i] and b[i]; a label is the smallest row of its class."""
+    while len(a):
+        la, lb = labels[a], labels[b]
+        apart = la != lb
+        if not apart.any():
+            return
+        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
+        np.minimum.at(labels, np.maximum(la, lb), np.minimum(la, lb))
+        while not np.array_equal(labels, up := labels[labels]):
+            labels[:] = up

@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+import public_tokenizers
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidewind.llm import langid, quality, toxicity
+from tidewind.llm.bpe import encode_decode
 from tidewind.llm.common import read_table
+from tidewind.llm.html import extract
 from tidewind.llm.mixing import mix
+from tidewind.llm.paragraphs import repeated_paragraphs
 from tidewind.llm.sharding import uniform_shards
 from tidewind.llm.simhash import simhash_components
 from tidewind.llm.topk import top_k
@@ -36,10 +41,60 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dealt.select("doc_id", "size", "text_crc32", law, "shard", F.col("slot").cast("long"), grown)
 
 
+def held_out(fold: int, folds: int) -> Column:
+    """Whether a row's doc_id falls into the fold that nothing is learned from."""
+    return F.coalesce(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")) % folds == fold, F.lit(False))
+
+
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = extract(read_table(spark, sf_dir, "pages"))
+    return found.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), "n_boilerplate")
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = toxicity.train(docs.where(~held_out(0, 5)), labels.where(~held_out(0, 5)))
+    found = toxicity.score(docs, model).withColumn("held_out", held_out(0, 5))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    judged = quality.judge(docs, quality.train(docs, labels))
+    counts = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
+    return judged.select("doc_id", *counts, "base_failed", "kept", "quality_score")
+
+
+def op8_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = repeated_paragraphs(read_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "n_links", "n_removed", "source_doc_ids", "text")
+
+
+def op9_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents")
+    found = langid.identify(docs, langid.train(docs.where(~held_out(1, 3)))).withColumn("held_out", held_out(1, 3))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
+
+
+def digests(tokens: DataFrame) -> DataFrame:
+    n = F.expr("octet_length(ids) div 4").alias("n_tokens")
+    return tokens.select("doc_id", n, F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return digests(encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_top_k": op1_top_k,
+        "op2_html": op2_html,
         "op3_mixing": op3_mixing,
         "op4_simhash": op4_simhash,
         "op5_sharding": op5_sharding,
+        "op6_toxicity": op6_toxicity,
+        "op7_quality": op7_quality,
+        "op8_substring_dedup": op8_substring_dedup,
+        "op9_language": op9_language,
+        "op10_bpe": op10_bpe,
     }

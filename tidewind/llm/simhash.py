@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewind.llm.common import attach, materialize, tasks
+from tidewind.llm.common import attach, join_labels, materialize, stream_groups
 from tidewind.llm.components import connected_components
 
 SEED = 42
@@ -79,19 +79,6 @@ def _masks(blocks: int, equal: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in whole]
 
 
-def _join_labels(labels: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Merge the classes of a[i] and b[i]; a label is the smallest row of its class."""
-    while len(a):
-        la, lb = labels[a], labels[b]
-        apart = la != lb
-        if not apart.any():
-            return
-        a, b, la, lb = a[apart], b[apart], la[apart], lb[apart]
-        np.minimum.at(labels, np.maximum(la, lb), np.minimum(la, lb))
-        while not np.array_equal(labels, up := labels[labels]):
-            labels[:] = up
-
-
 def _bucket_links(fp: np.ndarray, group: np.ndarray, side: np.ndarray, refs: np.ndarray, limit: int) -> np.ndarray:
     """Spanning forest (pairs of row numbers) of the links inside each group.
 
@@ -114,7 +101,7 @@ def _bucket_links(fp: np.ndarray, group: np.ndarray, side: np.ndarray, refs: np.
         keep = np.abs(table[a] - table[b]).max(axis=1, initial=0) <= limit
         a, b = a[keep], b[keep]
         keep = np.bitwise_count(fp[a] ^ fp[b]) <= limit
-        _join_labels(labels, a[keep], b[keep])
+        join_labels(labels, a[keep], b[keep])
     rows = np.flatnonzero(labels != np.arange(len(fp)))
     return np.stack([rows, labels[rows]], axis=1)
 
@@ -139,38 +126,15 @@ def links(fps: DataFrame, max_distance: int = 3, blocks: int = 6, n_pivots: int
         .select("fp", "t", "k", F.explode(cells).alias("c"))
         .select("fp", "t", "k", "c.i", "c.j", F.when(F.col("c.i") == F.col("c.j"), -1).otherwise(F.col("c.s")).alias("s"))
         .withColumn("d", F.bit_count(F.col("fp").bitwiseXOR(F.lit(zero))))
-        .repartition(tasks(fps), "t", "k", "i", "j")
-        .sortWithinPartitions("t", "k", "i", "j", "d")
     )
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        held: list[pd.DataFrame] = []
-
-        def done(pdf: pd.DataFrame) -> pd.DataFrame:
-            key = pdf[["t", "k", "i", "j"]].to_numpy()
-            new = np.ones(len(pdf), dtype=bool)
-            new[1:] = (key[1:] != key[:-1]).any(axis=1)
-            group = np.cumsum(new)
-            many = np.bincount(group)[group] > 1
-            fp = pdf["fp"].to_numpy()[many]
-            pairs = _bucket_links(fp.view(np.uint64), group[many], pdf["s"].to_numpy()[many], refs, max_distance)
-            return pd.DataFrame({"a": fp[pairs[:, 0]], "b": fp[pairs[:, 1]]})
+    def each(pdf: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
+        many = np.bincount(group)[group] > 1
+        fp = pdf["fp"].to_numpy()[many]
+        pairs = _bucket_links(fp.view(np.uint64), group[many], pdf["s"].to_numpy()[many], refs, max_distance)
+        return pd.DataFrame({"a": fp[pairs[:, 0]], "b": fp[pairs[:, 1]]})
 
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            last = pdf[["t", "k", "i", "j"]].iloc[-1]
-            open_rows = (pdf[["t", "k", "i", "j"]] == last).all(axis=1).to_numpy()
-            if held and open_rows.all() and (held[-1][["t", "k", "i", "j"]].iloc[-1] == last).all():
-                held.append(pdf)  # one group over several batches, at most 2 * bucket_rows rows
-                continue
-            cut = len(pdf) - int(open_rows.sum())
-            yield done(pd.concat([*held, pdf.iloc[:cut]]))
-            held = [pdf.iloc[cut:]]
-        if held:
-            yield done(pd.concat(held))
-
-    return dealt.mapInPandas(run, "a long, b long")
+    return stream_groups(dealt, ["t", "k", "i", "j"], ["d"], each, "a long, b long")
 
 
 def simhash_components(docs: DataFrame, max_distance: int = 3, width: int = 3) -> DataFrame:
