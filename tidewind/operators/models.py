@@ -29,8 +29,8 @@ def to_bins(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T, strict=True)], axis=1)
 
 
-def grow(b: np.ndarray, grad: np.ndarray, hess: np.ndarray, depth: int, leaf: float, l2: float, columns: np.ndarray) -> list:
-    """A tree of squared loss as a list of nodes: (column, bin, left, right) or a value."""
+def grow(b: np.ndarray, grad: np.ndarray, hess: np.ndarray, depth: int, leaf: float, l2: float, columns: Callable[[], np.ndarray]) -> list:
+    """A tree of squared loss as a list of nodes: (column, bin, left, right) or a value; ``columns()`` are those that a split may use."""
     nodes: list = []
 
     def split(rows: np.ndarray, level: int) -> int:
@@ -40,7 +40,7 @@ def grow(b: np.ndarray, grad: np.ndarray, hess: np.ndarray, depth: int, leaf: fl
         if level == depth or h < 2 * leaf:
             return at
         best, choice = g * g / (h + l2) + 1e-12, None
-        for c in columns:
+        for c in columns():
             sums_g = np.bincount(b[rows, c], weights=grad[rows], minlength=BINS + 1).cumsum()
             sums_h = np.bincount(b[rows, c], weights=hess[rows], minlength=BINS + 1).cumsum()
             other_g, other_h = g - sums_g, h - sums_h
@@ -95,7 +95,7 @@ class Boosting:
             cols = np.sort(rng.permutation(x.shape[1])[: max(1, int(self.columns * x.shape[1]))])
             h = np.zeros(len(y))
             h[use] = 1
-            self.made.append(grow(b, (y - p) * h, h, self.depth, self.leaf, self.l2, cols))
+            self.made.append(grow(b, (y - p) * h, h, self.depth, self.leaf, self.l2, lambda cols=cols: cols))
             p += self.rate * walk(self.made[-1], b)
         return self
 
@@ -106,7 +106,7 @@ class Boosting:
 
 @dataclass
 class Forest:
-    """Bagged trees with a draw of the columns for each tree."""
+    """Bagged trees with a draw of the columns for each split."""
 
     trees: int = 200
     depth: int = 4
@@ -115,13 +115,12 @@ class Forest:
     seed: int = 42
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Forest:
-        rng = np.random.default_rng(self.seed)
+        rng, use = np.random.default_rng(self.seed), max(1, int(self.columns * x.shape[1]))
         self.edges, self.made = bin_edges(x), []
         b = to_bins(x, self.edges)
         for _ in range(self.trees):
             h = np.bincount(rng.integers(0, len(y), len(y)), minlength=len(y)).astype(float)
-            cols = np.sort(rng.permutation(x.shape[1])[: max(1, int(self.columns * x.shape[1]))])
-            self.made.append(grow(b, y * h, h, self.depth, self.leaf, 0.0, cols))
+            self.made.append(grow(b, y * h, h, self.depth, self.leaf, 0.0, lambda: np.sort(rng.permutation(x.shape[1])[:use])))
         return self
 
     def predict(self, x: np.ndarray) -> np.ndarray:
@@ -145,7 +144,7 @@ class BoostR2:
         b, w = to_bins(x, self.edges), np.full(len(y), 1 / len(y))
         for _ in range(self.trees):
             h = np.bincount(rng.choice(len(y), len(y), p=w), minlength=len(y)).astype(float)
-            tree = grow(b, y * h, h, self.depth, self.leaf, 0.0, np.arange(x.shape[1]))
+            tree = grow(b, y * h, h, self.depth, self.leaf, 0.0, lambda: np.arange(x.shape[1]))
             miss = np.abs(walk(tree, b) - y)
             if (top := miss.max()) <= 0:
                 self.made, self.say = [*self.made, tree], [*self.say, 1.0]
