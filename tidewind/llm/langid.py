@@ -31,7 +31,7 @@ def hash_share(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / float(1 << 53)
 
 
-def train(docs: DataFrame, max_rows: int = 3000, top: int = 20_000, longest: int = 4) -> dict:
+def train(docs: DataFrame, max_rows: int = 3000, top: int = 8_000, longest: int = 4) -> dict:
     """Model from ``docs(doc_id, text, lang)``, rows with a null lang or text left out.
 
     At most about ``max_rows`` documents of each language are counted, chosen by a
@@ -65,15 +65,15 @@ def train(docs: DataFrame, max_rows: int = 3000, top: int = 20_000, longest: int
     kept = kept.select("lang", "kind", "gram", "n", "total").collect()
     langs = sorted({r["lang"] for r in kept})
     place = {lang: i for i, lang in enumerate(langs)}
-    tables: list[dict[str, np.ndarray]] = [{} for _ in range(longest + 1)]
     floor = [np.full(len(langs), np.log(1e-9)) for _ in range(longest + 1)]
+    places: list[dict[str, int]] = [{} for _ in range(longest + 1)]
     for r in kept:
         floor[r["kind"]][place[r["lang"]]] = np.log(0.3 / r["total"])
+        places[r["kind"]].setdefault(r["gram"], len(places[r["kind"]]))
+    tables = [(at, np.tile(low, (len(at), 1)).astype(np.float32)) for at, low in zip(places, floor, strict=True)]
     for r in kept:
-        table = tables[r["kind"]]
-        if r["gram"] not in table:
-            table[r["gram"]] = floor[r["kind"]].copy()
-        table[r["gram"]][place[r["lang"]]] = np.log(r["n"] / r["total"])
+        at, logs = tables[r["kind"]]
+        logs[at[r["gram"]], place[r["lang"]]] = np.log(r["n"] / r["total"])
     return {"langs": langs, "tables": tables, "longest": longest}
 
 
@@ -87,13 +87,14 @@ class Scorer:
         self.scores = np.zeros((1024, len(self.langs)))
 
     def _score(self, word: str) -> np.ndarray:
-        known = self.tables[0].get(word)
-        if known is not None:
-            return known
+        at, logs = self.tables[0]
+        if word in at:
+            return logs[at[word]]
         for k in range(self.longest, 0, -1):
-            found = [self.tables[k][g] for g in grams(word, k) if g in self.tables[k]]
+            at, logs = self.tables[k]
+            found = [at[g] for g in grams(word, k) if g in at]
             if found:
-                return np.mean(found, axis=0) + (self.longest - k + 1) * self.step
+                return logs[found].mean(axis=0) + (self.longest - k + 1) * self.step
         return np.zeros(len(self.langs))
 
     def _place(self, word: str) -> int:
