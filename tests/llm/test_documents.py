@@ -132,6 +132,25 @@ def test_targets_are_reshared(spark):
     assert math.isclose(sum(got.values()), 1.5 * 1110) and math.isclose(got["b"], 1.5 * 1110 - 220)
 
 
+def test_targets_by_rounds_of_resharing(spark):
+    rng = random.Random(11)
+    for _ in range(12):
+        sizes = [rng.choice([0, rng.randrange(1, 50), rng.randrange(1, 5000)]) for _ in range(rng.randint(1, 9))]
+        weights = {i: (5, 2, 1)[i % 3] for i in range(len(sizes))}
+        want, full = {}, set()
+        while True:  # what a full source can't hold goes to the others, until none is above
+            left = 1.5 * sum(sizes) - sum(2 * sizes[i] for i in full)
+            share = sum(weights[i] for i in weights if i not in full)
+            want = {i: 2.0 * sizes[i] if i in full else left * weights[i] / share for i in weights}
+            over = {i for i in weights if i not in full and want[i] > 2 * sizes[i]}
+            if not over:
+                break
+            full |= over
+        table = spark.createDataFrame([(f"s{i}", n) for i, n in enumerate(sizes)], "source string, source_size long")
+        got = {r["source"]: r["target"] for r in mixing.source_targets(table, (5, 2, 1), 1.5, 2.0).collect()}
+        assert all(math.isclose(got[f"s{i}"], want[i], rel_tol=1e-9, abs_tol=1e-9) for i in want), (sizes, got, want)
+
+
 def test_mix_comes_near_its_targets_and_repeats_itself(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     got = mixing.mix(docs, run_bits=12).collect()

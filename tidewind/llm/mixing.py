@@ -56,7 +56,8 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, l
     s = s.withColumn("budget", F.lit(float(share)) * F.sum("source_size").over(every))
     s = s.withColumn("cap_before", F.sum("cap").over(upto) - F.col("cap")).withColumn("w_from", F.sum("w").over(every) - F.sum("w").over(upto) + F.col("w"))
     s = s.withColumn("level", (F.col("budget") - F.col("cap_before")) / F.col("w_from"))
-    level = F.min(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every)
+    # Later sources also see a level below their ratio, but a lower one: the first is the highest.
+    level = F.max(F.when(F.col("level") <= F.col("ratio"), F.col("level"))).over(every)
     s = s.withColumn("target", F.when(level.isNull(), F.col("cap")).otherwise(F.least("cap", F.col("w") * level)))
     return s.select("source", "source_size", "target")
 

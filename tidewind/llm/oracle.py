@@ -33,7 +33,7 @@ WITH d AS (
   SELECT *, (1.5 * sum(source_size) OVER ()::DOUBLE - (sum(cap) OVER o - cap)) / (sum(w) OVER () - sum(w) OVER o + w) AS level
   FROM c WINDOW o AS (ORDER BY ratio, source IS NULL, source)
 ), t AS (
-  SELECT source, source_size, least(cap, w * coalesce(min(CASE WHEN level <= ratio THEN level END) OVER (), 'infinity'::DOUBLE)) AS target FROM l
+  SELECT source, source_size, least(cap, w * coalesce(max(CASE WHEN level <= ratio THEN level END) OVER (), 'infinity'::DOUBLE)) AS target FROM l
 ), e AS (
   SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END AS epochs FROM t
 ), p AS (
