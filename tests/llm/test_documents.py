@@ -383,6 +383,70 @@ def test_paragraphs_of_nasty_rows(spark):
     assert paragraphs.repeated_paragraphs(df.limit(0)).count() == 0
 
 
+def words_of(text):
+    return (text or "").encode().lower().split()
+
+
+def test_winnowing_meets_every_run():
+    rng = random.Random(12)
+    for _ in range(200):
+        run = [b"%d" % rng.randrange(9) for _ in range(51)]
+        pages = [[b"x%d" % rng.randrange(99) for _ in range(rng.randrange(70))] + run + [b"y%d" % rng.randrange(99) for _ in range(rng.randrange(70))] for _ in range(2)]
+        picked = []
+        for page in pages:
+            hashes = paragraphs.window_hashes(page, {}, 16)
+            assert len(hashes) == len(page) - 15 and len(set(hashes.tolist())) == len({tuple(page[i : i + 16]) for i in range(len(page) - 15)})
+            picked.append(set(hashes[paragraphs.winnow(hashes, 36)].tolist()))
+        assert picked[0] & picked[1]
+
+
+def test_runs_inside_long_lines_and_over_wrapped_lines(spark):
+    rng = random.Random(6)
+    fresh = lambda n: [f"n{rng.randrange(10**9)}" for _ in range(n)]
+    run, short = fresh(55), fresh(50)
+    wrapped = "\n".join(" ".join(run[i : i + 11]) for i in range(0, 55, 11))
+    heads = [fresh(200) for _ in range(4)]
+    texts = [
+        " ".join(heads[0] + run + fresh(150)),
+        " ".join(heads[1]) + "  " + " ".join(run).upper() + "  end of  it",
+        f"head\n{wrapped}\ntail",
+        " ".join(heads[2] + run[:51]),
+        " ".join(heads[3] + short + fresh(9)),
+        " ".join(fresh(9) + short),
+    ]
+    texts.append(texts[5])
+    got = {r["doc_id"]: r for r in paragraphs.repeated_paragraphs(docs_of(spark, texts)).collect()}
+    want = [texts[0], " ".join(heads[1]) + "  end of  it", "head\ntail", " ".join(heads[2]), texts[4], texts[5], ""]
+    assert [got[i]["text"] for i in range(7)] == want
+    assert [got[i]["n_removed"] for i in range(7)] == [0, 1, 1, 1, 0, 0, 1]
+    assert [got[i]["n_links"] for i in range(7)] == [1, 1, 1, 1, 0, 1, 1]
+    assert [got[i]["source_doc_ids"] for i in range(7)] == [[], [0], [0], [0], [], [], [5]]
+    assert [got[i]["class_id"] for i in range(7)] == [0, 0, 0, 0, 4, 5, 5]
+
+
+def test_runs_against_all_windows(spark):
+    rng = random.Random(15)
+    pool = [f"p{i}" for i in range(600)]
+    texts = []
+    for i in range(50):
+        words = []
+        for _ in range(rng.randint(1, 5)):
+            at = rng.randrange(540)
+            words += [f"o{i}x{rng.randrange(10**6)}" for _ in range(rng.randrange(40))] + pool[at : at + rng.randint(30, 90)]
+        texts.append("".join(w + rng.choice("     \n") for w in words))
+    first = {}
+    want = {}
+    for d, text in enumerate(texts):
+        words, lost = words_of(text), set()
+        for i in range(len(words) - 50):
+            if first.setdefault(tuple(words[i : i + 51]), d) != d:
+                lost.update(range(i, i + 51))
+        want[d] = [w for i, w in enumerate(words) if i not in lost]
+    assert sum(len(w) for w in want.values()) < sum(len(words_of(t)) for t in texts)
+    got = {r["doc_id"]: r["text"] for r in paragraphs.repeated_paragraphs(docs_of(spark, texts), min_words=10**6).collect()}
+    assert {d: words_of(t) for d, t in got.items()} == want
+
+
 # BPE.
 
 

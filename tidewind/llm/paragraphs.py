@@ -1,4 +1,4 @@
-"""Substring deduplication by paragraph MinHash.
+"""Substring deduplication: similar paragraphs by MinHash, and every exact run of words.
 
 Paragraphs (lines of at least ``min_words`` words) get MinHash signatures over
 shingles of five words, cut into bands that are tuned for high recall.  Equal
@@ -8,10 +8,18 @@ ever expanded into pairs.  Inside a candidate component the exact Jaccard
 similarity of the shingle sets is verified, and the verified links' components
 are the classes of repeated paragraphs.  Of a class that occurs in several
 documents the first document keeps its paragraph, the others lose theirs.
+
+Runs of ``run_words`` words are found wherever they lie, inside longer lines and
+across lines.  Winnowing picks fingerprints of shorter windows of each text such
+that two texts with a common run share at least one; only around fingerprints
+that two documents share are all windows of ``run_words`` words hashed and
+grouped.  The first document that has a window keeps it, the others lose the
+words it covers.  Copies of a whole text meet by its hash and don't take part.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,8 +32,11 @@ from tidewind.llm.common import attach, join_labels, materialize, stream_groups
 from tidewind.llm.components import connected_components
 
 LAST = (1 << 63) - 1
+WORD = re.compile(rb"\S+")
 STEP = np.uint64(0xD6E8FEB86659FD93)
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Words in a fingerprint of a run.
+ANCHOR = 16
 
 
 def tune_bands(threshold: float, recall: float, rows: int = 5, most: int = 64) -> tuple[int, int]:
@@ -73,15 +84,49 @@ def band_keys(shingles: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
     return out.view(np.int64)
 
 
-def _paragraphs(text: str | None, min_words: int) -> Iterator[tuple[int, list[bytes]]]:
-    for number, line in enumerate((text or "").split("\n")):
-        words = line.encode("utf-8", "surrogatepass").lower().split()
-        if len(words) >= min_words:
-            yield number, words
+def _words(text: str) -> list[bytes]:
+    return text.encode("utf-8", "surrogatepass").lower().split()
+
+
+def window_hashes(words: list[bytes], known: dict[bytes, int], width: int) -> np.ndarray:
+    """64-bit hashes of all windows of ``width`` words, by doubling."""
+    for w in words:
+        if w not in known:
+            known[w] = xxhash.xxh64_intdigest(w)
+    part, size, done, n = np.array([known[w] for w in words], dtype=np.uint64), 1, 0, max(0, len(words) - width + 1)
+    out = np.zeros(n, dtype=np.uint64)
+    while n:
+        power = np.uint64(pow(int(STEP), size, 1 << 64))
+        if width & size:
+            out = out * power + part[done : done + n]
+            done += size
+        if size * 2 > width:
+            break
+        part, size = part[:-size] * power + part[size:], size * 2
+    out ^= out >> np.uint64(32)
+    return out * MIX
+
+
+def _slide(least: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
+    size = 1
+    while size * 2 <= width:
+        values, size = least(values[:-size], values[size:]), size * 2
+    return least(values[: len(values) - (width - size)], values[width - size :]) if size < width else values
 
 
-def _units(docs: DataFrame, min_words: int, width: int, bands: int, rows: int) -> DataFrame:
-    """``(rk, d, line, u, bands)`` of each paragraph: row key, doc_id (null last), line number, text hash, band keys."""
+def winnow(hashes: np.ndarray, width: int) -> np.ndarray:
+    """Which hashes are the least of some ``width`` neighbours: equal stretches of that many have one in common."""
+    if len(hashes) < width:
+        return np.zeros(len(hashes), dtype=bool)
+    least = np.pad(_slide(np.minimum, hashes, width), width - 1)
+    return _slide(np.maximum, least, width) == hashes
+
+
+def _units(docs: DataFrame, min_words: int, width: int, bands: int, rows: int, run_words: int) -> DataFrame:
+    """``(rk, d, line, u, bands)`` of each paragraph: row key, doc_id (null last), line number, text hash, band keys;
+    and of each text of ``run_words`` words or more, as line -1, the hash of its words and its distinct fingerprints.
+    """
+    size = min(ANCHOR, run_words)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[bytes, int] = {}
@@ -91,14 +136,23 @@ def _units(docs: DataFrame, min_words: int, width: int, bands: int, rows: int) -
                 out, shingles = [], []
                 if len(known) > 1_000_000:
                     known.clear()
+                whole, prints = [], []
                 for rk, d, text in zip(part["rk"], part["d"], part["text"], strict=True):
-                    for number, words in _paragraphs(text, min_words):
-                        out.append((rk, d, number, xxhash.xxh64_intdigest(b" ".join(words))))
-                        shingles.append(shingle_hashes(words, known, width))
-                if out:
-                    made = pd.DataFrame(out, columns=["rk", "d", "line", "u"])
+                    all_words: list[bytes] = []
+                    for number, line in enumerate((text or "").split("\n")):
+                        words = _words(line)
+                        all_words += words
+                        if len(words) >= min_words:
+                            out.append((rk, d, number, xxhash.xxh64_intdigest(b" ".join(words))))
+                            shingles.append(shingle_hashes(words, known, width))
+                    if len(all_words) >= run_words:
+                        hashes = window_hashes(all_words, known, size)
+                        whole.append((rk, d, -1, xxhash.xxh64_intdigest(b" ".join(all_words))))
+                        prints.append(np.unique(hashes[winnow(hashes, run_words - size + 1)]).view(np.int64))
+                if out or whole:
+                    made = pd.DataFrame(out + whole, columns=["rk", "d", "line", "u"])
                     made["u"] = made["u"].to_numpy(dtype=np.uint64).view(np.int64)
-                    made["bands"] = list(band_keys(shingles, bands, rows))
+                    made["bands"] = [*(band_keys(shingles, bands, rows) if out else []), *prints]
                     yield made
 
     return docs.select("rk", "d", "text").mapInPandas(run, "rk long, d long, line int, u long, bands array<long>")
@@ -153,23 +207,121 @@ def _verified(payload: DataFrame, threshold: float, part_rows: int) -> DataFrame
     return stream_groups(dealt, ["root", "i", "j"], ["u"], each, "a long, b long")
 
 
-def repeated_paragraphs(docs: DataFrame, min_words: int = 20, width: int = 5, threshold: float = 0.8, recall: float = 0.99, part_rows: int = 512) -> DataFrame:
-    """All columns of ``docs`` (with doc_id and text), text without its repeated paragraphs, plus
+def _spans(mark: np.ndarray) -> list[tuple[int, int]]:
+    """(first, end) of each stretch of true values."""
+    edges = np.flatnonzero(np.diff(mark.astype(np.int8), prepend=0, append=0))
+    return list(zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True))
+
+
+def cut_runs(text: str, linked: list[int], gone_lines: list[int], shared: list[int], gone: list[int], run_words: int) -> tuple[str, int, int]:
+    """The text without its gone lines and the runs that start at the gone words; its links and removals.
+
+    Beside the lines count the windows that have no word in them; what a gone line
+    leaves of a run is no run of ``run_words`` words any more, and stays.  A start of
+    -1 is the whole text.  A line left without words goes with its line break.
+    """
+    lines = [line.encode("utf-8", "surrogatepass") for line in text.split("\n")]
+    at = [[m.span() for m in WORD.finditer(line)] for line in lines]
+    ends = np.cumsum([0, *map(len, at)])
+
+    def mark(starts: list[int], without: list[int]) -> np.ndarray:
+        apart = np.zeros(ends[-1], dtype=bool)
+        for number in without:
+            apart[ends[number] : ends[number + 1]] = True
+        if -1 in starts:
+            return ~apart
+        at = np.array(starts, dtype=np.int64)
+        before = np.cumsum(np.pad(apart, (1, 0)))
+        at = at[before[at + run_words] == before[at]]
+        steps = np.zeros(ends[-1] + 1, dtype=np.int64)
+        np.add.at(steps, at, 1)
+        np.add.at(steps, at + run_words, -1)
+        return np.cumsum(steps)[:-1] > 0
+
+    lost, drop, rest = mark(gone, gone_lines), set(gone_lines), []
+    for number, line in enumerate(lines):
+        if number in drop:
+            continue
+        words, mine = at[number], lost[ends[number] : ends[number + 1]]
+        if len(words) and mine.all():
+            continue
+        for first, end in reversed(_spans(mine)):
+            low, high = (words[first][0], words[end][0]) if end < len(words) else (words[first - 1][1], words[end - 1][1])
+            line = line[:low] + line[high:]
+        rest.append(line)
+    new = b"\n".join(rest).decode("utf-8", "surrogatepass")
+    return new, len(linked) + len(_spans(mark(shared, linked))), len(gone_lines) + len(_spans(lost))
+
+
+def _copies_and_wanted(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Copies of whole texts, ``(rk, of, d)`` with the first document and its doc_id, and the
+    fingerprints ``(of, prints)`` that the first documents share with each other.
+    """
+    firsts = pages.groupBy("u").agg(F.min(F.struct("d", "rk", "bands")).alias("first"), F.min("rk").alias("lo"), F.max("rk").alias("hi"), F.count("*").alias("n"))
+    firsts = materialize(firsts)
+    several = firsts.where("lo <> hi").select("u", "n", F.col("first.rk").alias("of"), F.col("first.d").alias("d"))
+    copies = attach(pages.select("rk", "u"), several, "u", "n", pages.count()).where("of is not null").select("rk", "of", "d").distinct()
+    prints = firsts.select(F.col("first.rk").alias("of"), F.explode("first.bands").alias("print"))
+    shared = materialize(prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1"))
+    found = attach(prints, shared, "print", "n", prints.count()).where("n is not null")
+    return copies, found.groupBy("of").agg(F.collect_list("print").alias("prints"))  # at most the fingerprints of a document
+
+
+def _run_fates(windows: DataFrame, copies: DataFrame) -> DataFrame:
+    """``windows(rk, d, at, runs)`` -> ``(rk, shared, gone, first, ids)`` of each document with repeated runs:
+
+    starts of runs that another document has, of those that an earlier one has,
+    the smallest doc_id of a run's first document, and these of the gone ones.
+    """
+    each = windows.select("rk", "d", F.explode(F.arrays_zip("at", "runs")).alias("w")).select("rk", "d", F.col("w.at").alias("at"), F.col("w.runs").alias("run"))
+    owner = each.groupBy("run").agg(F.min(F.struct("d", "rk")).alias("keep"), F.min("rk").alias("lo"), F.max("rk").alias("hi"), F.count("*").alias("n"))
+    owner = materialize(owner.where("lo <> hi").select("run", "n", "keep"))
+    gone = F.col("keep.rk") != F.col("rk")
+    single = attach(each, owner, "run", "n", each.count()).where("keep is not null").groupBy("rk").agg(
+        F.collect_set("at").alias("shared"),
+        F.collect_set(F.when(gone, F.col("at"))).alias("gone"),
+        F.min("keep.d").alias("first"),
+        F.collect_set(F.when(gone & (F.col("keep.d") != LAST), F.col("keep.d"))).alias("ids"),
+    )
+    single = materialize(single)
+    # A copy has the runs of its first document, and all other words from it.
+    of = single.select(F.col("rk").alias("of"), "first", "ids")
+    none, whole = F.array().cast("array<int>"), F.array(F.lit(-1))
+    is_copy = F.col("rk") != F.col("of")
+    copied = copies.join(of, "of", "left").select(
+        "rk",
+        whole.alias("shared"),
+        F.when(is_copy, whole).otherwise(none).alias("gone"),
+        F.least("first", "d").alias("first"),
+        F.when(is_copy, F.array_union(F.coalesce("ids", F.array().cast("array<long>")), F.filter(F.array("d"), lambda d: d != LAST))).otherwise(F.array().cast("array<long>")).alias("ids"),
+    )
+    both = single.unionByName(copied).groupBy("rk")
+    flat = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
+    return both.agg(flat("shared"), flat("gone"), F.min("first").alias("first"), flat("ids"))
+
 
-    class_id (smallest doc_id that keeps one of the document's repeated
-    paragraphs, else its own), n_links (its paragraphs that also occur in another
-    document), n_removed (paragraphs removed), source_doc_ids (documents that keep
-    them).  A document is told by doc_id and text, so repeated rows are the same
+def repeated_paragraphs(docs: DataFrame, min_words: int = 20, width: int = 5, threshold: float = 0.8, recall: float = 0.99, part_rows: int = 512, run_words: int = 51) -> DataFrame:
+    """All columns of ``docs`` (with doc_id and text), text without its repeated paragraphs and runs, plus
+
+    class_id (smallest doc_id of a first document of the document's repeated
+    paragraphs and runs, else its own), n_links (its paragraphs that also occur in
+    another document, and its runs of ``run_words`` words or more outside of them),
+    n_removed (paragraphs and such runs removed), source_doc_ids (first documents
+    of these).  A document is told by doc_id and text, so repeated rows are the same
     document and fare alike; a null doc_id comes last.  Null texts stay null,
-    empty ones empty; paragraphs of fewer than ``min_words`` words and repeats
-    inside one document stay.  Columns of these names are replaced; names that
-    start with ``_tw_`` are reserved.  No rows give no rows.
+    empty ones empty; repeats inside one document stay, as do paragraphs of fewer
+    than ``min_words`` words outside of repeated runs and the rest, of fewer than
+    ``run_words`` words, of a run that lost a paragraph.  Words are told apart by
+    white space, in ASCII letters without case.  Columns of these names are
+    replaced; names that start with ``_tw_`` are reserved.  No rows give no rows.
     """
     bands, rows = tune_bands(threshold, recall)
     key = F.xxhash64("doc_id", "text")
     source = docs.select(key.alias("rk"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), "text")
-    units = materialize(_units(source, min_words, width, bands, rows))
+    made = materialize(_units(source, min_words, width, bands, rows, run_words))
+    units, pages = made.where("line >= 0"), made.where("line < 0")
     total = units.count()
+    copies, prints = _copies_and_wanted(pages)
     first = F.min(F.struct("d", "rk", "line", "bands")).alias("first")
     uniq = materialize(units.groupBy("u").agg(first, F.min("rk").alias("lo"), F.max("rk").alias("hi"), F.count("*").alias("n")))
 
@@ -178,9 +330,11 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 20, width: int = 5, th
     chain = banded.select("u", F.lag("u").over(Window.partitionBy("key").orderBy("u")).alias("v")).where("v is not null")
     near = connected_components(chain.select(F.col("v").alias("a"), F.col("u").alias("b")))
 
-    # Their shingle sets, read from one document that has the paragraph.
+    # Their shingle sets, read from one document that has the paragraph, and the windows around shared fingerprints.
     wanted = near.join(uniq, near["node"] == uniq["u"]).select(F.col("first.rk").alias("of"), F.struct(F.col("first.line").alias("line"), "u", "root").alias("w"))
     wanted = wanted.groupBy("of").agg(F.collect_list("w").alias("wanted"))  # at most the paragraphs of a document
+    wanted = wanted.join(prints, "of", "full")
+    size = min(ANCHOR, run_words)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[bytes, int] = {}
@@ -188,15 +342,25 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 20, width: int = 5, th
             if len(known) > 1_000_000:
                 known.clear()
             out = []
-            for text, wanted_lines in zip(pdf["text"], pdf["wanted"], strict=True):
+            for rk, d, text, wanted_lines, shared in zip(pdf["rk"], pdf["d"], pdf["text"], pdf["wanted"], pdf["prints"], strict=True):
                 lines = text.split("\n")
-                for w in wanted_lines:
-                    words = lines[w["line"]].encode("utf-8", "surrogatepass").lower().split()
-                    out.append((w["root"], w["u"], np.unique(shingle_hashes(words, known, width)).astype("<u8").tobytes()))
-            yield pd.DataFrame(out, columns=["root", "u", "set"])
-
-    payload = source.select("rk", "text").join(wanted, F.col("rk") == F.col("of")).select("text", "wanted").mapInPandas(cut, "root long, u long, set binary")
-    payload = materialize(payload.dropDuplicates(["u"]))
+                for w in wanted_lines if wanted_lines is not None else ():
+                    words = _words(lines[w["line"]])
+                    out.append((w["root"], w["u"], np.unique(shingle_hashes(words, known, width)).astype("<u8").tobytes(), None, None, None, None))
+                if shared is not None:
+                    words = _words(text)
+                    anchors = np.isin(window_hashes(words, known, size).view(np.int64), shared)
+                    runs = window_hashes(words, known, run_words).view(np.int64)
+                    at = np.flatnonzero(_slide(np.maximum, anchors, run_words - size + 1))
+                    out.append((None, None, None, rk, d, at.astype(np.int32), runs[at]))
+            made = pd.DataFrame(out, columns=["root", "u", "set", "rk", "d", "at", "runs"], dtype=object)
+            yield made.astype({c: "Int64" for c in ("root", "u", "rk", "d")})
+
+    payload = source.join(wanted, F.col("rk") == F.col("of")).select("rk", "d", "text", "wanted", "prints")
+    payload = payload.mapInPandas(cut, "root long, u long, set binary, rk long, d long, at array<int>, runs array<long>")
+    payload = materialize(payload.dropDuplicates(["u", "rk"]))
+    runs = _run_fates(payload.where("rk is not null").select("rk", "d", "at", "runs"), copies)
+    payload = payload.where("u is not null").select("root", "u", "set")
     classes = connected_components(_verified(payload, threshold, part_rows))
 
     # The classes that occur in several documents, and what becomes of each paragraph.
@@ -207,17 +371,36 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 20, width: int = 5, th
     found = attach(units.select("rk", "line", "u"), fate, "u", "n", total).where("keep is not null")
     gone = F.col("keep.rk") != F.col("rk")
     per_doc = found.groupBy("rk").agg(
-        F.min("keep.d").alias("_tw_class"),
-        F.count_distinct("line").cast("long").alias("n_links"),
+        F.min("keep.d").alias("class"),
+        F.collect_set("line").alias("_tw_linked"),
         F.collect_set(F.when(gone, F.col("line"))).alias("_tw_gone"),
-        F.sort_array(F.collect_set(F.when(gone & (F.col("keep.d") != LAST), F.col("keep.d")))).alias("source_doc_ids"),
+        F.collect_set(F.when(gone & (F.col("keep.d") != LAST), F.col("keep.d"))).alias("sources"),
     )
-    out = docs.drop("class_id", "n_links", "n_removed", "source_doc_ids").withColumn("_tw_rk", key)
-    out = out.join(per_doc.withColumnRenamed("rk", "_tw_rk"), "_tw_rk", "left")
+    none = lambda c, t: F.coalesce(c, F.array().cast(f"array<{t}>"))
+    per_doc = per_doc.join(runs, "rk", "full").select(
+        F.col("rk").alias("_tw_rk"),
+        F.least("class", "first").alias("_tw_class"),
+        none("_tw_linked", "int").alias("_tw_linked"),
+        none("_tw_gone", "int").alias("_tw_gone"),
+        F.col("shared").alias("_tw_shared"),
+        F.col("gone").alias("_tw_runs"),
+        F.array_sort(F.array_union(none("sources", "long"), none("ids", "long"))).alias("source_doc_ids"),
+    )
+
+    @F.pandas_udf("text string, n_links long, n_removed long")
+    def without(text: pd.Series, linked: pd.Series, lines: pd.Series, shared: pd.Series, runs: pd.Series) -> pd.DataFrame:
+        rows = [(None, None, None) if t is None else cut_runs(t, *map(list, lists), run_words) for t, *lists in zip(text, linked, lines, shared, runs, strict=True)]
+        return pd.DataFrame(rows, columns=["text", "n_links", "n_removed"]).astype({"n_links": "Int64", "n_removed": "Int64"})
+
+    out = docs.drop("class_id", "n_links", "n_removed", "source_doc_ids").withColumn("_tw_rk", key).join(per_doc, "_tw_rk", "left")
+    # Only texts with repeated runs are read in Python.
+    lists = (F.when(F.col("_tw_shared").isNotNull(), F.col(c)) for c in ("text", "_tw_linked", "_tw_gone", "_tw_shared", "_tw_runs"))
+    out = out.withColumn("_tw_cut", without(*lists))
     rest = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(F.col("_tw_gone"), i))
-    out = out.withColumn("text", F.when(F.size("_tw_gone") > 0, F.array_join(rest, "\n")).otherwise(F.col("text")))
+    rest = F.when(F.size("_tw_gone") > 0, F.array_join(rest, "\n")).otherwise(F.col("text"))
+    out = out.withColumn("text", F.coalesce("_tw_cut.text", rest))
     out = out.withColumn("class_id", F.coalesce(F.when(F.col("_tw_class") != LAST, F.col("_tw_class")), F.col("doc_id")))
-    out = out.withColumn("n_links", F.coalesce("n_links", F.lit(0)))
-    out = out.withColumn("n_removed", F.greatest(F.size("_tw_gone"), F.lit(0)).cast("long"))
+    out = out.withColumn("n_links", F.coalesce("_tw_cut.n_links", F.greatest(F.size("_tw_linked"), F.lit(0)).cast("long")))
+    out = out.withColumn("n_removed", F.coalesce("_tw_cut.n_removed", F.greatest(F.size("_tw_gone"), F.lit(0)).cast("long")))
     out = out.withColumn("source_doc_ids", F.coalesce("source_doc_ids", F.array().cast("array<long>")))
-    return out.drop("_tw_rk", "_tw_class", "_tw_gone")
+    return out.drop("_tw_rk", "_tw_class", "_tw_linked", "_tw_gone", "_tw_shared", "_tw_runs", "_tw_cut")
