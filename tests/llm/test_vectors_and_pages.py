@@ -117,6 +117,22 @@ def test_host_boilerplate_goes_where_there_is_no_article(spark):
     assert sorted(map(str, dealt)) == sorted(map(str, got))
 
 
+def test_the_size_of_a_host_changes_no_result(spark):
+    words = lambda name, n: " ".join(f"{name}{k}" for k in range(n))
+    rows = [(i, f"http://big.example/{i}", f"<div>{words(f'own{i}x', 20)}</div>") for i in range(300)]
+    rows[7] = (7, "http://big.example/7", f"<div>{words('foot', 9)}</div><p>{words('own7x', 20)}</p>")
+    rows[250] = (250, "http://big.example/250", f"<p>{words('own250x', 20)}</p><div>{words('foot', 9)}</div>")
+    rows[260] = (260, "http://big.example/260", f"<p>{words('menu', 8)} a</p><p>{words('own260x', 20)}</p>")
+    rows += [(300, "http://big.example/300", f"<article>x</article><p>{words('menu', 8)}</p>"), (301, "http://other.example/", f"<p>{words('own5x', 20)}</p>")]
+    rows += [(302 + i, f"http://big.example/copy{i}", f"<p>{words('copy', 30)}</p>") for i in range(40)] + [rows[9]]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    whole, dealt = (sorted((r["page_id"], r["url"], r["text"], r["n_boilerplate"] or 0) for r in html.extract(df, group_bytes=size).collect()) for size in (2 << 20, 700))
+    assert dealt == whole and len(whole) == len(rows)
+    got = {r[0]: r[2] for r in dealt}
+    assert got[7] == words("own7x", 20) and got[250] == words("own250x", 20) and got[260] == words("own260x", 20)
+    assert got[9] == words("own9x", 20) and got[301] == words("own5x", 20) and all(got[302 + i] == words("copy", 30) for i in range(40))
+
+
 def test_html_query_gives_the_articles(spark, sf_dir):
     import html as entities
     import re
