@@ -383,6 +383,13 @@ def test_paragraphs_of_nasty_rows(spark):
     assert paragraphs.repeated_paragraphs(df.limit(0)).count() == 0
 
 
+def test_shouting_is_counted_over_the_whole_text():
+    at = toxicity.PATTERNS.index("shouted words")
+    assert not toxicity.patterns("Abcd" * 4096, set())[at]  # every fourth character a capital
+    assert toxicity.patterns("aBCD" * 4096, set())[at]
+    assert not toxicity.patterns("", set())[at] and not toxicity.patterns("Ab" * 3, set())[at] and toxicity.patterns("ABc", set())[at]
+
+
 def words_of(text):
     return (text or "").encode().lower().split()
 
