@@ -22,7 +22,7 @@ from tidewind.llm.common import read_table
 from tidewind.llm.mixing import mix
 from tidewind.llm.paragraphs import repeated_paragraphs
 from tidewind.llm.queries import digests
-from tidewind.llm.simhash import simhash_components
+from tidewind.llm.simhash import first_of_components
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,18 +32,15 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each SimHash component stays: the one with the smallest doc_id.
+    """One document of each SimHash component stays: the one with the smallest doc_id, a null one last.
 
-    Of repeated rows with that doc_id one stays.  If a component has no doc_id at
-    all, rows without one stay, one of each text.
+    Of different texts with that doc_id the first by fingerprint stays, of
+    repeated rows one.
     """
-    found = simhash_components(docs)
-    keep = found.where(F.col("doc_id") == F.col("component_id")).select("doc_id").distinct()
-    lost = found.where("component_id is null").select("fp").distinct().count()
-    kept = docs.join(keep, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    if lost:
-        kept = kept.unionByName(docs.where("doc_id is null").dropDuplicates(["text"]))
-    return kept.select(docs.columns)
+    key = F.xxhash64("doc_id", "text")
+    keep = first_of_components(docs, key)
+    kept = docs.withColumn("_tw_rk", key).join(keep, F.col("_tw_rk") == F.col("rk"), "left_semi")
+    return kept.dropDuplicates(["_tw_rk"]).select(docs.columns)
 
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -58,6 +58,14 @@ def test_stages_follow_their_operators(spark, docs, tmp_path):
     assert mixed == want
 
 
+def test_one_row_of_each_component_stays(spark):
+    words = lambda name: " ".join(f"{name}{i}" for i in range(80))
+    rows = [(5, words("x")), (5, words("y")), (5, words("y")), (7, words("y")), (None, words("x")), (None, words("z")), (None, words("z")), (None, words("v"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = sorted(map(str, map(tuple, cp.near_duplicates(spark, df, "").collect())))
+    assert got == sorted(map(str, [(5, words("x")), (5, words("y")), (None, words("z")), (None, words("v"))]))
+
+
 def test_run_gives_a_row_for_each_mixed_document(spark):
     got = cp.run(spark, "/root/testdata/sf0.001")
     assert got.columns == ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"] and got.count() > 50

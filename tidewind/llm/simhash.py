@@ -61,15 +61,17 @@ def simhash_text(text: str | None, width: int = 3) -> int:
     return int(bits.view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, width: int = 3) -> DataFrame:
-    """``docs(doc_id, text)`` -> ``(doc_id, fp)``, fp the fingerprint as a signed long."""
+def fingerprints(docs: DataFrame, width: int = 3, key: Column | None = None) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``(doc_id, fp)``, fp the fingerprint as a signed long; with a long ``key`` also ``rk``."""
+    keyed = key is not None
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             fps = np.array([simhash_text(t, width) for t in pdf["text"]], dtype=np.uint64).view(np.int64)
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps})
+            yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps} | ({"rk": pdf["rk"]} if keyed else {}))
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, fp long")
+    keys = [key.alias("rk")] if keyed else []
+    return docs.select(F.col("doc_id").cast("long"), "text", *keys).mapInPandas(run, "doc_id long, fp long" + ", rk long" * keyed)
 
 
 def _masks(blocks: int, equal: int) -> list[int]:
@@ -146,11 +148,23 @@ def simhash_components(docs: DataFrame, max_distance: int = 3, width: int = 3) -
     a component_id unless its whole component has none.  Other columns are not
     read, so they may have any name.  Empty input gives an empty result.
     """
-    rows = materialize(fingerprints(docs, width))
+    return _components(fingerprints(docs, width), max_distance).select("doc_id", "fp", "component_id")
+
+
+def first_of_components(docs: DataFrame, key: Column, max_distance: int = 3, width: int = 3) -> DataFrame:
+    """``docs(doc_id, text)`` -> ``(rk)``, the ``key`` of one row of each component: the first by doc_id (null last), fp and key."""
+    rows = _components(fingerprints(docs, width, key), max_distance)
+    first = F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "fp", "rk")).alias("first")
+    return rows.groupBy("root").agg(first).select("first.rk").distinct()
+
+
+def _components(rows: DataFrame, max_distance: int) -> DataFrame:
+    """``rows(doc_id, fp, ..)`` with the fingerprint that names the component, root, and component_id."""
+    rows = materialize(rows)
     fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
     total = rows.count()
     roots = connected_components(links(fps.select("fp"), max_distance))
     named = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = materialize(named.join(least, "root").select("fp", "n", "component_id"))
-    return attach(rows, classes, "fp", "n", total).select("doc_id", "fp", "component_id")
+    classes = materialize(named.join(least, "root").select("fp", "n", "root", "component_id"))
+    return attach(rows, classes, "fp", "n", total)
