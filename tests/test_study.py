@@ -179,6 +179,20 @@ def test_models_learn():
         assert all(not isinstance(v, (list, tuple, dict)) for v in spec.params.values())
 
 
+def test_lightgbm_grows_leaf_by_leaf_and_xgboost_by_levels():
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(3000, 3))
+    y = x @ np.array([1.0, 0.9, 0.8]) + 0.1 * rng.normal(size=3000)
+    made = {n: models.REGISTRY[n].build(**{**models.REGISTRY[n].params, "trees": 20}).fit(x, y) for n in ("lightgbm", "xgboost")}
+    leaves = {n: max(sum(not isinstance(node, tuple) for node in tree) for tree in m.made) for n, m in made.items()}
+    assert leaves == {"lightgbm": 15, "xgboost": 16}
+    assert not np.array_equal(made["lightgbm"].predict(x), made["xgboost"].predict(x))
+    b = models.to_bins(x, models.bin_edges(x))
+    grown = [models.grow(b, y, np.ones(3000), 4, 30, 1.0, lambda: np.arange(3), leaves) for leaves in (0, 16)]
+    assert np.array_equal(models.walk(grown[0], b), models.walk(grown[1], b))
+    assert sum(not isinstance(node, tuple) for node in models.grow(b, y, np.ones(3000), 4, 30, 1.0, lambda: np.arange(3), 3)) == 3
+
+
 def test_seed_comes_from_the_configuration():
     assert models.Boosting(**{**models.REGISTRY["lightgbm"].params, "seed": 7}).seed == 7
 

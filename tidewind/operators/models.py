@@ -7,6 +7,7 @@ L2 leaf penalty, seed.  They are analogues, equal in contract but not in digits.
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
@@ -29,17 +30,21 @@ def to_bins(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
     return np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T, strict=True)], axis=1)
 
 
-def grow(b: np.ndarray, grad: np.ndarray, hess: np.ndarray, depth: int, leaf: float, l2: float, columns: Callable[[], np.ndarray]) -> list:
-    """A tree of squared loss as a list of nodes: (column, bin, left, right) or a value; ``columns()`` are those that a split may use."""
+def grow(b: np.ndarray, grad: np.ndarray, hess: np.ndarray, depth: int, leaf: float, l2: float, columns: Callable[[], np.ndarray], leaves: int = 0) -> list:
+    """A tree of squared loss as a list of nodes: (column, bin, left, right) or a value; ``columns()`` are those that a split may use.
+
+    With ``leaves`` the leaf of the largest gain is split next, up to that many leaves; else all are, down to the depth.
+    """
     nodes: list = []
 
-    def split(rows: np.ndarray, level: int) -> int:
-        at = len(nodes)
+    def add(rows: np.ndarray, level: int) -> tuple[float, tuple[int, int] | None]:
+        """A new leaf; its best split and what that gains."""
         g, h = grad[rows].sum(), hess[rows].sum()
         nodes.append(float(g / (h + l2)) if h + l2 > 0 else 0.0)
         if level == depth or h < 2 * leaf:
-            return at
-        best, choice = g * g / (h + l2) + 1e-12, None
+            return 0.0, None
+        base = g * g / (h + l2)
+        best, choice = base + 1e-12, None
         for c in columns():
             sums_g = np.bincount(b[rows, c], weights=grad[rows], minlength=BINS + 1).cumsum()
             sums_h = np.bincount(b[rows, c], weights=hess[rows], minlength=BINS + 1).cumsum()
@@ -50,12 +55,38 @@ def grow(b: np.ndarray, grad: np.ndarray, hess: np.ndarray, depth: int, leaf: fl
                 k = int(np.argmax(gain))
                 if gain[k] > best:
                     best, choice = gain[k], (int(c), k)
+        return float(best - base), choice
+
+    def split(rows: np.ndarray, level: int) -> int:
+        at = len(nodes)
+        _, choice = add(rows, level)
         if choice:
             left = b[rows, choice[0]] <= choice[1]
             nodes[at] = (*choice, split(rows[left], level + 1), split(rows[~left], level + 1))
         return at
 
-    split(np.flatnonzero(hess > 0), 0)
+    def split_leafwise(rows: np.ndarray) -> None:
+        heap: list = []
+
+        def leaf_of(rows: np.ndarray, level: int) -> int:
+            at = len(nodes)
+            gain, choice = add(rows, level)
+            if choice:
+                heapq.heappush(heap, (-gain, at, level, choice, rows))
+            return at
+
+        leaf_of(rows, 0)
+        for _ in range(leaves - 1):
+            if not heap:
+                break
+            _, at, level, choice, rows = heapq.heappop(heap)
+            left = b[rows, choice[0]] <= choice[1]
+            nodes[at] = (*choice, leaf_of(rows[left], level + 1), leaf_of(rows[~left], level + 1))
+
+    if leaves:
+        split_leafwise(np.flatnonzero(hess > 0))
+    else:
+        split(np.flatnonzero(hess > 0), 0)
     return nodes
 
 
@@ -75,7 +106,7 @@ def walk(nodes: list, b: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Boosting:
-    """Gradient boosting of squared loss."""
+    """Gradient boosting of squared loss; trees of at most ``leaves`` leaves grow leaf by leaf, with 0 level by level."""
 
     trees: int = 200
     depth: int = 4
@@ -84,6 +115,7 @@ class Boosting:
     rows: float = 0.8
     columns: float = 0.8
     l2: float = 1.0
+    leaves: int = 0
     seed: int = 42
 
     def fit(self, x: np.ndarray, y: np.ndarray) -> Boosting:
@@ -95,7 +127,7 @@ class Boosting:
             cols = np.sort(rng.permutation(x.shape[1])[: max(1, int(self.columns * x.shape[1]))])
             h = np.zeros(len(y))
             h[use] = 1
-            self.made.append(grow(b, (y - p) * h, h, self.depth, self.leaf, self.l2, lambda cols=cols: cols))
+            self.made.append(grow(b, (y - p) * h, h, self.depth, self.leaf, self.l2, lambda cols=cols: cols, self.leaves))
             p += self.rate * walk(self.made[-1], b)
         return self
 
@@ -184,7 +216,7 @@ def register(spec: ModelSpec) -> None:
     REGISTRY[spec.name] = spec
 
 
-register(ModelSpec("lightgbm", Boosting))
+register(ModelSpec("lightgbm", Boosting, {"leaves": 15}))
 register(ModelSpec("random_forest", Forest))
 register(ModelSpec("adaboost", BoostR2))
 register(ModelSpec("xgboost", Boosting, {"columns": 0.8, "l2": 1.0, "rows": 0.8, "leaf": 30.0}))
