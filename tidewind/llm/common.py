@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -18,18 +19,57 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_FOLDERS: dict[str, str] = {}
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share: the session's ``spark.checkpoint.dir``.
+
+    Only a local session (tests, a laptop) may leave it unset; it gets a temporary folder.
+    """
+    sc = spark.sparkContext
+    folder = sc.getConf().get("spark.checkpoint.dir", None)
+    if folder is None:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = _FOLDERS.get(sc.applicationId) or _FOLDERS.setdefault(sc.applicationId, tempfile.mkdtemp(prefix="tidewind-"))
+    return folder.rstrip("/")
+
+
+def _place(spark: SparkSession, path: str) -> tuple:
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
+
+
 def materialize(df: DataFrame) -> DataFrame:
-    """Cut the lineage with a reliable checkpoint in the folder that all executors share.
+    """Cut the lineage with a Parquet table in the shared folder; the shuffle files behind it go at once.
 
-    The folder is the session's ``spark.checkpoint.dir``; only where that is unset
-    (tests, a laptop) a temporary folder is used.  Spark's cleaner removes the
-    files with the last reference to them.
+    A later job reads only the columns it needs, and lost executors lose nothing.
+    ``discard`` removes the table; one that a result still reads goes with the
+    application.
     """
-    sc = df.sparkSession.sparkContext
-    if not sc._jsc.sc().getCheckpointDir().isDefined():
-        shared = sc.getConf().get("spark.checkpoint.dir", None)
-        sc.setCheckpointDir(shared or tempfile.mkdtemp(prefix="tidewind-ckpt-"))
-    return df.checkpoint(eager=True)
+    spark = df.sparkSession
+    path = f"{shared_folder(spark)}/tidewind-{uuid.uuid4().hex}"
+    fs, where = _place(spark, path)
+    fs.deleteOnExit(where)
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._tw_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Remove tables of ``materialize`` that nothing reads any more."""
+    for table in tables:
+        fs, where = _place(table.sparkSession, table._tw_path)
+        fs.delete(where, True)
 
 
 def tasks(df: DataFrame) -> int:

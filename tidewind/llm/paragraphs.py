@@ -2,11 +2,11 @@
 
 Paragraphs (lines of at least ``min_words`` words) get MinHash signatures over
 shingles of five words, cut into bands that are tuned for high recall.  Equal
-paragraphs count once.  Paragraphs that share a band collide; a chain through
-each band bucket is enough to find the candidate components, so no bucket is
-ever expanded into pairs.  Inside a candidate component the exact Jaccard
-similarity of the shingle sets is verified, and the verified links' components
-are the classes of repeated paragraphs.  Of a class that occurs in several
+paragraphs count once.  Paragraphs that share a band collide; a star around the
+smallest of each band bucket is enough to find the candidate components, so no
+bucket is ever expanded into pairs.  Inside a candidate component the exact
+Jaccard similarity of the shingle sets is verified, and the verified links'
+components are the classes of repeated paragraphs.  Of a class that occurs in several
 documents the first document keeps its paragraph, the others lose theirs.
 
 Runs of ``run_words`` words are found wherever they lie, inside longer lines and
@@ -25,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewind.llm.common import attach, join_labels, materialize, stream_groups
+from tidewind.llm.common import attach, discard, join_labels, materialize, stream_groups
 from tidewind.llm.components import connected_components
 
 LAST = (1 << 63) - 1
@@ -37,6 +37,8 @@ STEP = np.uint64(0xD6E8FEB86659FD93)
 MIX = np.uint64(0x9E3779B97F4A7C15)
 #: Words in a fingerprint of a run.
 ANCHOR = 16
+#: Words whose hashes a task keeps, some 40 MB.
+KNOWN_WORDS = 250_000
 
 
 def tune_bands(threshold: float, recall: float, rows: int = 5, most: int = 64) -> tuple[int, int]:
@@ -134,7 +136,7 @@ def _units(docs: DataFrame, min_words: int, width: int, bands: int, rows: int, r
             for at in range(0, len(pdf), 256):
                 part = pdf.iloc[at : at + 256]
                 out, shingles = [], []
-                if len(known) > 1_000_000:
+                if len(known) > KNOWN_WORDS:
                     known.clear()
                 whole, prints = [], []
                 for rk, d, text in zip(part["rk"], part["d"], part["text"], strict=True):
@@ -158,53 +160,61 @@ def _units(docs: DataFrame, min_words: int, width: int, bands: int, rows: int, r
     return docs.select("rk", "d", "text").mapInPandas(run, "rk long, d long, line int, u long, bands array<long>")
 
 
-def _jaccard_links(sets: list[np.ndarray], side: np.ndarray, threshold: float, labels: np.ndarray, base: int) -> None:
-    """Join the labels of all pairs of sets with a similarity of at least the threshold."""
-    if len(sets) == 2:
-        both = len(np.intersect1d(sets[0], sets[1], assume_unique=True))
-        if both >= threshold * (len(sets[0]) + len(sets[1]) - both):
-            labels[base + 1] = base
-        return
+def _jaccard_links(sets: list[np.ndarray], asks: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (asking, any) of the pairs of sets with a similarity of at least the threshold, blocks of shingles at a time."""
     row = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
-    _, column, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
-    shared = times[column] > 1
-    row, column = row[shared], np.unique(column[shared], return_inverse=True)[1]
-    both = np.zeros((len(sets), len(sets)), dtype=np.float32)
+    _, column = np.unique(np.concatenate(sets), return_inverse=True)
     order = np.argsort(column, kind="stable")
     row, column = row[order], column[order]
+    both = np.zeros((len(asks), len(sets)), dtype=np.float32)
     for first in range(0, int(column[-1]) + 1 if len(column) else 0, 4096):
         low, high = np.searchsorted(column, [first, first + 4096])
         block = np.zeros((len(sets), 4096), dtype=np.float32)
         block[row[low:high], column[low:high] - first] = 1
-        both += block @ block.T
+        both += block[asks] @ block.T
     size = np.array([len(s) for s in sets], dtype=np.float32)
-    a, b = np.nonzero(np.triu(both >= threshold * (size[:, None] + size[None, :] - both) - 1e-4, 1))
-    ask = (side[a] < 0) | (side[a] != side[b])
-    join_labels(labels, base + a[ask], base + b[ask])
-
-
-def _verified(payload: DataFrame, threshold: float, part_rows: int) -> DataFrame:
-    """``payload(root, u, set)`` -> ``(a, b)``, links with the components of all links inside each root."""
-    large = payload.groupBy("root").count().where(F.col("count") > part_rows)
-    parts = F.ceil(F.col("count") / part_rows).cast("int")
-    salt = F.pmod(F.xxhash64("u"), parts).cast("int")
-    pair = lambda j: F.struct(F.least(salt, j).alias("i"), F.greatest(salt, j).alias("j"), salt.alias("s"))
-    one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("s")))
-    cells = F.when(F.col("count").isNull(), one).otherwise(F.transform(F.sequence(F.lit(0), parts - 1), pair))
-    dealt = payload.join(large, "root", "left").select("root", "u", "set", F.explode(cells).alias("c"))
-    dealt = dealt.select("root", "u", "set", "c.i", "c.j", F.when(F.col("c.i") == F.col("c.j"), -1).otherwise(F.col("c.s")).alias("s"))
+    a, b = np.nonzero(both >= threshold * (size[asks][:, None] + size[None, :] - both) - 1e-4)
+    return asks[a], b
+
+
+def _verified(payload: DataFrame, threshold: float, part_rows: int) -> tuple[DataFrame, list[DataFrame]]:
+    """``payload(root, u, set)`` -> ``(a, b)``, links with the components of all links inside each root, and tables to discard.
+
+    The first paragraph of a root is compared with all others: most copies of a
+    template are similar to it, so one comparison settles them.  Only those that
+    are not are compared with every paragraph of their root, in cells of at most
+    ``part_rows`` askers and ``part_rows`` paragraphs.
+    """
+    size = lambda a, b: F.size(F.array_intersect(a, b))
+    first = payload.groupBy("root").agg(F.min("u").alias("first"), F.count("*").alias("n"))
+    heads = payload.join(first, "root").where(F.col("u") == F.col("first")).select("root", "first", "n", F.col("set").alias("head"))
+    met = attach(payload, heads, "root", "n", payload.count()).where("u <> first")
+    both = size("set", "head")
+    alike = both >= F.lit(threshold) * (F.size("set") + F.size("head") - both) - 1e-9
+    met = materialize(met.select("root", "first", "u", alike.alias("alike")))
+    apart = met.where("not alike").groupBy("root").agg(F.count("*").alias("n_asks"))
+    n = met.groupBy("root").agg((F.count("*") + 1).alias("n"))
+    parts = lambda c: F.ceil(F.col(c) / part_rows).cast("int")
+    groups = materialize(apart.join(n, "root").select("root", "n", parts("n_asks").alias("ask_parts"), parts("n").alias("all_parts")))
+    rows = attach(payload, groups, "root", "n", payload.count()).where("ask_parts is not null")
+    asking = met.where("not alike").select("u", F.lit(True).alias("asks"))
+    salt = lambda c: F.pmod(F.xxhash64("u"), F.col(c)).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    whole = rows.select("root", "u", "set", F.lit(False).alias("asks"), every("ask_parts").alias("i"), salt("all_parts").alias("j"))
+    asks = rows.join(asking, "u").select("root", "u", "set", "asks", salt("ask_parts").alias("i"), every("all_parts").alias("j"))
 
     def each(pdf: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
-        sets = [np.frombuffer(s, dtype="<u8") for s in pdf["set"]]
-        side, u, labels = pdf["s"].to_numpy(), pdf["u"].to_numpy(), np.arange(len(pdf))
+        sets, asks, u, labels = list(pdf["set"]), pdf["asks"].to_numpy(dtype=bool), pdf["u"].to_numpy(), np.arange(len(pdf))
         edges = np.flatnonzero(np.diff(group, prepend=-1, append=-1))
         for low, high in zip(edges[:-1], edges[1:], strict=True):
-            if high - low > 1:
-                _jaccard_links(sets[low:high], side[low:high], threshold, labels, low)
+            a, b = _jaccard_links(sets[low:high], np.flatnonzero(asks[low:high]), threshold)
+            join_labels(labels, low + a, low + b)
         moved = np.flatnonzero(labels != np.arange(len(pdf)))
-        return pd.DataFrame({"a": u[moved], "b": u[labels[moved]]})
+        out = pd.DataFrame({"a": u[moved], "b": u[labels[moved]]})
+        return out[out["a"] != out["b"]]
 
-    return stream_groups(dealt, ["root", "i", "j"], ["u"], each, "a long, b long")
+    found = stream_groups(whole.unionByName(asks), ["root", "i", "j"], ["u"], each, "a long, b long")
+    return found.unionByName(met.where("alike").select(F.col("u").alias("a"), F.col("first").alias("b"))), [met, groups]
 
 
 def _spans(mark: np.ndarray) -> list[tuple[int, int]]:
@@ -254,21 +264,23 @@ def cut_runs(text: str, linked: list[int], gone_lines: list[int], shared: list[i
 
 
 def _copies_and_wanted(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Copies of whole texts, ``(rk, of, d)`` with the first document and its doc_id, and the
+    """Tables: copies of whole texts, ``(rk, of, d)`` with the first document and its doc_id, and the
     fingerprints ``(of, prints)`` that the first documents share with each other.
     """
     firsts = pages.groupBy("u").agg(F.min(F.struct("d", "rk", "bands")).alias("first"), F.min("rk").alias("lo"), F.max("rk").alias("hi"), F.count("*").alias("n"))
     firsts = materialize(firsts)
     several = firsts.where("lo <> hi").select("u", "n", F.col("first.rk").alias("of"), F.col("first.d").alias("d"))
-    copies = attach(pages.select("rk", "u"), several, "u", "n", pages.count()).where("of is not null").select("rk", "of", "d").distinct()
+    copies = materialize(attach(pages.select("rk", "u"), several, "u", "n", pages.count()).where("of is not null").select("rk", "of", "d").distinct())
     prints = firsts.select(F.col("first.rk").alias("of"), F.explode("first.bands").alias("print"))
     shared = materialize(prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1"))
     found = attach(prints, shared, "print", "n", prints.count()).where("n is not null")
-    return copies, found.groupBy("of").agg(F.collect_list("print").alias("prints"))  # at most the fingerprints of a document
+    wanted = materialize(found.groupBy("of").agg(F.collect_list("print").alias("prints")))  # at most the fingerprints of a document
+    discard(firsts, shared)
+    return copies, wanted
 
 
 def _run_fates(windows: DataFrame, copies: DataFrame) -> DataFrame:
-    """``windows(rk, d, at, runs)`` -> ``(rk, shared, gone, first, ids)`` of each document with repeated runs:
+    """``windows(rk, d, at, runs)`` -> table ``(rk, shared, gone, first, ids)`` of each document with repeated runs:
 
     starts of runs that another document has, of those that an earlier one has,
     the smallest doc_id of a run's first document, and these of the gone ones.
@@ -297,7 +309,9 @@ def _run_fates(windows: DataFrame, copies: DataFrame) -> DataFrame:
     )
     both = single.unionByName(copied).groupBy("rk")
     flat = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
-    return both.agg(flat("shared"), flat("gone"), F.min("first").alias("first"), flat("ids"))
+    out = materialize(both.agg(flat("shared"), flat("gone"), F.min("first").alias("first"), flat("ids")))
+    discard(owner, single)
+    return out
 
 
 def repeated_paragraphs(docs: DataFrame, min_words: int = 20, width: int = 5, threshold: float = 0.8, recall: float = 0.99, part_rows: int = 512, run_words: int = 51) -> DataFrame:
@@ -320,15 +334,16 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 20, width: int = 5, th
     source = docs.select(key.alias("rk"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), "text")
     made = materialize(_units(source, min_words, width, bands, rows, run_words))
     units, pages = made.where("line >= 0"), made.where("line < 0")
-    total = units.count()
     copies, prints = _copies_and_wanted(pages)
     first = F.min(F.struct("d", "rk", "line", "bands")).alias("first")
     uniq = materialize(units.groupBy("u").agg(first, F.min("rk").alias("lo"), F.max("rk").alias("hi"), F.count("*").alias("n")))
 
-    # Candidates: neighbours in each band bucket form a chain.
+    # Candidates: the paragraphs of a band bucket form a star around its smallest.
     banded = uniq.select("u", F.explode("first.bands").alias("key"))
-    chain = banded.select("u", F.lag("u").over(Window.partitionBy("key").orderBy("u")).alias("v")).where("v is not null")
-    near = connected_components(chain.select(F.col("v").alias("a"), F.col("u").alias("b")))
+    buckets = materialize(banded.groupBy("key").agg(F.min("u").alias("low"), F.max("u").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "low", "n"))
+    star = attach(banded, buckets, "key", "n", bands * uniq.count()).where("low <> u")
+    near = connected_components(star.select(F.col("u").alias("a"), F.col("low").alias("b")))
+    discard(buckets)
 
     # Their shingle sets, read from one document that has the paragraph, and the windows around shared fingerprints.
     wanted = near.join(uniq, near["node"] == uniq["u"]).select(F.col("first.rk").alias("of"), F.struct(F.col("first.line").alias("line"), "u", "root").alias("w"))
@@ -339,36 +354,39 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 20, width: int = 5, th
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         known: dict[bytes, int] = {}
         for pdf in batches:
-            if len(known) > 1_000_000:
-                known.clear()
-            out = []
-            for rk, d, text, wanted_lines, shared in zip(pdf["rk"], pdf["d"], pdf["text"], pdf["wanted"], pdf["prints"], strict=True):
-                lines = text.split("\n")
-                for w in wanted_lines if wanted_lines is not None else ():
-                    words = _words(lines[w["line"]])
-                    out.append((w["root"], w["u"], np.unique(shingle_hashes(words, known, width)).astype("<u8").tobytes(), None, None, None, None))
-                if shared is not None:
-                    words = _words(text)
-                    anchors = np.isin(window_hashes(words, known, size).view(np.int64), shared)
-                    runs = window_hashes(words, known, run_words).view(np.int64)
-                    at = np.flatnonzero(_slide(np.maximum, anchors, run_words - size + 1))
-                    out.append((None, None, None, rk, d, at.astype(np.int32), runs[at]))
-            made = pd.DataFrame(out, columns=["root", "u", "set", "rk", "d", "at", "runs"], dtype=object)
-            yield made.astype({c: "Int64" for c in ("root", "u", "rk", "d")})
-
-    payload = source.join(wanted, F.col("rk") == F.col("of")).select("rk", "d", "text", "wanted", "prints")
-    payload = payload.mapInPandas(cut, "root long, u long, set binary, rk long, d long, at array<int>, runs array<long>")
-    payload = materialize(payload.dropDuplicates(["u", "rk"]))
+            for low in range(0, len(pdf), 256):
+                if len(known) > KNOWN_WORDS:
+                    known.clear()
+                out = []
+                for rk, d, text, wanted_lines, shared in pdf.iloc[low : low + 256].itertuples(index=False):
+                    lines = text.split("\n")
+                    for w in wanted_lines if wanted_lines is not None else ():
+                        words = _words(lines[w["line"]])
+                        out.append((w["root"], w["u"], np.unique(shingle_hashes(words, known, width)).view(np.int64), None, None, None, None))
+                    if shared is not None:
+                        words = _words(text)
+                        anchors = np.isin(window_hashes(words, known, size).view(np.int64), shared)
+                        runs = window_hashes(words, known, run_words).view(np.int64)
+                        at = np.flatnonzero(_slide(np.maximum, anchors, run_words - size + 1))
+                        out.append((None, None, None, rk, d, at.astype(np.int32), runs[at]))
+                made = pd.DataFrame(out, columns=["root", "u", "set", "rk", "d", "at", "runs"], dtype=object)
+                yield made.astype({c: "Int64" for c in ("root", "u", "rk", "d")})
+
+    payload = source.join(wanted, F.col("rk") == F.col("of")).select("rk", "d", "text", "wanted", "prints").dropDuplicates(["rk"])
+    payload = materialize(payload.mapInPandas(cut, "root long, u long, set array<long>, rk long, d long, at array<int>, runs array<long>"))
+    discard(prints, near)
     runs = _run_fates(payload.where("rk is not null").select("rk", "d", "at", "runs"), copies)
-    payload = payload.where("u is not null").select("root", "u", "set")
-    classes = connected_components(_verified(payload, threshold, part_rows))
+    linked, spare = _verified(payload.where("u is not null").select("root", "u", "set"), threshold, part_rows)
+    classes = connected_components(linked)
+    discard(payload, copies, *spare)
 
     # The classes that occur in several documents, and what becomes of each paragraph.
     named = uniq.join(classes, uniq["u"] == classes["node"], "left").select("u", "n", "lo", "hi", F.col("first.d").alias("d"), F.col("first.rk").alias("rk"), F.coalesce("root", "u").alias("root"))
     named = materialize(named)
+    discard(uniq, classes)
     kept = named.groupBy("root").agg(F.min(F.struct("d", "rk")).alias("keep"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
     fate = materialize(named.select("root", "u", "n").join(kept, "root").select("u", "n", "keep"))
-    found = attach(units.select("rk", "line", "u"), fate, "u", "n", total).where("keep is not null")
+    found = attach(units.select("rk", "line", "u"), fate, "u", "n", units.count()).where("keep is not null")
     gone = F.col("keep.rk") != F.col("rk")
     per_doc = found.groupBy("rk").agg(
         F.min("keep.d").alias("class"),
@@ -386,6 +404,8 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 20, width: int = 5, th
         F.col("gone").alias("_tw_runs"),
         F.array_sort(F.array_union(none("sources", "long"), none("ids", "long"))).alias("source_doc_ids"),
     )
+    per_doc = materialize(per_doc)
+    discard(made, named, fate, runs)
 
     @F.pandas_udf("text string, n_links long, n_removed long")
     def without(text: pd.Series, linked: pd.Series, lines: pd.Series, shared: pd.Series, runs: pd.Series) -> pd.DataFrame:
