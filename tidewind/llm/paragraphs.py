@@ -19,7 +19,6 @@ words it covers.  Copies of a whole text meet by its hash and don't take part.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,9 +31,10 @@ from tidewind.llm.common import attach, discard, join_labels, materialize, strea
 from tidewind.llm.components import connected_components
 
 LAST = (1 << 63) - 1
-WORD = re.compile(rb"\S+")
 STEP = np.uint64(0xD6E8FEB86659FD93)
 MIX = np.uint64(0x9E3779B97F4A7C15)
+#: Bytes that stand between words.
+BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 #: Words in a fingerprint of a run.
 ANCHOR = 16
 #: Words whose hashes a task keeps, some 40 MB.
@@ -49,53 +49,39 @@ def tune_bands(threshold: float, recall: float, rows: int = 5, most: int = 64) -
     raise ValueError("no such banding")
 
 
-def shingle_hashes(words: list[bytes], known: dict[bytes, int], width: int) -> np.ndarray:
-    """64-bit hashes of the word shingles; fewer words make one shingle."""
-    ids = []
-    for w in words:
-        h = known.get(w)
-        if h is None:
-            h = known[w] = xxhash.xxh64_intdigest(w)
-        ids.append(h)
-    h = np.array(ids, dtype=np.uint64)
-    size = min(width, len(h))
-    out = np.zeros(len(h) - size + 1, dtype=np.uint64)
-    for i in range(size):
-        out *= STEP
-        out += h[i : len(h) - size + 1 + i]
-    out ^= out >> np.uint64(32)
-    out *= MIX
-    return out
+class WordHashes(dict):
+    """64-bit hashes of words, kept for when they come again."""
+
+    def __missing__(self, word: bytes) -> int:
+        if len(self) >= KNOWN_WORDS:
+            self.clear()
+        found = self[word] = xxhash.xxh64_intdigest(word)
+        return found
+
+    def of(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
 
+def band_keys(flat: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """Band keys (one row per paragraph) of MinHash signatures with bands * rows permutations.
 
-def band_keys(shingles: list[np.ndarray], bands: int, rows: int) -> np.ndarray:
-    """Band keys (one row per paragraph) of MinHash signatures with bands * rows permutations."""
+    A paragraph's shingles are ``flat`` from its start to the next one.
+    """
     rng = np.random.default_rng(8)
     factors = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-    offsets = rng.integers(0, 1 << 63, bands * rows, dtype=np.uint64)
-    flat = np.concatenate(shingles)
-    starts = np.cumsum([0, *map(len, shingles)])[:-1]
-    out = np.empty((len(shingles), bands), dtype=np.uint64)
+    out, product = np.empty((len(starts), bands), dtype=np.uint64), np.empty_like(flat)
     for band in range(bands):
-        key = np.full(len(shingles), band + 1, dtype=np.uint64)
+        key = np.full(len(starts), band + 1, dtype=np.uint64)
         for r in range(band * rows, (band + 1) * rows):
-            least = np.minimum.reduceat((flat * factors[r] + offsets[r]) >> np.uint64(16), starts)
-            key = (key ^ least) * MIX
+            key = (key ^ np.minimum.reduceat(np.multiply(flat, factors[r], out=product), starts)) * MIX
             key ^= key >> np.uint64(29)
         out[:, band] = key
     return out.view(np.int64)
 
 
-def _words(text: str) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").lower().split()
-
-
-def window_hashes(words: list[bytes], known: dict[bytes, int], width: int) -> np.ndarray:
+def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
     """64-bit hashes of all windows of ``width`` words, by doubling."""
-    for w in words:
-        if w not in known:
-            known[w] = xxhash.xxh64_intdigest(w)
-    part, size, done, n = np.array([known[w] for w in words], dtype=np.uint64), 1, 0, max(0, len(words) - width + 1)
+    part, size, done, n = hashes, 1, 0, max(0, len(hashes) - width + 1)
     out = np.zeros(n, dtype=np.uint64)
     while n:
         power = np.uint64(pow(int(STEP), size, 1 << 64))
@@ -109,6 +95,10 @@ def window_hashes(words: list[bytes], known: dict[bytes, int], width: int) -> np
     return out * MIX
 
 
+def window_hashes(words: list[bytes], known: WordHashes, width: int) -> np.ndarray:
+    return rolling(known.of(words), width)
+
+
 def _slide(least: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
     size = 1
     while size * 2 <= width:
@@ -116,46 +106,78 @@ def _slide(least: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
     return least(values[: len(values) - (width - size)], values[width - size :]) if size < width else values
 
 
-def winnow(hashes: np.ndarray, width: int) -> np.ndarray:
-    """Which hashes are the least of some ``width`` neighbours: equal stretches of that many have one in common."""
+def winnow(hashes: np.ndarray, width: int, whole: np.ndarray | None = None) -> np.ndarray:
+    """Which hashes are the least of some ``width`` neighbours: equal stretches of that many have one in common.
+
+    Of the stretches only those count that are marked in ``whole``.
+    """
     if len(hashes) < width:
         return np.zeros(len(hashes), dtype=bool)
-    least = np.pad(_slide(np.minimum, hashes, width), width - 1)
-    return _slide(np.maximum, least, width) == hashes
+    least = _slide(np.minimum, hashes, width)
+    if whole is not None:
+        least = np.where(whole, least, np.uint64(0))
+    return (_slide(np.maximum, np.pad(least, width - 1), width) == hashes) & (hashes > 0)
+
+
+def chunks(pdf: pd.DataFrame, most: int = 1 << 20) -> Iterator[pd.DataFrame]:
+    """Rows in turn, in parts of about ``most`` characters of text."""
+    ends = np.cumsum(pdf["text"].str.len().fillna(0).to_numpy(dtype=np.int64))
+    cuts = np.flatnonzero(np.diff(ends // most, prepend=0))
+    for low, high in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
+        if high > low:
+            yield pdf.iloc[low:high]
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """All of starts[i], starts[i] + 1, ... for ``sizes[i]`` numbers, in turn."""
+    return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
 
 
 def _units(docs: DataFrame, min_words: int, width: int, bands: int, rows: int, run_words: int) -> DataFrame:
     """``(rk, d, line, u, bands)`` of each paragraph: row key, doc_id (null last), line number, text hash, band keys;
     and of each text of ``run_words`` words or more, as line -1, the hash of its words and its distinct fingerprints.
+
+    The words of many texts form one stream, so each step is a few passes over it.
     """
     size = min(ANCHOR, run_words)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[bytes, int] = {}
+        known = WordHashes()
         for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                part = pdf.iloc[at : at + 256]
-                out, shingles = [], []
-                if len(known) > KNOWN_WORDS:
-                    known.clear()
-                whole, prints = [], []
-                for rk, d, text in zip(part["rk"], part["d"], part["text"], strict=True):
-                    all_words: list[bytes] = []
-                    for number, line in enumerate((text or "").split("\n")):
-                        words = _words(line)
-                        all_words += words
-                        if len(words) >= min_words:
-                            out.append((rk, d, number, xxhash.xxh64_intdigest(b" ".join(words))))
-                            shingles.append(shingle_hashes(words, known, width))
-                    if len(all_words) >= run_words:
-                        hashes = window_hashes(all_words, known, size)
-                        whole.append((rk, d, -1, xxhash.xxh64_intdigest(b" ".join(all_words))))
-                        prints.append(np.unique(hashes[winnow(hashes, run_words - size + 1)]).view(np.int64))
-                if out or whole:
-                    made = pd.DataFrame(out + whole, columns=["rk", "d", "line", "u"])
-                    made["u"] = made["u"].to_numpy(dtype=np.uint64).view(np.int64)
-                    made["bands"] = [*(band_keys(shingles, bands, rows) if out else []), *prints]
-                    yield made
+            for part in chunks(pdf):
+                words: list[bytes] = []
+                out, starts, counts, whole, spans = [], [], [], [], []
+                for rk, d, text in part[["rk", "d", "text"]].itertuples(index=False):
+                    at = len(words)
+                    for number, line in enumerate((text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")):
+                        found = line.split()
+                        if len(found) >= min_words:
+                            out.append((rk, d, number, xxhash.xxh64_intdigest(b" ".join(found))))
+                            starts.append(len(words))
+                            counts.append(len(found) - width + 1)
+                        words += found
+                    if len(words) - at >= run_words:
+                        whole.append((rk, d, -1, xxhash.xxh64_intdigest(b" ".join(words[at:]))))
+                        spans.append((at, len(words)))
+                if not out and not whole:
+                    continue
+                hashes = known.of(words)
+                keys: list[np.ndarray] = []
+                if out:
+                    sizes = np.array(counts)
+                    flat = rolling(hashes, width)[_ranges(np.array(starts), sizes)]
+                    keys += [*band_keys(flat, np.cumsum(sizes) - sizes, bands, rows)]
+                if whole:
+                    prints = rolling(hashes, size)
+                    inside = np.zeros(len(prints) - run_words + size, dtype=bool)
+                    for low, high in spans:
+                        inside[low : high - run_words + 1] = True
+                    picked = winnow(prints, run_words - size + 1, inside)
+                    keys += [np.unique(prints[low:high][picked[low:high]]).view(np.int64) for low, high in spans]
+                made = pd.DataFrame(out + whole, columns=["rk", "d", "line", "u"])
+                made["u"] = made["u"].to_numpy(dtype=np.uint64).view(np.int64)
+                made["bands"] = keys
+                yield made
 
     return docs.select("rk", "d", "text").mapInPandas(run, "rk long, d long, line int, u long, bands array<long>")
 
@@ -230,9 +252,12 @@ def cut_runs(text: str, linked: list[int], gone_lines: list[int], shared: list[i
     leaves of a run is no run of ``run_words`` words any more, and stays.  A start of
     -1 is the whole text.  A line left without words goes with its line break.
     """
-    lines = [line.encode("utf-8", "surrogatepass") for line in text.split("\n")]
-    at = [[m.span() for m in WORD.finditer(line)] for line in lines]
-    ends = np.cumsum([0, *map(len, at)])
+    raw = text.encode("utf-8", "surrogatepass")
+    lines = raw.split(b"\n")
+    solid = np.diff(~BLANK[np.frombuffer(raw, dtype=np.uint8)], prepend=False, append=False)
+    spans = np.flatnonzero(solid).reshape(-1, 2)
+    line_at = np.cumsum([0, *(len(line) + 1 for line in lines)])
+    ends = np.searchsorted(spans[:, 0], line_at)
 
     def mark(starts: list[int], without: list[int]) -> np.ndarray:
         apart = np.zeros(ends[-1], dtype=bool)
@@ -252,7 +277,7 @@ def cut_runs(text: str, linked: list[int], gone_lines: list[int], shared: list[i
     for number, line in enumerate(lines):
         if number in drop:
             continue
-        words, mine = at[number], lost[ends[number] : ends[number + 1]]
+        words, mine = spans[ends[number] : ends[number + 1]] - line_at[number], lost[ends[number] : ends[number + 1]]
         if len(words) and mine.all():
             continue
         for first, end in reversed(_spans(mine)):
@@ -279,13 +304,12 @@ def _copies_and_wanted(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     return copies, wanted
 
 
-def _run_fates(windows: DataFrame, copies: DataFrame) -> DataFrame:
-    """``windows(rk, d, at, runs)`` -> table ``(rk, shared, gone, first, ids)`` of each document with repeated runs:
+def _run_fates(each: DataFrame, copies: DataFrame) -> DataFrame:
+    """``each(rk, d, at, run)`` -> table ``(rk, shared, gone, first, ids)`` of each document with repeated runs:
 
     starts of runs that another document has, of those that an earlier one has,
     the smallest doc_id of a run's first document, and these of the gone ones.
     """
-    each = windows.select("rk", "d", F.explode(F.arrays_zip("at", "runs")).alias("w")).select("rk", "d", F.col("w.at").alias("at"), F.col("w.runs").alias("run"))
     owner = each.groupBy("run").agg(F.min(F.struct("d", "rk")).alias("keep"), F.min("rk").alias("lo"), F.max("rk").alias("hi"), F.count("*").alias("n"))
     owner = materialize(owner.where("lo <> hi").select("run", "n", "keep"))
     gone = F.col("keep.rk") != F.col("rk")
@@ -324,11 +348,13 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 20, width: int = 5, th
     of these).  A document is told by doc_id and text, so repeated rows are the same
     document and fare alike; a null doc_id comes last.  Null texts stay null,
     empty ones empty; repeats inside one document stay, as do paragraphs of fewer
-    than ``min_words`` words outside of repeated runs and the rest, of fewer than
+    than ``min_words`` words (no fewer than ``width``) outside of repeated runs and the rest, of fewer than
     ``run_words`` words, of a run that lost a paragraph.  Words are told apart by
     white space, in ASCII letters without case.  Columns of these names are
     replaced; names that start with ``_tw_`` are reserved.  No rows give no rows.
     """
+    if min_words < width:
+        raise ValueError("a paragraph needs the words of a shingle at least")
     bands, rows = tune_bands(threshold, recall)
     key = F.xxhash64("doc_id", "text")
     source = docs.select(key.alias("rk"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), "text")
@@ -352,30 +378,34 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 20, width: int = 5, th
     size = min(ANCHOR, run_words)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known: dict[bytes, int] = {}
+        known = WordHashes()
         for pdf in batches:
-            for low in range(0, len(pdf), 256):
-                if len(known) > KNOWN_WORDS:
-                    known.clear()
-                out = []
-                for rk, d, text, wanted_lines, shared in pdf.iloc[low : low + 256].itertuples(index=False):
-                    lines = text.split("\n")
+            for part in chunks(pdf):
+                sets, windows = [], []
+                for rk, d, text, wanted_lines, shared in part.itertuples(index=False):
+                    lines = [line.split() for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n")]
                     for w in wanted_lines if wanted_lines is not None else ():
-                        words = _words(lines[w["line"]])
-                        out.append((w["root"], w["u"], np.unique(shingle_hashes(words, known, width)).view(np.int64), None, None, None, None))
+                        sets.append((w["root"], w["u"], np.unique(rolling(known.of(lines[w["line"]]), width)).view(np.int64)))
                     if shared is not None:
-                        words = _words(text)
-                        anchors = np.isin(window_hashes(words, known, size).view(np.int64), shared)
-                        runs = window_hashes(words, known, run_words).view(np.int64)
-                        at = np.flatnonzero(_slide(np.maximum, anchors, run_words - size + 1))
-                        out.append((None, None, None, rk, d, at.astype(np.int32), runs[at]))
-                made = pd.DataFrame(out, columns=["root", "u", "set", "rk", "d", "at", "runs"], dtype=object)
-                yield made.astype({c: "Int64" for c in ("root", "u", "rk", "d")})
+                        hashes = known.of([w for line in lines for w in line])
+                        # Equal windows have the same least fingerprint.
+                        least = _slide(np.minimum, rolling(hashes, size), run_words - size + 1)
+                        at = np.flatnonzero(np.isin(least.view(np.int64), shared))
+                        windows.append((rk, d, at, rolling(hashes, run_words).view(np.int64)[at]))
+                if sets:
+                    made = pd.DataFrame(sets, columns=["root", "u", "set"])
+                    yield made.assign(rk=None, d=None, at=None, run=None).astype({"rk": "Int64", "d": "Int64", "at": "Int32", "run": "Int64"})
+                if windows:
+                    rk, d, at, run = zip(*windows, strict=True)
+                    sizes = list(map(len, at))
+                    made = pd.DataFrame({"rk": np.repeat(rk, sizes), "d": np.repeat(d, sizes), "at": np.concatenate(at).astype(np.int32), "run": np.concatenate(run)})
+                    made = made.assign(root=None, u=None, set=None).astype({"root": "Int64", "u": "Int64"})
+                    yield made[["root", "u", "set", "rk", "d", "at", "run"]]
 
     payload = source.join(wanted, F.col("rk") == F.col("of")).select("rk", "d", "text", "wanted", "prints").dropDuplicates(["rk"])
-    payload = materialize(payload.mapInPandas(cut, "root long, u long, set array<long>, rk long, d long, at array<int>, runs array<long>"))
+    payload = materialize(payload.mapInPandas(cut, "root long, u long, set array<long>, rk long, d long, at int, run long"))
     discard(prints, near)
-    runs = _run_fates(payload.where("rk is not null").select("rk", "d", "at", "runs"), copies)
+    runs = _run_fates(payload.where("rk is not null").select("rk", "d", "at", "run"), copies)
     linked, spare = _verified(payload.where("u is not null").select("root", "u", "set"), threshold, part_rows)
     classes = connected_components(linked)
     discard(payload, copies, *spare)
