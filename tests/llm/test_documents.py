@@ -477,10 +477,8 @@ def test_bpe_query_matches_the_library(spark, sf_dir, library):
 
 
 def test_bpe_on_odd_texts(library):
-    import json
-
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
-        bpe = Bpe(json.load(file))
+        bpe = Bpe(file.read())
     rng = random.Random(6)
     texts = ["", "a" * 4000, "é" * 300, "x<|endoftext|>y <|startoftext|>", "ΟΔΥΣΣΕΥΣ Σ", "İ ﬃ ½ 漢字", "don't we'll 2024!!!", "\x00\x1f\x85   z"]
     texts += ["".join(rng.choice("aaabcinthe!!.-'sd 09éß") for _ in range(rng.randrange(80))) for _ in range(800)]
@@ -493,10 +491,8 @@ def test_bpe_on_odd_texts(library):
 
 def test_compatibility_is_that_of_merging(library):
     """Two tokens are compatible just when merging their symbols gives them back."""
-    import json
-
     with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
-        bpe = Bpe(json.load(file))
+        bpe = Bpe(file.read())
 
     def merged(seq):
         while True:
@@ -514,6 +510,16 @@ def test_compatibility_is_that_of_merging(library):
         assert bpe.compatible(a, b) == (merged(bpe.symbols(a) + bpe.symbols(b)) == [a, b])
 
 
+def test_words_are_cut_like_the_library_cuts_them_for_every_code_point(library):
+    with open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8") as file:
+        bpe = Bpe(file.read())
+    for c in range(0x110000):
+        if not 0xD800 <= c < 0xE000:
+            text = f"e{chr(c)}a"
+            clean = library.normalizer.normalize_str(text)
+            assert bpe.pieces(text) == [clean[a:b] for _, (a, b) in library.pre_tokenizer.pre_tokenize_str(clean)], hex(c)
+
+
 def test_bpe_of_nasty_rows(spark):
     df = nasty(spark)
     path = public_tokenizers.path("word_bpe_49k.json")

@@ -12,21 +12,61 @@ the back-pointers of the whole word.
 from __future__ import annotations
 
 import json
+import re
+import struct
+import sys
 import unicodedata
 from collections import deque
 from collections.abc import Iterator
+from functools import cache
+from itertools import groupby
 
 import numpy as np
 import pandas as pd
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
+from tidewind.llm.common import chunks
+
+#: Words and pairs of tokens whose results a worker keeps, some 60 MB and 25 MB.
 CACHE_WORDS = 200_000
-ROWS_OUT = 512
+CACHE_PAIRS = 200_000
+CHARS_OUT = 1 << 21
 NEVER = 1 << 60
 
 
+@cache
+def unknown_characters() -> re.Pattern:
+    """Finds a code point that Python's Unicode tables don't know."""
+    found = []
+    for unknown, run in groupby(range(sys.maxunicode + 1), lambda c: unicodedata.category(chr(c)) == "Cn"):
+        if unknown:
+            first, *rest = run
+            found.append(f"\\U{first:08x}-\\U{rest[-1] if rest else first:08x}")
+    return re.compile(f"[{''.join(found)}]")
+
+
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
+class Words(dict):
+    """(ids as little-endian 32-bit integers, the tokens' texts) of each word, kept for when it comes again."""
+
+    def __init__(self, encode: "Bpe") -> None:
+        self.bpe = encode
+
+    def __missing__(self, word: str) -> tuple[bytes, str]:
+        if len(self) >= CACHE_WORDS:
+            self.clear()
+        found = self.bpe.word(word)
+        if len(word) < 64:
+            self[word] = found
+        return found
+
+
 def byte_letters() -> dict[int, str]:
     """The printable letter of each byte in byte-level vocabularies: itself, or the next free from 256 on."""
     own = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -41,7 +81,8 @@ def byte_letters() -> dict[int, str]:
 class Bpe:
     """Tables of one vocabulary (a parsed tokenizer file)."""
 
-    def __init__(self, spec: dict) -> None:
+    def __init__(self, source: str) -> None:
+        spec, self.source, self.library = json.loads(source), source, None
         model = spec["model"]
         vocab, self.end = model["vocab"], model.get("end_of_word_suffix") or ""
         self.added = {a["content"]: a["id"] for a in spec.get("added_tokens", [])}
@@ -55,11 +96,13 @@ class Bpe:
         letters = byte_letters()
         self.inner = [vocab[letters[b]] for b in range(256)]
         self.final = [vocab[letters[b] + self.end] for b in range(256)]
-        self.edges: dict[int, tuple[list, list]] = {}
-        self.fits: dict[tuple[int, int], bool] = {}
-        self.words: dict[str, tuple[bytes, str, int]] = {}
-        self.split = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
-        self.cut = regex.compile("(" + "|".join(regex.escape(a) for a in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
+        self.edges: dict[int, tuple[tuple, tuple]] = {}
+        self.fits: dict[int, bool] = {}
+        self.words = Words(self)
+        self.any = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+        self.plain = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^a-z0-9\t-\r ]+")
+        self.rare = re.compile("[^\\x00-\u024f\u2010-\u2027\u20ac]")
+        self.cut = re.compile("(" + "|".join(re.escape(a) for a in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self._automaton(set(vocab.values()))
 
     def symbols(self, token: int) -> list[int]:
@@ -99,20 +142,20 @@ class Bpe:
                 self.matches[at] = ((ends[at],) if ends[at] else ()) + self.matches[self.suffix[at]]
                 todo.append(at)
 
-    def _edge(self, token: int) -> tuple[list, list]:
+    def _edge(self, token: int) -> tuple[tuple, tuple]:
         """Pieces along the right and the left edge, from single symbols up, each with the rank of the merge that ends it."""
         found = self.edges.get(token)
         if found is None:
-            found = ([], [])
-            for side, pieces in ((2, found[0]), (1, found[1])):
-                t, until = token, NEVER
+            sides = []
+            for side in (2, 1):
+                pieces, t, until = [], token, NEVER
                 while True:
                     pieces.append((t, until))
                     if t not in self.parts:
                         break
                     until, t = self.parts[t][0], self.parts[t][side]
-                pieces.reverse()
-            self.edges[token] = found
+                sides.append(tuple(reversed(pieces)))
+            found = self.edges[token] = tuple(sides)
         return found
 
     def compatible(self, left: int, right: int) -> bool:
@@ -121,7 +164,7 @@ class Bpe:
         A merge over the boundary happens if its rank comes before the pieces on
         either side are merged away; of equal ranks the one further left wins.
         """
-        key = (left, right)
+        key = left << 32 | right
         known = self.fits.get(key)
         if known is None:
             lefts, rights = self._edge(left)[0], self._edge(right)[1]
@@ -139,7 +182,7 @@ class Bpe:
                     i += 1
                 else:
                     j += 1
-            if len(self.fits) > 5 * CACHE_WORDS:
+            if len(self.fits) >= CACHE_PAIRS:
                 self.fits.clear()
             self.fits[key] = known
         return known
@@ -147,58 +190,60 @@ class Bpe:
     def encode_symbols(self, seq: list[int]) -> list[int]:
         n, state = len(seq), 0
         last, start = [0] * (n + 1), [0] * (n + 1)
-        step, suffix, matches, fits = self.next, self.suffix, self.matches, self.compatible
+        step, suffix, matches, known, fits = self.next, self.suffix, self.matches, self.fits.get, self.compatible
         for i, s in enumerate(seq, 1):
             while state and s not in step[state]:
                 state = suffix[state]
             state = step[state].get(s, 0)
             for token, size in matches[state]:
                 at = i - size
-                if at == 0 or fits(last[at], token):
-                    last[i], start[i] = token, at
-                    break
+                if at:
+                    fit = known(last[at] << 32 | token)
+                    if fit is None:
+                        fit = fits(last[at], token)
+                    if not fit:
+                        continue
+                last[i], start[i] = token, at
+                break
         out, i = [], n
         while i:
             out.append(last[i])
             i = start[i]
         return out[::-1]
 
-    def word(self, piece: str) -> tuple[bytes, str, int]:
-        """(ids as little-endian 32-bit integers, the tokens' texts, their number) of one piece."""
-        found = self.words.get(piece)
-        if found is None:
-            raw = piece.encode("utf-8", "surrogatepass")
-            seq = [self.inner[b] for b in raw[:-1]] + [self.final[raw[-1]]]
-            ids = self.encode_symbols(seq)
-            found = (np.array(ids, dtype="<u4").tobytes(), " ".join(self.text_of[i] for i in ids), len(ids))
-            if len(self.words) >= CACHE_WORDS:
-                self.words.clear()
-            self.words[piece] = found
-        return found
+    def word(self, piece: str) -> tuple[bytes, str]:
+        """(ids as little-endian 32-bit integers, the tokens' texts) of one piece."""
+        raw = piece.encode("utf-8", "surrogatepass")
+        seq = [self.inner[b] for b in raw[:-1]] + [self.final[raw[-1]]]
+        ids = self.encode_symbols(seq)
+        return _packed(ids), " ".join([self.text_of[i] for i in ids])
 
     def pieces(self, text: str) -> list[str]:
-        """Normalized words: canonical composition, white space to one blank, lower case letter by letter."""
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            low = text.lower()
-            text = "".join(map(str.lower, text)) if "Σ" in text or len(low) != len(text) else low
-        else:
-            text = text.lower()
-        return self.split.findall(text)
+        """Normalized words: canonical composition, white space to one blank, lower case letter by letter.
+
+        Code points that are newer than Python's Unicode tables have the class and
+        the lower case that the library gives them.
+        """
+        if text.isascii():
+            return self.plain.findall(text.lower())
+        if self.rare.search(text) and unknown_characters().search("".join(set(text))):
+            if self.library is None:
+                self.library = Tokenizer.from_str(self.source)
+            text = self.library.normalizer.normalize_str(text)
+            return [text[a:b] for _, (a, b) in self.library.pre_tokenizer.pre_tokenize_str(text)]
+        text = unicodedata.normalize("NFC", text)
+        low = text.lower()
+        return self.any.findall("".join(map(str.lower, text)) if "Σ" in text or len(low) != len(text) else low)
 
     def encode(self, text: str | None) -> tuple[bytes, str]:
         """Ids and decoded text.  Strings of special tokens become their ids, as they do by default."""
-        ids, texts = [], []
-        parts = self.cut.split(text or "") if self.cut else [text or ""]
-        for i, part in enumerate(parts):
+        found, word = [], self.words.__getitem__
+        for i, part in enumerate(self.cut.split(text or "") if self.cut else [text or ""]):
             if i % 2:
-                ids.append(np.array([self.added[part]], dtype="<u4").tobytes())
-                texts.append(part)
+                found.append((_packed([self.added[part]]), part))
             else:
-                for found in map(self.word, self.pieces(part)):
-                    ids.append(found[0])
-                    texts.append(found[1])
-        return b"".join(ids), " ".join(texts)
+                found += map(word, self.pieces(part))
+        return b"".join([f[0] for f in found]), " ".join([f[1] for f in found])
 
     def decode(self, ids: bytes) -> str:
         return " ".join(self.text_of[int(i)] for i in np.frombuffer(ids, dtype="<u4"))
@@ -210,7 +255,7 @@ _TABLES: dict[int, Bpe] = {}
 def _tables(key: int, source: str) -> Bpe:
     if key not in _TABLES:
         _TABLES.clear()
-        _TABLES[key] = Bpe(json.loads(source))
+        _TABLES[key] = Bpe(source)
     return _TABLES[key]
 
 
@@ -218,9 +263,10 @@ def encode_decode(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, ids, decoded)``, one row per row.
 
     ids holds little-endian unsigned 32-bit integers, decoded is their decoding.
-    A null text counts as empty: no ids, an empty text.  Words of any length are
-    encoded whole.  Other columns are not read.  The driver reads the vocabulary
-    file, of fixed size, and sends it along.
+    A null text counts as empty: no ids, an empty text.  Words of any length and
+    texts of any length are encoded whole, repeated rows each by themselves; no
+    rows give no rows.  Other columns are not read.  The driver reads the
+    vocabulary file, of fixed size, and sends it along.
     """
     with open(tokenizer_file, encoding="utf-8") as file:
         source = file.read()
@@ -229,8 +275,7 @@ def encode_decode(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         bpe = _tables(key, source)
         for pdf in batches:
-            for at in range(0, len(pdf), ROWS_OUT):
-                part = pdf.iloc[at : at + ROWS_OUT]
+            for part in chunks(pdf, CHARS_OUT):
                 done = [bpe.encode(t) for t in part["text"]]
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "ids": [d[0] for d in done], "decoded": [d[1] for d in done]})
 

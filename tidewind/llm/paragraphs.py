@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewind.llm.common import attach, discard, join_labels, materialize, stream_groups
+from tidewind.llm.common import attach, chunks, discard, join_labels, materialize, stream_groups
 from tidewind.llm.components import connected_components
 
 LAST = (1 << 63) - 1
@@ -119,15 +119,6 @@ def winnow(hashes: np.ndarray, width: int, whole: np.ndarray | None = None) -> n
     return (_slide(np.maximum, np.pad(least, width - 1), width) == hashes) & (hashes > 0)
 
 
-def chunks(pdf: pd.DataFrame, most: int = 1 << 20) -> Iterator[pd.DataFrame]:
-    """Rows in turn, in parts of about ``most`` characters of text."""
-    ends = np.cumsum(pdf["text"].str.len().fillna(0).to_numpy(dtype=np.int64))
-    cuts = np.flatnonzero(np.diff(ends // most, prepend=0))
-    for low, high in zip([0, *cuts], [*cuts, len(pdf)], strict=True):
-        if high > low:
-            yield pdf.iloc[low:high]
-
-
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """All of starts[i], starts[i] + 1, ... for ``sizes[i]`` numbers, in turn."""
     return np.repeat(starts - np.cumsum(sizes) + sizes, sizes) + np.arange(sizes.sum())
