@@ -91,11 +91,24 @@ def test_links_lose_no_component(spark, bucket_rows):
     pairs = [(i, j) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= 3]
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     at = {f: i for i, f in enumerate(signed)}
-    found = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), bucket_rows=bucket_rows).collect()
+    found = simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), bucket_rows=bucket_rows)[0].collect()
     assert all((fps[at[a]] ^ fps[at[b]]).bit_count() <= 64 for a, b in found)
     assert components_of(len(fps), [(at[a], at[b]) for a, b in found]) == components_of(len(fps), pairs)
 
 
+def test_pivot_distances_bound_the_distance(spark):
+    rng = random.Random(2)
+    fps = [rng.getrandbits(64) for _ in range(50)]
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    rows = {r["fp"]: r for r in simhash.pivot_table(spark.createDataFrame([(f,) for f in signed], "fp long"), 6).collect()}
+    refs = simhash.pivots(8).tolist()
+    cuts = [round(i * 64 / 6) for i in range(7)]
+    for f, s in zip(fps, signed, strict=True):
+        assert list(int(rows[s]["dist"]).to_bytes(8, "little")) == [(f ^ p).bit_count() for p in refs]
+        for low, high, band in zip(cuts, cuts[1:], rows[s]["bands"], strict=False):
+            assert [band >> 4 * i & 15 for i in range(8)] == [((f ^ p) >> low & (1 << (high - low)) - 1).bit_count() for p in refs]
+
+
 def test_simhash_query_matches_all_pairs(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text").collect()
     fps = [plain_fingerprint(d["text"]) for d in docs]

@@ -1,24 +1,26 @@
 """SimHash near-duplicate detection with pivot distance tables.
 
-Every distinct fingerprint gets its Hamming distances to a table of reference
-fingerprints (pivots).  By the triangle inequality two fingerprints at distance
-d differ by at most d in every coordinate, so a pair whose maximum coordinate
-difference exceeds the limit is discarded without looking at the bits, and the
-survivors are verified on the fingerprints themselves.
-
-Only pairs that can link meet at all: the pivots that vary inside one of
-``blocks`` bit blocks tell whether two fingerprints agree there, and a pair
-within ``max_distance`` bits agrees in all but ``max_distance`` blocks
-(pigeonhole), so rows meet by equality on each choice of agreeing blocks.
-Inside such a bucket rows are sorted by their first pivot distance; a row stops
-looking when the next distance is out of reach.  A bucket above ``bucket_rows``
-fingerprints is cut into that many salted parts whose pairs go to different
-tasks.  A bucket returns a spanning forest of its links, never its pairs.
+Every distinct fingerprint gets, once, its Hamming distances to a table of
+reference fingerprints (pivots): over all bits, and inside each of ``blocks``
+blocks of bits.  By the triangle inequality two fingerprints at distance d differ
+by at most d in every coordinate, and where they agree in a block their
+distances there are equal.
+
+Two fingerprints within ``max_distance`` bits agree in all but ``max_distance``
+blocks, so rows meet by equal block distances on each choice of that many blocks
+(no link is lost).  In such a bucket rows are sorted by their first pivot
+distance; a row stops looking when the next is out of reach, a pair whose maximum
+coordinate difference exceeds the limit is discarded without looking at the
+bits, and the survivors are verified.  In a bucket above ``bucket_rows`` all rows
+are first compared with one of them, and only those that don't link to it are
+compared with the others, in cells of bounded size on different tasks.  A bucket
+returns a spanning forest of its links, never its pairs.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -27,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewind.llm.common import attach, join_labels, materialize, stream_groups
+from tidewind.llm.common import attach, discard, join_labels, materialize, stream_groups
 from tidewind.llm.components import connected_components
 
 SEED = 42
@@ -74,20 +76,28 @@ def fingerprints(docs: DataFrame, width: int = 3, key: Column | None = None) ->
     return docs.select(F.col("doc_id").cast("long"), "text", *keys).mapInPandas(run, "doc_id long, fp long" + ", rk long" * keyed)
 
 
-def _masks(blocks: int, equal: int) -> list[int]:
+def pivot_table(fps: DataFrame, blocks: int, n_pivots: int = 8) -> DataFrame:
+    """``fps(fp)`` with dist, the distances to the pivots (a byte each), and bands, those inside each block (four bits each)."""
     cuts = [round(i * 64 / blocks) for i in range(blocks + 1)]
+    if n_pivots > 8 or max(b - a for a, b in zip(cuts, cuts[1:], strict=False)) > 15:
+        raise ValueError("distances must fit into 64 bits")
+    refs = pivots(n_pivots).view(np.int64).tolist()
+
+    def packed(mask: int, bits: int) -> Column:
+        mask -= (mask >> 63) << 64
+        apart = [F.bit_count(F.col("fp").bitwiseXOR(F.lit(r)).bitwiseAND(F.lit(mask))).cast("long") for r in refs]
+        return reduce(Column.bitwiseOR, [F.shiftleft(a, bits * i) for i, a in enumerate(apart)])
+
     parts = [((1 << (b - a)) - 1) << a for a, b in zip(cuts, cuts[1:], strict=False)]
-    whole = [sum(parts[i] for i in c) for c in combinations(range(blocks), equal)]
-    return [m - (1 << 64) if m >> 63 else m for m in whole]
+    return fps.select("fp", packed((1 << 64) - 1, 8).alias("dist"), F.array(*[packed(m, 4) for m in parts]).alias("bands"))
 
 
-def _bucket_links(fp: np.ndarray, group: np.ndarray, side: np.ndarray, refs: np.ndarray, limit: int) -> np.ndarray:
-    """Spanning forest (pairs of row numbers) of the links inside each group.
+def _bucket_links(fp: np.ndarray, dist: np.ndarray, group: np.ndarray, asks: np.ndarray, limit: int) -> np.ndarray:
+    """Spanning forest (pairs of row numbers) of the links inside each group of which one side at least asks.
 
-    Rows are sorted by group and first pivot distance; ``side`` is -1 where all
-    pairs of a group count, else only pairs of different sides do.
+    Rows are sorted by group and first pivot distance.
     """
-    table = np.bitwise_count(fp[:, None] ^ refs[None, :]).astype(np.int16)
+    table = dist.view(np.uint8).reshape(len(dist), 8).astype(np.int16)
     first, labels = table[:, 0], np.arange(len(fp))
     live, step = np.arange(len(fp)), 0
     while True:
@@ -98,7 +108,7 @@ def _bucket_links(fp: np.ndarray, group: np.ndarray, side: np.ndarray, refs: np.
         live, to = live[near], to[near]
         if not len(live):
             break
-        ask = (labels[live] != labels[to]) & ((side[live] < 0) | (side[live] != side[to]))
+        ask = (labels[live] != labels[to]) & (asks[live] | asks[to])
         a, b = live[ask], to[ask]
         keep = np.abs(table[a] - table[b]).max(axis=1, initial=0) <= limit
         a, b = a[keep], b[keep]
@@ -108,35 +118,38 @@ def _bucket_links(fp: np.ndarray, group: np.ndarray, side: np.ndarray, refs: np.
     return np.stack([rows, labels[rows]], axis=1)
 
 
-def links(fps: DataFrame, max_distance: int = 3, blocks: int = 6, n_pivots: int = 16, bucket_rows: int = 4096) -> DataFrame:
-    """Distinct ``fps(fp)`` -> ``(a, b)``: links whose components are those of all links within ``max_distance``."""
-    masks, refs = _masks(blocks, blocks - max_distance), pivots(n_pivots)
-    zero = int(refs.view(np.int64)[0])
-
-    def meet(mask: int, i: int) -> Column:
-        return F.struct(F.lit(i).alias("t"), F.col("fp").bitwiseAND(F.lit(mask)).alias("k"))
-
-    keyed = fps.select("fp", F.explode(F.array(*[meet(m, i) for i, m in enumerate(masks)])).alias("x")).select("fp", "x.*")
-    large = keyed.groupBy("t", "k").count().where(F.col("count") > bucket_rows)
-    parts = F.ceil(F.col("count") / bucket_rows).cast("int")
-    salt = F.pmod(F.xxhash64("fp"), parts).cast("int")
-    pair = lambda j: F.struct(F.least(salt, j).alias("i"), F.greatest(salt, j).alias("j"), salt.alias("s"))
-    one = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(-1).alias("s")))
-    cells = F.when(F.col("count").isNull(), one).otherwise(F.transform(F.sequence(F.lit(0), parts - 1), pair))
+def links(fps: DataFrame, max_distance: int = 3, blocks: int = 6, bucket_rows: int = 4096) -> tuple[DataFrame, list[DataFrame]]:
+    """Distinct ``fps(fp)`` -> ``(a, b)``: links whose components are those of all links within ``max_distance``; and tables to discard."""
+    table = pivot_table(fps, blocks)
+    agree = list(combinations(range(blocks), blocks - max_distance))
+    keys = F.array(*[F.xxhash64(F.lit(i), *[F.col("bands")[c] for c in chosen]) for i, chosen in enumerate(agree)])
+    keyed = table.select("fp", "dist", F.explode(keys).alias("k"))
+    sizes = keyed.groupBy("k").agg(F.count("*").alias("n"), F.min("fp").alias("head"), F.max("fp").alias("other")).where("head <> other")
+    buckets = materialize(sizes.select("k", "n", "head"))
+    met = attach(keyed, buckets, "k", "n", len(agree) * fps.count()).where("n is not null")
+    met = materialize(met.withColumn("apart", F.bit_count(F.col("fp").bitwiseXOR(F.col("head"))) > max_distance))
+    small, large = met.where(F.col("n") <= bucket_rows), met.where(F.col("n") > bucket_rows)
+    parts = lambda c: F.ceil(F.col(c) / bucket_rows).cast("int")
+    every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
+    salt = lambda c: F.pmod(F.xxhash64("fp"), F.col(c)).cast("int")
+    askers = large.where("apart").groupBy("k").agg(F.count("*").alias("n_asks")).withColumn("ask_parts", parts("n_asks"))
+    askers = materialize(askers)
+    rows = attach(large, askers, "k", "n_asks", met.count()).where("ask_parts is not null").withColumn("all_parts", parts("n"))
     dealt = (
-        keyed.join(large, ["t", "k"], "left")
-        .select("fp", "t", "k", F.explode(cells).alias("c"))
-        .select("fp", "t", "k", "c.i", "c.j", F.when(F.col("c.i") == F.col("c.j"), -1).otherwise(F.col("c.s")).alias("s"))
-        .withColumn("d", F.bit_count(F.col("fp").bitwiseXOR(F.lit(zero))))
+        small.select("fp", "dist", "k", F.lit(True).alias("asks"), F.lit(0).alias("i"), F.lit(0).alias("j"))
+        .unionByName(rows.select("fp", "dist", "k", F.lit(False).alias("asks"), every("ask_parts").alias("i"), salt("all_parts").alias("j")))
+        .unionByName(rows.where("apart").select("fp", "dist", "k", F.lit(True).alias("asks"), salt("ask_parts").alias("i"), every("all_parts").alias("j")))
     )
+    dealt = dealt.withColumn("d", F.col("dist").bitwiseAND(F.lit(255)).cast("int"))
 
     def each(pdf: pd.DataFrame, group: np.ndarray) -> pd.DataFrame:
         many = np.bincount(group)[group] > 1
         fp = pdf["fp"].to_numpy()[many]
-        pairs = _bucket_links(fp.view(np.uint64), group[many], pdf["s"].to_numpy()[many], refs, max_distance)
+        pairs = _bucket_links(fp.view(np.uint64), pdf["dist"].to_numpy()[many], group[many], pdf["asks"].to_numpy(dtype=bool)[many], max_distance)
         return pd.DataFrame({"a": fp[pairs[:, 0]], "b": fp[pairs[:, 1]]})
 
-    return stream_groups(dealt, ["t", "k", "i", "j"], ["d"], each, "a long, b long")
+    found = stream_groups(dealt, ["k", "i", "j"], ["d"], each, "a long, b long")
+    return found.unionByName(large.where("not apart").select(F.col("fp").alias("a"), F.col("head").alias("b"))), [buckets, met, askers]
 
 
 def simhash_components(docs: DataFrame, max_distance: int = 3, width: int = 3) -> DataFrame:
@@ -163,8 +176,10 @@ def _components(rows: DataFrame, max_distance: int) -> DataFrame:
     rows = materialize(rows)
     fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
     total = rows.count()
-    roots = connected_components(links(fps.select("fp"), max_distance))
+    found, spare = links(fps.select("fp"), max_distance)
+    roots = connected_components(found)
     named = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
     classes = materialize(named.join(least, "root").select("fp", "n", "root", "component_id"))
+    discard(fps, roots, *spare)
     return attach(rows, classes, "fp", "n", total)
