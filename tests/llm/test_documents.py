@@ -183,10 +183,11 @@ def test_mix_of_nasty_rows(spark):
 
 
 def test_better_documents_are_taken_more_often(spark):
-    texts = ["word " * 20] * 400 + ["w1234 " * 20] * 400
-    got = mixing.mix(docs_of(spark, texts), weights=(1,), share=0.5, limit=2.0).collect()
-    good, bad = sum(r["taken"] > 0 for r in got if r["doc_id"] < 400), sum(r["taken"] > 0 for r in got if r["doc_id"] >= 400)
-    assert good > 2 * bad > 0
+    names = ["alpha", "beta", "gamma", "delta", "omega", "kappa", "sigma", "theta", "iota", "zeta"]
+    texts = [" ".join(names)] * 400 + [" ".join(f"{w[0]}1234" for w in names)] * 400 + [" ".join(names[:2] * 5)] * 400
+    got = mixing.mix(docs_of(spark, texts), weights=(1,), share=0.4, limit=2.0).collect()
+    good, symbols, repeats = (sum(r["taken"] > 0 for r in got if r["doc_id"] // 400 == i) for i in range(3))
+    assert good > 2 * symbols > 0 and good > 2 * repeats > 0
 
 
 # Sharding.
