@@ -30,8 +30,8 @@ from tokenizers import Tokenizer
 
 from tidewind.llm.common import chunks
 
-#: Words and pairs of tokens whose results a worker keeps, some 60 MB and 25 MB.
-CACHE_WORDS = 200_000
+#: Words and pairs of tokens whose results a task keeps, some 45 MB and 25 MB.
+CACHE_WORDS = 150_000
 CACHE_PAIRS = 200_000
 CHARS_OUT = 1 << 21
 NEVER = 1 << 60
@@ -249,16 +249,6 @@ class Bpe:
         return " ".join(self.text_of[int(i)] for i in np.frombuffer(ids, dtype="<u4"))
 
 
-_TABLES: dict[int, Bpe] = {}
-
-
-def _tables(key: int, source: str) -> Bpe:
-    if key not in _TABLES:
-        _TABLES.clear()
-        _TABLES[key] = Bpe(source)
-    return _TABLES[key]
-
-
 def encode_decode(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, ids, decoded)``, one row per row.
 
@@ -270,10 +260,9 @@ def encode_decode(docs: DataFrame, tokenizer_file: str) -> DataFrame:
     """
     with open(tokenizer_file, encoding="utf-8") as file:
         source = file.read()
-    key = hash(source)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = _tables(key, source)
+        bpe = Bpe(source)  # of the task: a worker that waits for another holds no tables
         for pdf in batches:
             for part in chunks(pdf, CHARS_OUT):
                 done = [bpe.encode(t) for t in part["text"]]

@@ -281,36 +281,44 @@ def cut_runs(text: str, linked: list[int], gone_lines: list[int], shared: list[i
 
 def _copies_and_wanted(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Tables: copies of whole texts, ``(rk, of, d)`` with the first document and its doc_id, and the
-    fingerprints ``(of, prints)`` that the first documents share with each other.
+    fingerprints ``(of, d, prints, ord)`` that the first documents share with each other, ord rising with d and of.
     """
     firsts = pages.groupBy("u").agg(F.min(F.struct("d", "rk", "bands")).alias("first"), F.min("rk").alias("lo"), F.max("rk").alias("hi"), F.count("*").alias("n"))
     firsts = materialize(firsts)
     several = firsts.where("lo <> hi").select("u", "n", F.col("first.rk").alias("of"), F.col("first.d").alias("d"))
     copies = materialize(attach(pages.select("rk", "u"), several, "u", "n", pages.count()).where("of is not null").select("rk", "of", "d").distinct())
-    prints = firsts.select(F.col("first.rk").alias("of"), F.explode("first.bands").alias("print"))
+    prints = firsts.select(F.col("first.rk").alias("of"), F.col("first.d").alias("d"), F.explode("first.bands").alias("print"))
     shared = materialize(prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1"))
     found = attach(prints, shared, "print", "n", prints.count()).where("n is not null")
-    wanted = materialize(found.groupBy("of").agg(F.collect_list("print").alias("prints")))  # at most the fingerprints of a document
+    wanted = found.groupBy("of", "d").agg(F.collect_list("print").alias("prints"))  # at most the fingerprints of a document
+    wanted = materialize(wanted.orderBy("d", "of").withColumn("ord", F.monotonically_increasing_id()))
     discard(firsts, shared)
     return copies, wanted
 
 
-def _run_fates(each: DataFrame, copies: DataFrame) -> DataFrame:
-    """``each(rk, d, at, run)`` -> table ``(rk, shared, gone, first, ids)`` of each document with repeated runs:
+def _run_fates(each: DataFrame, order: DataFrame, copies: DataFrame) -> DataFrame:
+    """``each(ord, at, run)``, ``order(ord, of, d)`` -> table ``(rk, shared, gone, first, ids)`` of each document with repeated runs:
 
     starts of runs that another document has, of those that an earlier one has,
     the smallest doc_id of a run's first document, and these of the gone ones.
     """
-    owner = each.groupBy("run").agg(F.min(F.struct("d", "rk")).alias("keep"), F.min("rk").alias("lo"), F.max("rk").alias("hi"), F.count("*").alias("n"))
-    owner = materialize(owner.where("lo <> hi").select("run", "n", "keep"))
-    gone = F.col("keep.rk") != F.col("rk")
-    single = attach(each, owner, "run", "n", each.count()).where("keep is not null").groupBy("rk").agg(
-        F.collect_set("at").alias("shared"),
-        F.collect_set(F.when(gone, F.col("at"))).alias("gone"),
-        F.min("keep.d").alias("first"),
-        F.collect_set(F.when(gone & (F.col("keep.d") != LAST), F.col("keep.d"))).alias("ids"),
+    owner = each.groupBy("run").agg(F.min("ord").alias("keep"), F.max("ord").alias("last"), F.count("*").alias("n"))
+    owner = materialize(owner.where("keep <> last").select("run", "n", "keep"))
+    gone = F.col("keep") != F.col("ord")
+    single = attach(each, owner, "run", "n", each.count()).where("keep is not null").groupBy("ord").agg(
+        F.collect_list("at").alias("shared"),
+        F.collect_list(F.when(gone, F.col("at"))).alias("gone"),
+        F.min("keep").alias("first"),
+        F.collect_set(F.when(gone, F.col("keep"))).alias("ids"),
     )
     single = materialize(single)
+    named = order.select("ord", F.col("of").alias("rk"), "d")
+    first = order.select(F.col("ord").alias("first"), F.col("d").alias("first_d"))
+    sources = single.select("ord", F.explode("ids").alias("source")).join(order.select(F.col("ord").alias("source"), "d"), "source").where(F.col("d") != LAST)
+    sources = sources.groupBy("ord").agg(F.collect_set("d").alias("ids"))
+    no_ids = F.array().cast("array<long>")
+    single = single.drop("ids").join(named, "ord").join(first, "first").join(sources, "ord", "left")
+    single = materialize(single.select("rk", "shared", "gone", F.col("first_d").alias("first"), F.coalesce("ids", no_ids).alias("ids")))
     # A copy has the runs of its first document, and all other words from it.
     of = single.select(F.col("rk").alias("of"), "first", "ids")
     none, whole = F.array().cast("array<int>"), F.array(F.lit(-1))
@@ -320,7 +328,7 @@ def _run_fates(each: DataFrame, copies: DataFrame) -> DataFrame:
         whole.alias("shared"),
         F.when(is_copy, whole).otherwise(none).alias("gone"),
         F.least("first", "d").alias("first"),
-        F.when(is_copy, F.array_union(F.coalesce("ids", F.array().cast("array<long>")), F.filter(F.array("d"), lambda d: d != LAST))).otherwise(F.array().cast("array<long>")).alias("ids"),
+        F.when(is_copy, F.array_union(F.coalesce("ids", no_ids), F.filter(F.array("d"), lambda d: d != LAST))).otherwise(no_ids).alias("ids"),
     )
     both = single.unionByName(copied).groupBy("rk")
     flat = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
@@ -365,7 +373,7 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 20, width: int = 5, th
     # Their shingle sets, read from one document that has the paragraph, and the windows around shared fingerprints.
     wanted = near.join(uniq, near["node"] == uniq["u"]).select(F.col("first.rk").alias("of"), F.struct(F.col("first.line").alias("line"), "u", "root").alias("w"))
     wanted = wanted.groupBy("of").agg(F.collect_list("w").alias("wanted"))  # at most the paragraphs of a document
-    wanted = wanted.join(prints, "of", "full")
+    wanted = wanted.join(prints.select("of", "prints", "ord"), "of", "full")
     size = min(ANCHOR, run_words)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -373,7 +381,7 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 20, width: int = 5, th
         for pdf in batches:
             for part in chunks(pdf):
                 sets, windows = [], []
-                for rk, d, text, wanted_lines, shared in part.itertuples(index=False):
+                for text, wanted_lines, shared, number in part.itertuples(index=False):
                     lines = [line.split() for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n")]
                     for w in wanted_lines if wanted_lines is not None else ():
                         sets.append((w["root"], w["u"], np.unique(rolling(known.of(lines[w["line"]]), width)).view(np.int64)))
@@ -382,21 +390,20 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 20, width: int = 5, th
                         # Equal windows have the same least fingerprint.
                         least = _slide(np.minimum, rolling(hashes, size), run_words - size + 1)
                         at = np.flatnonzero(np.isin(least.view(np.int64), shared))
-                        windows.append((rk, d, at, rolling(hashes, run_words).view(np.int64)[at]))
+                        windows.append((number, at, rolling(hashes, run_words).view(np.int64)[at]))
                 if sets:
                     made = pd.DataFrame(sets, columns=["root", "u", "set"])
-                    yield made.assign(rk=None, d=None, at=None, run=None).astype({"rk": "Int64", "d": "Int64", "at": "Int32", "run": "Int64"})
+                    yield made.assign(ord=None, at=None, run=None).astype({"ord": "Int64", "at": "Int32", "run": "Int64"})
                 if windows:
-                    rk, d, at, run = zip(*windows, strict=True)
-                    sizes = list(map(len, at))
-                    made = pd.DataFrame({"rk": np.repeat(rk, sizes), "d": np.repeat(d, sizes), "at": np.concatenate(at).astype(np.int32), "run": np.concatenate(run)})
+                    number, at, run = zip(*windows, strict=True)
+                    made = pd.DataFrame({"ord": np.repeat(np.array(number, dtype=np.int64), list(map(len, at))), "at": np.concatenate(at).astype(np.int32), "run": np.concatenate(run)})
                     made = made.assign(root=None, u=None, set=None).astype({"root": "Int64", "u": "Int64"})
-                    yield made[["root", "u", "set", "rk", "d", "at", "run"]]
+                    yield made[["root", "u", "set", "ord", "at", "run"]]
 
-    payload = source.join(wanted, F.col("rk") == F.col("of")).select("rk", "d", "text", "wanted", "prints").dropDuplicates(["rk"])
-    payload = materialize(payload.mapInPandas(cut, "root long, u long, set array<long>, rk long, d long, at int, run long"))
+    payload = source.join(wanted, F.col("rk") == F.col("of")).select("rk", "text", "wanted", "prints", F.coalesce("ord", F.lit(-1)).alias("ord")).dropDuplicates(["rk"]).drop("rk")
+    payload = materialize(payload.mapInPandas(cut, "root long, u long, set array<long>, ord long, at int, run long"))
+    runs = _run_fates(payload.where("ord is not null").select("ord", "at", "run"), prints.select("ord", "of", "d"), copies)
     discard(prints, near)
-    runs = _run_fates(payload.where("rk is not null").select("rk", "d", "at", "run"), copies)
     linked, spare = _verified(payload.where("u is not null").select("root", "u", "set"), threshold, part_rows)
     classes = connected_components(linked)
     discard(payload, copies, *spare)
