@@ -415,7 +415,8 @@ def test_winnowing_meets_every_run():
         pages = [[b"x%d" % rng.randrange(99) for _ in range(rng.randrange(70))] + run + [b"y%d" % rng.randrange(99) for _ in range(rng.randrange(70))] for _ in range(2)]
         picked = []
         for page in pages:
-            hashes = paragraphs.window_hashes(page, paragraphs.WordHashes(), 16)
+            raw = b" ".join(page)
+            hashes = paragraphs.rolling(paragraphs.word_hashes(raw, paragraphs.word_spans(raw)), 16)
             assert len(hashes) == len(page) - 15 and len(set(hashes.tolist())) == len({tuple(page[i : i + 16]) for i in range(len(page) - 15)})
             picked.append(set(hashes[paragraphs.winnow(hashes, 36)].tolist()))
         assert picked[0] & picked[1]

@@ -23,7 +23,6 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,8 +36,9 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 #: Words in a fingerprint of a run.
 ANCHOR = 16
-#: Words whose hashes a task keeps, some 40 MB.
-KNOWN_WORDS = 250_000
+#: A value for each byte, and powers of STEP and of its inverse as far as they were needed.
+BYTES = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64)
+POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
 
 
 def tune_bands(threshold: float, recall: float, rows: int = 5, most: int = 64) -> tuple[int, int]:
@@ -49,17 +49,35 @@ def tune_bands(threshold: float, recall: float, rows: int = 5, most: int = 64) -
     raise ValueError("no such banding")
 
 
-class WordHashes(dict):
-    """64-bit hashes of words, kept for when they come again."""
+def word_spans(raw: bytes) -> np.ndarray:
+    """(start, end) of each word, in bytes."""
+    solid = np.diff(~BLANK[np.frombuffer(raw, dtype=np.uint8)], prepend=False, append=False)
+    return np.flatnonzero(solid).reshape(-1, 2)
+
+
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """STEP ** i and its inverse modulo 2 ** 64 for i < n, kept for the next call."""
+    while len(POWERS[0]) < n:
+        size = len(POWERS[0])
+        for i, table in enumerate(POWERS):
+            POWERS[i] = np.concatenate([table, table * np.uint64(pow(int(STEP), size if i == 0 else -size, 1 << 64))])
+    return POWERS[0][:n], POWERS[1][:n]
+
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        found = self[word] = xxhash.xxh64_intdigest(word)
-        return found
+def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """64-bit hashes of values[starts[i]:ends[i]], by prefix sums of a polynomial."""
+    up, down = _powers(len(values) + 1)
+    sums = np.zeros(len(values) + 1, dtype=np.uint64)
+    np.cumsum(values * up[:-1], out=sums[1:])
+    out = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)
+    for _ in range(2):
+        out ^= out >> np.uint64(31)
+        out *= MIX
+    return out ^ (out >> np.uint64(30))
 
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
+
+def word_hashes(raw: bytes, spans: np.ndarray) -> np.ndarray:
+    return range_hashes(BYTES[np.frombuffer(raw, dtype=np.uint8)], spans[:, 0], spans[:, 1])
 
 
 def band_keys(flat: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -95,10 +113,6 @@ def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
     return out * MIX
 
 
-def window_hashes(words: list[bytes], known: WordHashes, width: int) -> np.ndarray:
-    return rolling(known.of(words), width)
-
-
 def _slide(least: np.ufunc, values: np.ndarray, width: int) -> np.ndarray:
     size = 1
     while size * 2 <= width:
@@ -128,47 +142,43 @@ def _units(docs: DataFrame, min_words: int, width: int, bands: int, rows: int, r
     """``(rk, d, line, u, bands)`` of each paragraph: row key, doc_id (null last), line number, text hash, band keys;
     and of each text of ``run_words`` words or more, as line -1, the hash of its words and its distinct fingerprints.
 
-    The words of many texts form one stream, so each step is a few passes over it.
+    The words of many texts form one stream, so each step is a few passes over arrays.
     """
     size = min(ANCHOR, run_words)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordHashes()
         for pdf in batches:
             for part in chunks(pdf):
-                words: list[bytes] = []
-                out, starts, counts, whole, spans = [], [], [], [], []
-                for rk, d, text in part[["rk", "d", "text"]].itertuples(index=False):
-                    at = len(words)
-                    for number, line in enumerate((text or "").encode("utf-8", "surrogatepass").lower().split(b"\n")):
-                        found = line.split()
-                        if len(found) >= min_words:
-                            out.append((rk, d, number, xxhash.xxh64_intdigest(b" ".join(found))))
-                            starts.append(len(words))
-                            counts.append(len(found) - width + 1)
-                        words += found
-                    if len(words) - at >= run_words:
-                        whole.append((rk, d, -1, xxhash.xxh64_intdigest(b" ".join(words[at:]))))
-                        spans.append((at, len(words)))
-                if not out and not whole:
+                texts = [(t or "").encode("utf-8", "surrogatepass").lower() for t in part["text"]]
+                raw = b"\n".join(texts)
+                spans = word_spans(raw)
+                hashes = word_hashes(raw, spans)
+                # First words of lines and of texts, and the end.
+                line_at = np.concatenate([[0], np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 10) + 1])
+                text_at = np.cumsum([0, *(len(t) + 1 for t in texts)])
+                words = np.searchsorted(spans[:, 0], line_at), np.searchsorted(spans[:, 0], text_at)
+                low, high = words[0], np.append(words[0][1:], len(hashes))
+                long = np.flatnonzero(high - low >= min_words)
+                of = np.searchsorted(text_at, line_at[long], side="right") - 1
+                number = long - np.searchsorted(line_at, text_at[of])
+                sizes = high[long] - low[long] - width + 1
+                pages = np.flatnonzero(np.diff(words[1]) >= run_words)
+                if not len(long) and not len(pages):
                     continue
-                hashes = known.of(words)
                 keys: list[np.ndarray] = []
-                if out:
-                    sizes = np.array(counts)
-                    flat = rolling(hashes, width)[_ranges(np.array(starts), sizes)]
-                    keys += [*band_keys(flat, np.cumsum(sizes) - sizes, bands, rows)]
-                if whole:
+                if len(long):
+                    keys += [*band_keys(rolling(hashes, width)[_ranges(low[long], sizes)], np.cumsum(sizes) - sizes, bands, rows)]
+                first, last = words[1][pages], words[1][pages + 1]
+                if len(pages):
                     prints = rolling(hashes, size)
                     inside = np.zeros(len(prints) - run_words + size, dtype=bool)
-                    for low, high in spans:
-                        inside[low : high - run_words + 1] = True
+                    inside[_ranges(first, last - first - run_words + 1)] = True
                     picked = winnow(prints, run_words - size + 1, inside)
-                    keys += [np.unique(prints[low:high][picked[low:high]]).view(np.int64) for low, high in spans]
-                made = pd.DataFrame(out + whole, columns=["rk", "d", "line", "u"])
-                made["u"] = made["u"].to_numpy(dtype=np.uint64).view(np.int64)
-                made["bands"] = keys
-                yield made
+                    keys += [np.unique(prints[a:b][picked[a:b]]).view(np.int64) for a, b in zip(first, last, strict=True)]
+                at = np.concatenate([of, pages])
+                u = range_hashes(hashes, np.concatenate([low[long], first]), np.concatenate([high[long], last])).view(np.int64)
+                line = np.concatenate([number, np.full(len(pages), -1)]).astype(np.int32)
+                yield pd.DataFrame({"rk": part["rk"].to_numpy()[at], "d": part["d"].to_numpy()[at], "line": line, "u": u, "bands": keys})
 
     return docs.select("rk", "d", "text").mapInPandas(run, "rk long, d long, line int, u long, bands array<long>")
 
@@ -245,8 +255,7 @@ def cut_runs(text: str, linked: list[int], gone_lines: list[int], shared: list[i
     """
     raw = text.encode("utf-8", "surrogatepass")
     lines = raw.split(b"\n")
-    solid = np.diff(~BLANK[np.frombuffer(raw, dtype=np.uint8)], prepend=False, append=False)
-    spans = np.flatnonzero(solid).reshape(-1, 2)
+    spans = word_spans(raw)
     line_at = np.cumsum([0, *(len(line) + 1 for line in lines)])
     ends = np.searchsorted(spans[:, 0], line_at)
 
@@ -377,16 +386,21 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 20, width: int = 5, th
     size = min(ANCHOR, run_words)
 
     def cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        known = WordHashes()
         for pdf in batches:
             for part in chunks(pdf):
                 sets, windows = [], []
                 for text, wanted_lines, shared, number in part.itertuples(index=False):
-                    lines = [line.split() for line in text.encode("utf-8", "surrogatepass").lower().split(b"\n")]
-                    for w in wanted_lines if wanted_lines is not None else ():
-                        sets.append((w["root"], w["u"], np.unique(rolling(known.of(lines[w["line"]]), width)).view(np.int64)))
+                    raw = text.encode("utf-8", "surrogatepass").lower()
+                    spans = word_spans(raw)
+                    hashes = word_hashes(raw, spans)
+                    if wanted_lines is not None:
+                        shingles = rolling(hashes, width)
+                        line_at = np.concatenate([[0], np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 10) + 1, [len(raw) + 1]])
+                        ends = np.searchsorted(spans[:, 0], line_at)
+                        for w in wanted_lines:
+                            low, high = ends[w["line"]], ends[w["line"] + 1]
+                            sets.append((w["root"], w["u"], np.unique(shingles[low : high - width + 1]).view(np.int64)))
                     if shared is not None:
-                        hashes = known.of([w for line in lines for w in line])
                         # Equal windows have the same least fingerprint.
                         least = _slide(np.minimum, rolling(hashes, size), run_words - size + 1)
                         at = np.flatnonzero(np.isin(least.view(np.int64), shared))
