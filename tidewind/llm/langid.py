@@ -17,8 +17,12 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewind.llm.common import discard, materialize
+
 LETTERS = re.compile(r"[^\W\d_]+")
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
+#: Languages whose counts are broadcast; more of them go through the shuffle.
+MOST_BROADCAST = 100_000
 
 
 def grams(word: str, n: int) -> list[str]:
@@ -31,16 +35,18 @@ def hash_share(*cols: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(*cols), 11) / float(1 << 53)
 
 
-def train(docs: DataFrame, max_rows: int = 3000, top: int = 8_000, longest: int = 4) -> dict:
+def train(docs: DataFrame, max_rows: int = 3000, top_words: int = 30_000, top_grams: int = 8_000, longest: int = 4) -> dict:
     """Model from ``docs(doc_id, text, lang)``, rows with a null lang or text left out.
 
     At most about ``max_rows`` documents of each language are counted, chosen by a
-    hash of doc_id, and the ``top`` most frequent words and n-grams of each
-    language are kept.  Languages are few: there is one dictionary for each.
+    hash of doc_id before a text moves; repeated rows count each.  The most
+    frequent words and n-grams of each language are kept.  No rows give a model
+    that knows no language.
     """
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    sizes = rows.groupBy("lang").count()
-    rows = rows.join(sizes, "lang").where(hash_share(F.col("doc_id"), F.lit("langid")) * F.col("count") < max_rows)
+    sizes = materialize(rows.groupBy("lang").count())
+    few = F.broadcast(sizes) if sizes.count() <= MOST_BROADCAST else sizes
+    rows = rows.join(few, "lang").where(hash_share(F.col("doc_id"), F.lit("langid")) * F.col("count") < max_rows)
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -58,43 +64,58 @@ def train(docs: DataFrame, max_rows: int = 3000, top: int = 8_000, longest: int
                 out += [(lang, k, g, n) for k, c in enumerate(parts, 1) for g, n in c.items()]
             yield pd.DataFrame(out, columns=["lang", "kind", "gram", "n"])
 
-    sums = rows.select("text", "lang").mapInPandas(count, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n"))
+    sums = materialize(rows.select("text", "lang").mapInPandas(count, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n")))
+    totals = sums.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
+    # The sample bounds what a language and kind holds.
     order = Window.partitionBy("lang", "kind").orderBy(F.col("n").desc(), "gram")
-    total = F.sum("n").over(Window.partitionBy("lang", "kind"))
-    kept = sums.withColumn("total", total).withColumn("at", F.row_number().over(order)).where(F.col("at") <= top)
-    kept = kept.select("lang", "kind", "gram", "n", "total").collect()
+    kept = sums.withColumn("at", F.row_number().over(order)).where(F.col("at") <= F.when(F.col("kind") == 0, top_words).otherwise(top_grams))
+    kept = kept.join(totals, ["lang", "kind"]).select("lang", "kind", "gram", "n", "total").collect()
+    discard(sizes, sums)
     langs = sorted({r["lang"] for r in kept})
     place = {lang: i for i, lang in enumerate(langs)}
-    floor = [np.full(len(langs), np.log(1e-9)) for _ in range(longest + 1)]
-    places: list[dict[str, int]] = [{} for _ in range(longest + 1)]
-    for r in kept:
-        floor[r["kind"]][place[r["lang"]]] = np.log(0.3 / r["total"])
-        places[r["kind"]].setdefault(r["gram"], len(places[r["kind"]]))
-    tables = [(at, np.tile(low, (len(at), 1)).astype(np.float32)) for at, low in zip(places, floor, strict=True)]
+    floor = np.full((longest + 1, len(langs)), np.log(1e-9))
     for r in kept:
-        at, logs = tables[r["kind"]]
-        logs[at[r["gram"]], place[r["lang"]]] = np.log(r["n"] / r["total"])
-    return {"langs": langs, "tables": tables, "longest": longest}
+        floor[r["kind"], place[r["lang"]]] = np.log(0.3 / r["total"])
+    # What an entry has above the floor, for the languages that know it only.
+    above: list[dict[str, list]] = [defaultdict(list) for _ in range(longest + 1)]
+    for r in sorted(kept, key=lambda r: (r["kind"], r["gram"], r["lang"])):
+        at = place[r["lang"]]
+        above[r["kind"]][r["gram"]].append((at, np.log(r["n"] / r["total"]) - floor[r["kind"], at]))
+    tables = []
+    for known in above:
+        ends = np.cumsum([0, *map(len, known.values())]).astype(np.int32)
+        flat = [x for entries in known.values() for x in entries]
+        tables.append(({g: i for i, g in enumerate(known)}, ends, np.array([i for i, _ in flat], dtype=np.int32), np.array([v for _, v in flat], dtype=np.float32)))
+    return {"langs": langs, "floor": floor, "tables": tables, "longest": longest}
 
 
 class Scorer:
     """Scores texts; a word's scores are kept for when it comes again."""
 
     def __init__(self, model: dict, step: float = 0.4) -> None:
-        self.langs, self.tables, self.longest = model["langs"], model["tables"], model["longest"]
+        self.langs, self.floor, self.tables, self.longest = model["langs"], model["floor"], model["tables"], model["longest"]
         self.step = np.log(step)
         self.seen: dict[str, int] = {}
         self.scores = np.zeros((1024, len(self.langs)))
 
+    def _entries(self, kind: int, rows: list[int]) -> np.ndarray:
+        """Mean log frequency of some entries in each language."""
+        _, ends, langs, above = self.tables[kind]
+        out = np.zeros(len(self.langs))
+        for row in rows:
+            low, high = ends[row], ends[row + 1]
+            out[langs[low:high]] += above[low:high]
+        return self.floor[kind] + out / len(rows)
+
     def _score(self, word: str) -> np.ndarray:
-        at, logs = self.tables[0]
-        if word in at:
-            return logs[at[word]]
+        at = self.tables[0][0].get(word)
+        if at is not None:
+            return self._entries(0, [at])
         for k in range(self.longest, 0, -1):
-            at, logs = self.tables[k]
-            found = [at[g] for g in grams(word, k) if g in at]
+            table = self.tables[k][0]
+            found = [table[g] for g in grams(word, k) if g in table]
             if found:
-                return logs[found].mean(axis=0) + (self.longest - k + 1) * self.step
+                return self._entries(k, found) + (self.longest - k + 1) * self.step
         return np.zeros(len(self.langs))
 
     def _place(self, word: str) -> int:
@@ -123,8 +144,9 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, lang_pred, score)``, one row per row.
 
     A null text, or one without a letter, is ``und`` with score 0, and so is every
-    text where the model knows no language.  Texts are read whole; of equal scores
-    the language first in code point order wins.  Other columns are not read.
+    text where the model knows no language.  Texts of any length are read whole;
+    of equal scores the language first in code point order wins.  Repeated rows
+    stay and fare alike, no rows give no rows.  Other columns are not read.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
