@@ -3,7 +3,8 @@
 import hashlib
 import math
 import random
-from collections import defaultdict
+import zlib
+from collections import Counter, defaultdict
 
 import numpy as np
 import public_tokenizers
@@ -308,6 +309,58 @@ def test_language_held_out(spark, sf01):
     assert len(got) == len(truth) and np.mean(held) > 0.97
 
 
+def test_language_scores_by_brute_force(spark, sf_dir):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = [(r["doc_id"], r["text"], r["lang"], zlib.crc32(str(r["doc_id"]).encode()) % 3 == 1) for r in docs.collect()]
+    words = lambda t: langid.LETTERS.findall((t or "").lower())
+    counts = defaultdict(Counter)
+    for _, text, lang, held in rows:
+        if text is not None and lang is not None and not held:
+            for w in words(text):
+                counts[lang, 0][w] += 1
+                for k in range(1, 5):
+                    counts[lang, k].update(langid.grams(w, k))
+    langs = sorted({lang for lang, _ in counts})
+    kept = {key: dict(sorted(c.items(), key=lambda e: (-e[1], e[0]))[: 8_000 if key[1] else 30_000]) for key, c in counts.items()}
+    total = {key: sum(c.values()) for key, c in counts.items()}
+    some = {k: set().union(*(kept[lang, k] for lang in langs)) for k in range(5)}
+    log = lambda lang, k, g: math.log(kept[lang, k].get(g, 0.3) / total[lang, k])
+
+    def of_word(w, lang):
+        if w in some[0]:
+            return log(lang, 0, w)
+        for k in (4, 3, 2, 1):
+            found = [g for g in langid.grams(w, k) if g in some[k]]
+            if found:
+                return sum(log(lang, k, g) for g in found) / len(found) + (5 - k) * math.log(0.4)
+        return 0.0
+
+    got = {r["doc_id"]: r for r in q.op9_language(spark, sf_dir).collect()}
+    for doc_id, text, _, held in rows:
+        found = words(text)
+        logs = [sum(of_word(w, lang) for w in found) / math.sqrt(max(1, len(found))) for lang in langs]
+        share = [math.exp(x - max(logs)) for x in logs]
+        assert got[doc_id]["held_out"] == held
+        assert got[doc_id]["lang_pred"] == (langs[share.index(1.0)] if found else "und")
+        assert math.isclose(got[doc_id]["score"], 1 / sum(share) if found else 0.0, rel_tol=1e-4)
+
+
+def test_toxicity_scores_by_brute_force(spark, sf_dir):
+    docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
+    model = toxicity.train(docs.where(~q.held_out(0, 5)), labels.where(~q.held_out(0, 5)))
+    weight = dict(zip(["seed insult", "two seed insults", "shouted words", "marks in a row", *model["names"]], model["weights"], strict=True))
+    got = {r["doc_id"]: r for r in q.op6_toxicity(spark, sf_dir).collect()}
+    for r in docs.collect():
+        text = r["text"] or ""
+        words = {w for w in "".join(c if c.isalnum() else " " for c in text.lower()).split()}
+        plain = {w if w.isalpha() else w.translate(toxicity.LETTER_FOR) for w in words}
+        seeds = sum(w in toxicity.INSULTS for w in words)
+        fired = {"=" + w for w in plain} | {w[:k] + "*" for w in plain for k in range(4, 9) if len(w) > k} | {"*" + w[-4:] for w in plain if len(w) > 4}
+        fired |= {n for n, on in (("seed insult", seeds > 0), ("two seed insults", seeds > 1), ("shouted words", sum(map(str.isupper, text)) > len(text) / 2), ("marks in a row", "!!!" in text or "?!?" in text)) if on}
+        score = 1 / (1 + math.exp(-max(-30, min(30, model["bias"] + sum(w for n, w in weight.items() if n in fired)))))
+        assert math.isclose(got[r["doc_id"]]["score"], score, rel_tol=1e-5) and got[r["doc_id"]]["predicted"] == (score >= 0.5)
+
+
 def test_word_first_backoff(spark):
     docs = spark.createDataFrame([(i, t, lang, "a", 1) for i, (t, lang) in enumerate([("the house is here", "en"), ("das haus ist hier", "de")] * 5)], DOCS)
     scorer = langid.Scorer(langid.train(docs))

@@ -3,9 +3,9 @@
 Many weak voters look at a text: words and word beginnings or ends that are
 more frequent in labelled toxic rows, and fixed patterns.  A generative label
 model estimates by expectation maximization how often each voter fires on toxic
-and on other texts, and which voters are correlated given the class, so that
-voters that always fire together count as one.  Its posterior labels, also of
-rows without a label, train the linear classifier that scores whole texts.
+and on other texts, how voters are correlated given the class, and how often
+labels are right.  Its posterior labels, of rows with and without a label,
+train the linear classifier that scores whole texts.
 """
 
 from __future__ import annotations
@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from tidewind.llm.langid import hash_share
 
 WORDS = re.compile(r"[^\W_]+")
-CACHE_WORDS = 300_000
+CACHE_WORDS = 200_000
 # Digits and signs written for letters, and common insults.
 LETTER_FOR = str.maketrans("013457@$", "oieastas")
 INSULTS = frozenset(
@@ -73,48 +73,45 @@ class Voters:
         return out
 
 
-def label_model(votes: np.ndarray, y: np.ndarray, rounds: int = 30, alike: float = 0.6) -> np.ndarray:
+def label_model(votes: np.ndarray, y: np.ndarray, rounds: int = 30, power: float = 3.0, trust: float = 50.0) -> np.ndarray:
     """Posterior probability of the class 1 for each row; ``y`` is 0, 1 or -1 where unknown.
 
-    Where both classes are known of some rows, voters' rates and correlations
-    start from those; else from a first round in which voters count as
-    independent.  Voters whose votes are correlated by over ``alike`` within the
-    classes form groups, and each counts with the reciprocal of its group's size.
+    The generative model, fitted by expectation maximization: a class has a share
+    of the rows, each voter fires at a rate of its own for each class, any two
+    voters are correlated given the class, and a label, where there is one, is a
+    vote that is right at a rate of its own (``trust`` rows of a nearly sure one
+    come first).  A voter's evidence counts with the reciprocal of the sum of its
+    correlations to ``power``, itself included, so that copies count as one
+    together.  Correlations and the first rates come from labelled rows if both
+    labels occur, else from whether any voter fires.
     """
-    v = votes.astype(np.float32)
-    known, weight = y >= 0, np.ones(v.shape[1])
-    p = np.where(known, y, np.mean(y[known]) if known.any() else 0.5).astype(float)
-
+    v, known = votes.astype(np.float32), y >= 0
     both = bool(known.any()) and y[known].min() != y[known].max()
-
-    def settle() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        nonlocal p
-        for turn in range(rounds):
-            use = known if turn == 0 and both else np.ones(len(y), dtype=bool)  # rates start from the rows with labels
-            yes_rows, no_rows = p * use, (1 - p) * use
-            prior = np.clip(yes_rows.sum() / use.sum(), 1e-4, 1 - 1e-4)
-            on = (v.T @ yes_rows + prior) / (yes_rows.sum() + 1)
-            off = (v.T @ no_rows + 0.01) / (no_rows.sum() + 1)
-            on, off = np.clip(on, 1e-5, 1 - 1e-5), np.clip(off, 1e-5, 1 - 1e-5)
-            yes, no = np.log(on / off) * weight, np.log((1 - on) / (1 - off)) * weight
-            logit = np.log(prior / (1 - prior)) + v @ (yes - no) + no.sum()
-            new = np.where(known, y, 1 / (1 + np.exp(-np.clip(logit, -30, 30))))
-            moved, p = np.abs(new - p).max(), new
-            if turn and moved < 1e-4:
-                break
-        return on, off, logit
-
-    if both:
-        rows, q = v[known], y[known].astype(float)
-        on, off = rows.T @ q / q.sum(), rows.T @ (1 - q) / (1 - q).sum()
-    else:
-        on, off, _ = settle()
-        rows, q = v, p
-    rest = rows - (q[:, None] * on + (1 - q[:, None]) * off)
-    spread = np.sqrt((rest**2).mean(axis=0)) + 1e-9
-    corr = (rest.T @ rest) / len(rest) / np.outer(spread, spread)
-    weight = 1 / np.maximum(1, (corr > alike).sum(axis=1))
-    return 1 / (1 + np.exp(-np.clip(settle()[2], -30, 30)))
+    use = known if both else np.ones(len(y), dtype=bool)
+    p = np.where(known, np.clip(y, 0.01, 0.99), 0.9 * votes.any(axis=1) + 0.05).astype(float)
+    share = None
+    for _ in range(rounds):
+        yes_rows, no_rows = (p * use).astype(np.float32), ((1 - p) * use).astype(np.float32)
+        n_yes, n_no = float(yes_rows.sum()), float(no_rows.sum())
+        prior = np.clip(n_yes / use.sum(), 1e-4, 1 - 1e-4)
+        on = np.clip((yes_rows @ v + prior) / (n_yes + 1), 1e-5, 1 - 1e-5)
+        off = np.clip((no_rows @ v + 0.01) / (n_no + 1), 1e-5, 1 - 1e-5)
+        if share is None:
+            covariance = (v.T * use) @ v - n_yes * np.outer(on, on) - n_no * np.outer(off, off)
+            spread = np.sqrt(np.maximum(np.diag(covariance), 1e-9))
+            correlation = np.clip(covariance / np.outer(spread, spread), 0, 1)
+            np.fill_diagonal(correlation, 1)
+            share = 1 / (correlation**power).sum(axis=1)
+        yes, no = np.log(on / off) * share, np.log((1 - on) / (1 - off)) * share
+        logit = np.log(prior / (1 - prior)) + v @ (yes - no) + no.sum()
+        hit = (yes_rows @ (y == 1) + 0.99 * trust) / (yes_rows @ known + trust)
+        alarm = (no_rows @ (y == 1) + 0.001 * trust) / (no_rows @ known + trust)
+        logit += (y == 1) * np.log(hit / alarm) + (y == 0) * np.log((1 - hit) / (1 - alarm))
+        new = 1 / (1 + np.exp(-np.clip(logit, -30, 30)))
+        moved, p, use = np.abs(new - p).max(), new, np.ones(len(y), dtype=bool)
+        if moved < 1e-4:
+            break
+    return p
 
 
 def linear_fit(x: np.ndarray, p: np.ndarray, miss_cost: float = 2.0, l2: float = 1e-4, rounds: int = 500) -> tuple[np.ndarray, float]:
@@ -183,8 +180,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_voters
 def score(docs: DataFrame, model: dict) -> DataFrame:
     """``docs(doc_id, text)`` -> ``(doc_id, score)``, one row per row.
 
-    A null or empty text fires no voter and gets the score of that.  Texts are
-    read whole; other columns are not read.
+    A null or empty text fires no voter and gets the score of that.  Texts of any
+    length are read whole; repeated rows stay and fare alike, no rows give no
+    rows.  Other columns are not read.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
