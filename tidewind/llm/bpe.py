@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewind.llm.common import chunks
+from tidewind.llm.common import chunks, tidy
 
 #: Words and pairs of tokens whose results a task keeps, some 45 MB and 25 MB.
 CACHE_WORDS = 150_000
@@ -105,6 +105,10 @@ class Bpe:
         self.cut = re.compile("(" + "|".join(re.escape(a) for a in sorted(self.added, key=len, reverse=True)) + ")") if self.added else None
         self._automaton(set(vocab.values()))
 
+    def close(self) -> None:
+        """Let go of all tables now: the words refer back to this object."""
+        self.__dict__.clear()
+
     def symbols(self, token: int) -> list[int]:
         out, todo = [], [token]
         while todo:
@@ -262,10 +266,13 @@ def encode_decode(docs: DataFrame, tokenizer_file: str) -> DataFrame:
         source = file.read()
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        bpe = Bpe(source)  # of the task: a worker that waits for another holds no tables
-        for pdf in batches:
-            for part in chunks(pdf, CHARS_OUT):
-                done = [bpe.encode(t) for t in part["text"]]
-                yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "ids": [d[0] for d in done], "decoded": [d[1] for d in done]})
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, ids binary, decoded string")
+        bpe = Bpe(source)
+        try:
+            for pdf in batches:
+                for part in chunks(pdf, CHARS_OUT):
+                    done = [bpe.encode(t) for t in part["text"]]
+                    yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "ids": [d[0] for d in done], "decoded": [d[1] for d in done]})
+        finally:
+            bpe.close()  # a worker that waits for its next task holds no tables
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(tidy(run), "doc_id long, ids binary, decoded string")

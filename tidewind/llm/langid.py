@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewind.llm.common import discard, materialize
+from tidewind.llm.common import discard, materialize, tidy
 
 LETTERS = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 200_000
@@ -64,7 +64,7 @@ def train(docs: DataFrame, max_rows: int = 3000, top_words: int = 30_000, top_gr
                 out += [(lang, k, g, n) for k, c in enumerate(parts, 1) for g, n in c.items()]
             yield pd.DataFrame(out, columns=["lang", "kind", "gram", "n"])
 
-    sums = materialize(rows.select("text", "lang").mapInPandas(count, "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n")))
+    sums = materialize(rows.select("text", "lang").mapInPandas(tidy(count), "lang string, kind int, gram string, n long").groupBy("lang", "kind", "gram").agg(F.sum("n").alias("n")))
     totals = sums.groupBy("lang", "kind").agg(F.sum("n").alias("total"))
     # The sample bounds what a language and kind holds.
     order = Window.partitionBy("lang", "kind").orderBy(F.col("n").desc(), "gram")
@@ -155,4 +155,4 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
             done = [scorer.text(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": [d[0] for d in done], "score": [d[1] for d in done]})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(tidy(run), "doc_id long, lang_pred string, score double")

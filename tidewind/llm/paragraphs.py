@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewind.llm.common import attach, chunks, discard, join_labels, materialize, stream_groups
+from tidewind.llm.common import attach, chunks, discard, join_labels, materialize, stream_groups, tidy
 from tidewind.llm.components import connected_components
 
 LAST = (1 << 63) - 1
@@ -180,7 +180,7 @@ def _units(docs: DataFrame, min_words: int, width: int, bands: int, rows: int, r
                 line = np.concatenate([number, np.full(len(pages), -1)]).astype(np.int32)
                 yield pd.DataFrame({"rk": part["rk"].to_numpy()[at], "d": part["d"].to_numpy()[at], "line": line, "u": u, "bands": keys})
 
-    return docs.select("rk", "d", "text").mapInPandas(run, "rk long, d long, line int, u long, bands array<long>")
+    return docs.select("rk", "d", "text").mapInPandas(tidy(run), "rk long, d long, line int, u long, bands array<long>")
 
 
 def _jaccard_links(sets: list[np.ndarray], asks: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
@@ -415,7 +415,7 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 20, width: int = 5, th
                     yield made[["root", "u", "set", "ord", "at", "run"]]
 
     payload = source.join(wanted, F.col("rk") == F.col("of")).select("rk", "text", "wanted", "prints", F.coalesce("ord", F.lit(-1)).alias("ord")).dropDuplicates(["rk"]).drop("rk")
-    payload = materialize(payload.mapInPandas(cut, "root long, u long, set array<long>, ord long, at int, run long"))
+    payload = materialize(payload.mapInPandas(tidy(cut), "root long, u long, set array<long>, ord long, at int, run long"))
     runs = _run_fates(payload.where("ord is not null").select("ord", "at", "run"), prints.select("ord", "of", "d"), copies)
     discard(prints, near)
     linked, spare = _verified(payload.where("u is not null").select("root", "u", "set"), threshold, part_rows)

@@ -19,6 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewind.llm.common import tidy
 from tidewind.llm.langid import hash_share
 
 WORDS = re.compile(r"[^\W_]+")
@@ -156,7 +157,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_voters
 
     marked = sample.where("toxic >= 0")
     n_bad = marked.where("toxic > 0").count()
-    sums = marked.mapInPandas(count, "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    sums = marked.mapInPandas(tidy(count), "term string, bad long, good long").groupBy("term").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
     good_share = F.col("bad") / (F.col("bad") + F.col("good"))
     best = sums.where((F.col("bad") >= max(3, n_bad // 100)) & (good_share >= 0.5)).orderBy((F.col("bad") * good_share).desc(), "term").limit(max_voters)
     names = sorted(r["term"] for r in best.collect())
@@ -167,7 +168,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_voters
             packed = [np.packbits(voters.fire(t)).tobytes() for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "toxic": pdf["toxic"], "votes": packed})
 
-    got = sorted((r["doc_id"] or 0, r["toxic"], bytes(r["votes"])) for r in sample.mapInPandas(vote, "doc_id long, toxic int, votes binary").collect())
+    got = sorted((r["doc_id"] or 0, r["toxic"], bytes(r["votes"])) for r in sample.mapInPandas(tidy(vote), "doc_id long, toxic int, votes binary").collect())
     size = len(PATTERNS) + len(names)
     if not got:
         return {"names": names, "weights": np.zeros(size), "bias": -3.0}
@@ -191,4 +192,4 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             raw = np.array([model["weights"][voters.fire(t)].sum() for t in pdf["text"]]) + model["bias"]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": 1 / (1 + np.exp(-np.clip(raw, -30, 30)))})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(tidy(run), "doc_id long, score double")
