@@ -47,14 +47,21 @@ def _place(spark: SparkSession, path: str) -> tuple:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
-def materialize(df: DataFrame) -> DataFrame:
+def parts(rows: int, each: int = 50_000) -> int:
+    """Files for a table of so many rows."""
+    return max(1, -(-rows // each))
+
+
+def materialize(df: DataFrame, files: int | None = None) -> DataFrame:
     """Cut the lineage with a Parquet table in the shared folder; the shuffle files behind it go at once.
 
     A later job reads only the columns it needs, and lost executors lose nothing.
     ``discard`` removes the table; one that a result still reads goes with the
-    application.
+    application.  ``files``, in proportion to the rows, keeps a small table from
+    having a file of each shuffle partition.
     """
     spark = df.sparkSession
+    df = df.coalesce(files) if files else df
     path = f"{shared_folder(spark)}/tidewind-{uuid.uuid4().hex}"
     fs, where = _place(spark, path)
     fs.deleteOnExit(where)

@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tidewind.llm.common import attach, discard, materialize
+from tidewind.llm.common import attach, discard, materialize, parts
 
 
 def _lowest(edges: DataFrame, total: int) -> DataFrame:
@@ -30,24 +30,24 @@ def _small_star(edges: DataFrame, total: int) -> DataFrame:
     return _lowest(down, total).select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b"))
 
 
-def _round(edges: DataFrame) -> tuple[DataFrame, tuple]:
+def _round(edges: DataFrame, files: int | None) -> tuple[DataFrame, tuple]:
     """The distinct edges as a table; their number and a sum of hashes, taken while it is written."""
     seen = Observation()
     check = F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("check")
-    table = materialize(edges.where("a <> b").distinct().observe(seen, F.count(F.lit(1)).alias("n"), check))
+    table = materialize(edges.where("a <> b").distinct().observe(seen, F.count(F.lit(1)).alias("n"), check), files)
     return table, (seen.get["n"], seen.get["check"])
 
 
-def connected_components(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def connected_components(edges: DataFrame, files: int | None = None, max_rounds: int = 64) -> DataFrame:
     """``edges(a, b)`` of one orderable type -> ``(node, root)``, root the smallest node reachable.
 
     Loops and repeated edges are ignored; nodes without another node are not
-    returned.  An empty input gives an empty result.
+    returned.  An empty input gives an empty result.  ``files`` as in ``materialize``.
     """
-    edges, state = _round(edges.select("a", "b"))
+    edges, state = _round(edges.select("a", "b"), files)
     for _ in range(max_rounds if state[0] else 0):
-        large, at = _round(_large_star(edges, state[0]))
-        small, after = _round(_small_star(large, at[0]))
+        large, at = _round(_large_star(edges, state[0]), parts(state[0]))
+        small, after = _round(_small_star(large, at[0]), parts(at[0]))
         discard(edges, large)
         edges, before, state = small, state, after
         if before == after:

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewind.llm.common import attach, chunks, discard, join_labels, materialize, stream_groups, tidy
+from tidewind.llm.common import attach, chunks, discard, join_labels, materialize, parts, stream_groups, tidy
 from tidewind.llm.components import connected_components
 
 LAST = (1 << 63) - 1
@@ -200,7 +200,7 @@ def _jaccard_links(sets: list[np.ndarray], asks: np.ndarray, threshold: float) -
     return asks[a], b
 
 
-def _verified(payload: DataFrame, threshold: float, part_rows: int) -> tuple[DataFrame, list[DataFrame]]:
+def _verified(payload: DataFrame, threshold: float, part_rows: int, files: int) -> tuple[DataFrame, list[DataFrame]]:
     """``payload(root, u, set)`` -> ``(a, b)``, links with the components of all links inside each root, and tables to discard.
 
     The first paragraph of a root is compared with all others: most copies of a
@@ -214,11 +214,11 @@ def _verified(payload: DataFrame, threshold: float, part_rows: int) -> tuple[Dat
     met = attach(payload, heads, "root", "n", payload.count()).where("u <> first")
     both = size("set", "head")
     alike = both >= F.lit(threshold) * (F.size("set") + F.size("head") - both) - 1e-9
-    met = materialize(met.select("root", "first", "u", alike.alias("alike")))
+    met = materialize(met.select("root", "first", "u", alike.alias("alike")), files)
     apart = met.where("not alike").groupBy("root").agg(F.count("*").alias("n_asks"))
     n = met.groupBy("root").agg((F.count("*") + 1).alias("n"))
-    parts = lambda c: F.ceil(F.col(c) / part_rows).cast("int")
-    groups = materialize(apart.join(n, "root").select("root", "n", parts("n_asks").alias("ask_parts"), parts("n").alias("all_parts")))
+    cells = lambda c: F.ceil(F.col(c) / part_rows).cast("int")
+    groups = materialize(apart.join(n, "root").select("root", "n", cells("n_asks").alias("ask_parts"), cells("n").alias("all_parts")), files)
     rows = attach(payload, groups, "root", "n", payload.count()).where("ask_parts is not null")
     asking = met.where("not alike").select("u", F.lit(True).alias("asks"))
     salt = lambda c: F.pmod(F.xxhash64("u"), F.col(c)).cast("int")
@@ -288,31 +288,31 @@ def cut_runs(text: str, linked: list[int], gone_lines: list[int], shared: list[i
     return new, len(linked) + len(_spans(mark(shared, linked))), len(gone_lines) + len(_spans(lost))
 
 
-def _copies_and_wanted(pages: DataFrame) -> tuple[DataFrame, DataFrame]:
+def _copies_and_wanted(pages: DataFrame, files: int) -> tuple[DataFrame, DataFrame]:
     """Tables: copies of whole texts, ``(rk, of, d)`` with the first document and its doc_id, and the
     fingerprints ``(of, d, prints, ord)`` that the first documents share with each other, ord rising with d and of.
     """
     firsts = pages.groupBy("u").agg(F.min(F.struct("d", "rk", "bands")).alias("first"), F.min("rk").alias("lo"), F.max("rk").alias("hi"), F.count("*").alias("n"))
-    firsts = materialize(firsts)
+    firsts = materialize(firsts, files)
     several = firsts.where("lo <> hi").select("u", "n", F.col("first.rk").alias("of"), F.col("first.d").alias("d"))
-    copies = materialize(attach(pages.select("rk", "u"), several, "u", "n", pages.count()).where("of is not null").select("rk", "of", "d").distinct())
+    copies = materialize(attach(pages.select("rk", "u"), several, "u", "n", pages.count()).where("of is not null").select("rk", "of", "d").distinct(), files)
     prints = firsts.select(F.col("first.rk").alias("of"), F.col("first.d").alias("d"), F.explode("first.bands").alias("print"))
-    shared = materialize(prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1"))
+    shared = materialize(prints.groupBy("print").agg(F.count("*").alias("n")).where("n > 1"), files)
     found = attach(prints, shared, "print", "n", prints.count()).where("n is not null")
     wanted = found.groupBy("of", "d").agg(F.collect_list("print").alias("prints"))  # at most the fingerprints of a document
-    wanted = materialize(wanted.orderBy("d", "of").withColumn("ord", F.monotonically_increasing_id()))
+    wanted = materialize(wanted.orderBy("d", "of").withColumn("ord", F.monotonically_increasing_id()), files)
     discard(firsts, shared)
     return copies, wanted
 
 
-def _run_fates(each: DataFrame, order: DataFrame, copies: DataFrame) -> DataFrame:
+def _run_fates(each: DataFrame, order: DataFrame, copies: DataFrame, files: int) -> DataFrame:
     """``each(ord, at, run)``, ``order(ord, of, d)`` -> table ``(rk, shared, gone, first, ids)`` of each document with repeated runs:
 
     starts of runs that another document has, of those that an earlier one has,
     the smallest doc_id of a run's first document, and these of the gone ones.
     """
     owner = each.groupBy("run").agg(F.min("ord").alias("keep"), F.max("ord").alias("last"), F.count("*").alias("n"))
-    owner = materialize(owner.where("keep <> last").select("run", "n", "keep"))
+    owner = materialize(owner.where("keep <> last").select("run", "n", "keep"), 2 * files)
     gone = F.col("keep") != F.col("ord")
     single = attach(each, owner, "run", "n", each.count()).where("keep is not null").groupBy("ord").agg(
         F.collect_list("at").alias("shared"),
@@ -320,14 +320,14 @@ def _run_fates(each: DataFrame, order: DataFrame, copies: DataFrame) -> DataFram
         F.min("keep").alias("first"),
         F.collect_set(F.when(gone, F.col("keep"))).alias("ids"),
     )
-    single = materialize(single)
+    single = materialize(single, files)
     named = order.select("ord", F.col("of").alias("rk"), "d")
     first = order.select(F.col("ord").alias("first"), F.col("d").alias("first_d"))
     sources = single.select("ord", F.explode("ids").alias("source")).join(order.select(F.col("ord").alias("source"), "d"), "source").where(F.col("d") != LAST)
     sources = sources.groupBy("ord").agg(F.collect_set("d").alias("ids"))
     no_ids = F.array().cast("array<long>")
     single = single.drop("ids").join(named, "ord").join(first, "first").join(sources, "ord", "left")
-    single = materialize(single.select("rk", "shared", "gone", F.col("first_d").alias("first"), F.coalesce("ids", no_ids).alias("ids")))
+    single = materialize(single.select("rk", "shared", "gone", F.col("first_d").alias("first"), F.coalesce("ids", no_ids).alias("ids")), files)
     # A copy has the runs of its first document, and all other words from it.
     of = single.select(F.col("rk").alias("of"), "first", "ids")
     none, whole = F.array().cast("array<int>"), F.array(F.lit(-1))
@@ -341,7 +341,7 @@ def _run_fates(each: DataFrame, order: DataFrame, copies: DataFrame) -> DataFram
     )
     both = single.unionByName(copied).groupBy("rk")
     flat = lambda c: F.array_distinct(F.flatten(F.collect_list(c))).alias(c)
-    out = materialize(both.agg(flat("shared"), flat("gone"), F.min("first").alias("first"), flat("ids")))
+    out = materialize(both.agg(flat("shared"), flat("gone"), F.min("first").alias("first"), flat("ids")), files)
     discard(owner, single)
     return out
 
@@ -366,17 +366,19 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 20, width: int = 5, th
     bands, rows = tune_bands(threshold, recall)
     key = F.xxhash64("doc_id", "text")
     source = docs.select(key.alias("rk"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), "text")
-    made = materialize(_units(source, min_words, width, bands, rows, run_words))
+    n_docs = source.count()
+    files = parts(n_docs, 5000)
+    made = materialize(_units(source, min_words, width, bands, rows, run_words), 2 * files)
     units, pages = made.where("line >= 0"), made.where("line < 0")
-    copies, prints = _copies_and_wanted(pages)
+    copies, prints = _copies_and_wanted(pages, files)
     first = F.min(F.struct("d", "rk", "line", "bands")).alias("first")
-    uniq = materialize(units.groupBy("u").agg(first, F.min("rk").alias("lo"), F.max("rk").alias("hi"), F.count("*").alias("n")))
+    uniq = materialize(units.groupBy("u").agg(first, F.min("rk").alias("lo"), F.max("rk").alias("hi"), F.count("*").alias("n")), files)
 
     # Candidates: the paragraphs of a band bucket form a star around its smallest.
     banded = uniq.select("u", F.explode("first.bands").alias("key"))
-    buckets = materialize(banded.groupBy("key").agg(F.min("u").alias("low"), F.max("u").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "low", "n"))
+    buckets = materialize(banded.groupBy("key").agg(F.min("u").alias("low"), F.max("u").alias("high"), F.count("*").alias("n")).where("low <> high").select("key", "low", "n"), files)
     star = attach(banded, buckets, "key", "n", bands * uniq.count()).where("low <> u")
-    near = connected_components(star.select(F.col("u").alias("a"), F.col("low").alias("b")))
+    near = connected_components(star.select(F.col("u").alias("a"), F.col("low").alias("b")), files)
     discard(buckets)
 
     # Their shingle sets, read from one document that has the paragraph, and the windows around shared fingerprints.
@@ -415,19 +417,19 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 20, width: int = 5, th
                     yield made[["root", "u", "set", "ord", "at", "run"]]
 
     payload = source.join(wanted, F.col("rk") == F.col("of")).select("rk", "text", "wanted", "prints", F.coalesce("ord", F.lit(-1)).alias("ord")).dropDuplicates(["rk"]).drop("rk")
-    payload = materialize(payload.mapInPandas(tidy(cut), "root long, u long, set array<long>, ord long, at int, run long"))
-    runs = _run_fates(payload.where("ord is not null").select("ord", "at", "run"), prints.select("ord", "of", "d"), copies)
+    payload = materialize(payload.mapInPandas(tidy(cut), "root long, u long, set array<long>, ord long, at int, run long"), 2 * files)
+    runs = _run_fates(payload.where("ord is not null").select("ord", "at", "run"), prints.select("ord", "of", "d"), copies, files)
     discard(prints, near)
-    linked, spare = _verified(payload.where("u is not null").select("root", "u", "set"), threshold, part_rows)
-    classes = connected_components(linked)
+    linked, spare = _verified(payload.where("u is not null").select("root", "u", "set"), threshold, part_rows, files)
+    classes = connected_components(linked, files)
     discard(payload, copies, *spare)
 
     # The classes that occur in several documents, and what becomes of each paragraph.
     named = uniq.join(classes, uniq["u"] == classes["node"], "left").select("u", "n", "lo", "hi", F.col("first.d").alias("d"), F.col("first.rk").alias("rk"), F.coalesce("root", "u").alias("root"))
-    named = materialize(named)
+    named = materialize(named, files)
     discard(uniq, classes)
     kept = named.groupBy("root").agg(F.min(F.struct("d", "rk")).alias("keep"), F.min("lo").alias("lo"), F.max("hi").alias("hi")).where("lo <> hi")
-    fate = materialize(named.select("root", "u", "n").join(kept, "root").select("u", "n", "keep"))
+    fate = materialize(named.select("root", "u", "n").join(kept, "root").select("u", "n", "keep"), files)
     found = attach(units.select("rk", "line", "u"), fate, "u", "n", units.count()).where("keep is not null")
     gone = F.col("keep.rk") != F.col("rk")
     per_doc = found.groupBy("rk").agg(
@@ -446,7 +448,7 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 20, width: int = 5, th
         F.col("gone").alias("_tw_runs"),
         F.array_sort(F.array_union(none("sources", "long"), none("ids", "long"))).alias("source_doc_ids"),
     )
-    per_doc = materialize(per_doc)
+    per_doc = materialize(per_doc, files)
     discard(made, named, fate, runs)
 
     @F.pandas_udf("text string, n_links long, n_removed long")

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewind.llm.common import attach, discard, join_labels, materialize, stream_groups, tidy
+from tidewind.llm.common import attach, discard, join_labels, materialize, parts, stream_groups, tidy
 from tidewind.llm.components import connected_components
 
 SEED = 42
@@ -125,16 +125,17 @@ def links(fps: DataFrame, max_distance: int = 3, blocks: int = 6, bucket_rows: i
     keys = F.array(*[F.xxhash64(F.lit(i), *[F.col("bands")[c] for c in chosen]) for i, chosen in enumerate(agree)])
     keyed = table.select("fp", "dist", F.explode(keys).alias("k"))
     sizes = keyed.groupBy("k").agg(F.count("*").alias("n"), F.min("fp").alias("head"), F.max("fp").alias("other")).where("head <> other")
-    buckets = materialize(sizes.select("k", "n", "head"))
-    met = attach(keyed, buckets, "k", "n", len(agree) * fps.count()).where("n is not null")
-    met = materialize(met.withColumn("apart", F.bit_count(F.col("fp").bitwiseXOR(F.col("head"))) > max_distance))
+    n_fps = fps.count()
+    buckets = materialize(sizes.select("k", "n", "head"), parts(n_fps))
+    met = attach(keyed, buckets, "k", "n", len(agree) * n_fps).where("n is not null")
+    met = materialize(met.withColumn("apart", F.bit_count(F.col("fp").bitwiseXOR(F.col("head"))) > max_distance), parts(n_fps))
     small, large = met.where(F.col("n") <= bucket_rows), met.where(F.col("n") > bucket_rows)
-    parts = lambda c: F.ceil(F.col(c) / bucket_rows).cast("int")
+    cells = lambda c: F.ceil(F.col(c) / bucket_rows).cast("int")
     every = lambda c: F.explode(F.sequence(F.lit(0), F.col(c) - 1))
     salt = lambda c: F.pmod(F.xxhash64("fp"), F.col(c)).cast("int")
-    askers = large.where("apart").groupBy("k").agg(F.count("*").alias("n_asks")).withColumn("ask_parts", parts("n_asks"))
-    askers = materialize(askers)
-    rows = attach(large, askers, "k", "n_asks", met.count()).where("ask_parts is not null").withColumn("all_parts", parts("n"))
+    askers = large.where("apart").groupBy("k").agg(F.count("*").alias("n_asks")).withColumn("ask_parts", cells("n_asks"))
+    askers = materialize(askers, parts(n_fps))
+    rows = attach(large, askers, "k", "n_asks", met.count()).where("ask_parts is not null").withColumn("all_parts", cells("n"))
     dealt = (
         small.select("fp", "dist", "k", F.lit(True).alias("asks"), F.lit(0).alias("i"), F.lit(0).alias("j"))
         .unionByName(rows.select("fp", "dist", "k", F.lit(False).alias("asks"), every("ask_parts").alias("i"), salt("all_parts").alias("j")))
@@ -174,12 +175,12 @@ def first_of_components(docs: DataFrame, key: Column, max_distance: int = 3, wid
 def _components(rows: DataFrame, max_distance: int) -> DataFrame:
     """``rows(doc_id, fp, ..)`` with the fingerprint that names the component, root, and component_id."""
     rows = materialize(rows)
-    fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")))
     total = rows.count()
+    fps = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("low"), F.count("*").alias("n")), parts(total))
     found, spare = links(fps.select("fp"), max_distance)
-    roots = connected_components(found)
+    roots = connected_components(found, parts(total))
     named = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("low").alias("component_id"))
-    classes = materialize(named.join(least, "root").select("fp", "n", "root", "component_id"))
+    classes = materialize(named.join(least, "root").select("fp", "n", "root", "component_id"), parts(total))
     discard(fps, roots, *spare)
     return attach(rows, classes, "fp", "n", total)
