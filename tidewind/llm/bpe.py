@@ -28,11 +28,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidewind.llm.common import chunks, tidy
+from tidewind.llm.common import bounded, chunks, tidy
 
-#: Words and pairs of tokens whose results a task keeps, some 45 MB and 25 MB.
-CACHE_WORDS = 150_000
-CACHE_PAIRS = 200_000
+#: Words and pairs of tokens whose results a task keeps, some 30 MB and 20 MB.
+CACHE_WORDS = 100_000
+CACHE_PAIRS = 150_000
 CHARS_OUT = 1 << 21
 NEVER = 1 << 60
 
@@ -275,4 +275,4 @@ def encode_decode(docs: DataFrame, tokenizer_file: str) -> DataFrame:
         finally:
             bpe.close()  # a worker that waits for its next task holds no tables
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(tidy(run), "doc_id long, ids binary, decoded string")
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(tidy(run), "doc_id long, ids binary, decoded string")

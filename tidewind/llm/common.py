@@ -106,6 +106,18 @@ def tidy(run: Callable) -> Callable:
     return wrapped
 
 
+def bounded(docs: DataFrame, rows: int = 1000) -> DataFrame:
+    """``docs``, for Python workers: its session sends them at most so many rows at once from now on.
+
+    Rows hold whole texts; Spark's 10,000 a batch would need room for as many, on
+    both sides, in each task.  A session with smaller batches keeps them.
+    """
+    conf, name = docs.sparkSession.conf, "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(conf.get(name)) <= rows:
+        conf.set(name, str(rows))
+    return docs
+
+
 def chunks(pdf: pd.DataFrame, most: int = 1 << 20) -> Iterator[pd.DataFrame]:
     """Rows in turn, in parts of about ``most`` characters of text."""
     ends = np.cumsum(pdf["text"].str.len().fillna(0).to_numpy(dtype=np.int64))

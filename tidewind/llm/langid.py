@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewind.llm.common import discard, materialize, tidy
+from tidewind.llm.common import bounded, discard, materialize, tidy
 
 LETTERS = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 200_000
@@ -43,7 +43,7 @@ def train(docs: DataFrame, max_rows: int = 3000, top_words: int = 30_000, top_gr
     frequent words and n-grams of each language are kept.  No rows give a model
     that knows no language.
     """
-    rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
+    rows = bounded(docs).where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
     sizes = materialize(rows.groupBy("lang").count())
     few = F.broadcast(sizes) if sizes.count() <= MOST_BROADCAST else sizes
     rows = rows.join(few, "lang").where(hash_share(F.col("doc_id"), F.lit("langid")) * F.col("count") < max_rows)
@@ -155,4 +155,4 @@ def identify(docs: DataFrame, model: dict) -> DataFrame:
             done = [scorer.text(t) for t in pdf["text"]]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "lang_pred": [d[0] for d in done], "score": [d[1] for d in done]})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(tidy(run), "doc_id long, lang_pred string, score double")
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(tidy(run), "doc_id long, lang_pred string, score double")

@@ -26,7 +26,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewind.llm.common import attach, chunks, discard, join_labels, materialize, parts, stream_groups, tidy
+from tidewind.llm.common import attach, bounded, chunks, discard, join_labels, materialize, parts, stream_groups, tidy
 from tidewind.llm.components import connected_components
 
 LAST = (1 << 63) - 1
@@ -180,7 +180,7 @@ def _units(docs: DataFrame, min_words: int, width: int, bands: int, rows: int, r
                 line = np.concatenate([number, np.full(len(pages), -1)]).astype(np.int32)
                 yield pd.DataFrame({"rk": part["rk"].to_numpy()[at], "d": part["d"].to_numpy()[at], "line": line, "u": u, "bands": keys})
 
-    return docs.select("rk", "d", "text").mapInPandas(tidy(run), "rk long, d long, line int, u long, bands array<long>")
+    return bounded(docs).select("rk", "d", "text").mapInPandas(tidy(run), "rk long, d long, line int, u long, bands array<long>")
 
 
 def _jaccard_links(sets: list[np.ndarray], asks: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:

@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewind.llm import ngram_lr
+from tidewind.llm.common import bounded, tidy
 from tidewind.llm.langid import hash_share
 
 SYMBOLS = "#*$%&|<>"
@@ -73,7 +74,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 2400) -> dict:
                 packed = [(a.astype("<i4").tobytes(), v.astype("<f2").tobytes()) for a, v in found]
                 yield pd.DataFrame({"doc_id": part["doc_id"].to_numpy(), "y": part["quality"].to_numpy(), "at": [p[0] for p in packed], "v": [p[1] for p in packed]})
 
-    got = rows.mapInPandas(cut, "doc_id long, y int, at binary, v binary").collect()
+    got = bounded(rows).mapInPandas(tidy(cut), "doc_id long, y int, at binary, v binary").collect()
     got.sort(key=lambda r: (r["doc_id"], r["at"], r["v"]))
     features = [(np.frombuffer(r["at"], dtype="<i4"), np.frombuffer(r["v"], dtype="<f2").astype(np.float32)) for r in got]
     y = np.array([r["y"] for r in got], dtype=float)
@@ -107,7 +108,7 @@ def judge(docs: DataFrame, model: dict, threshold: float = 0.3, min_words: int =
         return pd.DataFrame(rows, columns=[*names, "quality_score"])
 
     made = [*names, "quality_score", "base_failed", "kept"]
-    out = docs.drop(*made).withColumn("_tw_q", score(F.col("text")))
+    out = bounded(docs).drop(*made).withColumn("_tw_q", score(F.col("text")))
     out = out.select("*", *[F.col(f"_tw_q.{c}").alias(c) for c in [*names, "quality_score"]]).drop("_tw_q")
     failed = (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > max_repeat * F.col("n_words"))
     return out.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("quality_score") >= threshold))

@@ -29,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidewind.llm.common import attach, discard, join_labels, materialize, parts, stream_groups, tidy
+from tidewind.llm.common import attach, bounded, discard, join_labels, materialize, parts, stream_groups, tidy
 from tidewind.llm.components import connected_components
 
 SEED = 42
@@ -73,7 +73,7 @@ def fingerprints(docs: DataFrame, width: int = 3, key: Column | None = None) ->
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "fp": fps} | ({"rk": pdf["rk"]} if keyed else {}))
 
     keys = [key.alias("rk")] if keyed else []
-    return docs.select(F.col("doc_id").cast("long"), "text", *keys).mapInPandas(tidy(run), "doc_id long, fp long" + ", rk long" * keyed)
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text", *keys).mapInPandas(tidy(run), "doc_id long, fp long" + ", rk long" * keyed)
 
 
 def pivot_table(fps: DataFrame, blocks: int, n_pivots: int = 8) -> DataFrame:

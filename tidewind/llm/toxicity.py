@@ -19,7 +19,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewind.llm.common import tidy
+from tidewind.llm.common import bounded, tidy
 from tidewind.llm.langid import hash_share
 
 WORDS = re.compile(r"[^\W_]+")
@@ -137,7 +137,7 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 16_000, max_voters
     document the highest counts.  Without toxic labels only the patterns vote.
     """
     known = labels.where(F.col("toxic").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
-    n_docs, n_known = docs.count(), known.count()
+    n_docs, n_known = bounded(docs).count(), known.count()
     draw = hash_share(F.col("doc_id"), F.lit("toxicity"))
     with_label = docs.join(known.where(draw * n_known < max_rows // 2), "doc_id").select("text", "toxic", "doc_id")
     others = docs.where(draw * n_docs < max_rows // 2).join(known, "doc_id", "left_anti").select("text", F.lit(-1).alias("toxic"), "doc_id")
@@ -192,4 +192,4 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
             raw = np.array([model["weights"][voters.fire(t)].sum() for t in pdf["text"]]) + model["bias"]
             yield pd.DataFrame({"doc_id": pdf["doc_id"], "score": 1 / (1 + np.exp(-np.clip(raw, -30, 30)))})
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(tidy(run), "doc_id long, score double")
+    return bounded(docs).select(F.col("doc_id").cast("long"), "text").mapInPandas(tidy(run), "doc_id long, score double")
