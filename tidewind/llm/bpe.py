@@ -30,8 +30,8 @@ from tokenizers import Tokenizer
 
 from tidewind.llm.common import bounded, chunks, tidy
 
-#: Words and pairs of tokens whose results a task keeps, some 30 MB and 20 MB.
-CACHE_WORDS = 100_000
+#: Words and pairs of tokens whose results a task keeps, some 40 MB and 20 MB.
+CACHE_WORDS = 200_000
 CACHE_PAIRS = 150_000
 CHARS_OUT = 1 << 21
 NEVER = 1 << 60
@@ -53,15 +53,20 @@ def _packed(ids: list[int]) -> bytes:
 
 
 class Words(dict):
-    """(ids as little-endian 32-bit integers, the tokens' texts) of each word, kept for when it comes again."""
+    """Ids of each word as little-endian 32-bit integers, kept for when it comes again.
 
-    def __init__(self, encode: "Bpe") -> None:
-        self.bpe = encode
+    When half of the room is full, the words since then become the old ones;
+    old ones that come again move back, the others go.
+    """
+
+    def __init__(self, bpe: "Bpe") -> None:
+        self.bpe, self.old = bpe, {}
 
-    def __missing__(self, word: str) -> tuple[bytes, str]:
-        if len(self) >= CACHE_WORDS:
+    def __missing__(self, word: str) -> bytes:
+        found = self.old.pop(word, None) or self.bpe.word(word)
+        if len(self) >= CACHE_WORDS // 2:
+            self.old = dict(self)
             self.clear()
-        found = self.bpe.word(word)
         if len(word) < 64:
             self[word] = found
         return found
@@ -215,12 +220,11 @@ class Bpe:
             i = start[i]
         return out[::-1]
 
-    def word(self, piece: str) -> tuple[bytes, str]:
-        """(ids as little-endian 32-bit integers, the tokens' texts) of one piece."""
+    def word(self, piece: str) -> bytes:
+        """Ids of one piece as little-endian 32-bit integers."""
         raw = piece.encode("utf-8", "surrogatepass")
         seq = [self.inner[b] for b in raw[:-1]] + [self.final[raw[-1]]]
-        ids = self.encode_symbols(seq)
-        return _packed(ids), " ".join([self.text_of[i] for i in ids])
+        return _packed(self.encode_symbols(seq))
 
     def pieces(self, text: str) -> list[str]:
         """Normalized words: canonical composition, white space to one blank, lower case letter by letter.
@@ -244,13 +248,14 @@ class Bpe:
         found, word = [], self.words.__getitem__
         for i, part in enumerate(self.cut.split(text or "") if self.cut else [text or ""]):
             if i % 2:
-                found.append((_packed([self.added[part]]), part))
+                found.append(_packed([self.added[part]]))
             else:
                 found += map(word, self.pieces(part))
-        return b"".join([f[0] for f in found]), " ".join([f[1] for f in found])
+        ids = b"".join(found)
+        return ids, self.decode(ids)
 
     def decode(self, ids: bytes) -> str:
-        return " ".join(self.text_of[int(i)] for i in np.frombuffer(ids, dtype="<u4"))
+        return " ".join(map(self.text_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
 def encode_decode(docs: DataFrame, tokenizer_file: str) -> DataFrame:
