@@ -51,6 +51,12 @@ def nearly_constant(p: Column, limit: float = 1e-6) -> Column:
     return F.stddev_pop(p) < limit
 
 
+def mapped(c: Column, names: dict) -> Column:
+    """The value that ``names`` has for each value; null for one that it lacks."""
+    pairs = [F.lit(x) for pair in names.items() for x in pair]
+    return F.try_element_at(F.create_map(*pairs), c) if pairs else F.lit(None)
+
+
 def metrics(y: Column, p: Column, limit: float = 1e-6) -> list[Column]:
     return [
         F.count("*").alias("n"),

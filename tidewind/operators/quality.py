@@ -207,3 +207,12 @@ def fingerprint(rows: DataFrame) -> DataFrame:
     one = rows.agg(F.count("*").alias("n_rows"), h(1).alias("a"), h(2).alias("b"))
     text = F.concat_ws("|", F.lit(",".join(sorted(rows.columns))), "n_rows", F.col("a").cast("string"), F.col("b").cast("string"))
     return one.select("n_rows", F.sha2(text, 256).alias("fingerprint"))
+
+
+def sampled_dates(dates: DataFrame, k: int = 12, seed: int = 20260824) -> DataFrame:
+    """``k`` distinct dates without replacement, by the order of a seeded hash; fewer if there are fewer.
+
+    Each partition keeps its first ``k`` only, so no task sorts all dates.
+    """
+    draw = F.md5(F.concat(F.lit(f"{seed}|"), F.date_format("Date", "yyyy-MM-dd")))
+    return dates.select("Date").where(F.col("Date").isNotNull()).distinct().orderBy(draw, "Date").limit(k)

@@ -121,6 +121,7 @@ AUDIT = f"""SELECT fold AS fold_id, count(*) FILTER (role = 'train') AS n_train,
 ON_COMMON: dict[str, str] = {
     "daily_bars": f'SELECT "Date", {ROUND_BARS} FROM bars',
     "provenance_profile": 'SELECT count(*) AS n_rows, min("Date") AS first_date, max("Date") AS last_date, 6::BIGINT AS n_columns FROM bars',
+    "sampled_dates": """SELECT "Date" FROM bars ORDER BY md5('20260824|' || strftime("Date", '%Y-%m-%d')), "Date" LIMIT 12""",
     "daily_return": f'SELECT "Date", round("Close", 9) + 0.0 AS "Close", {r("return_1d")} FROM ret',
     "momentum_features": f'SELECT "Date", {r(*RETURNS[1:])} FROM ret',
     "forward_target": f'SELECT "Date", {r(TARGET)} FROM feat',
@@ -254,5 +255,9 @@ EXTRA = {
 }
 
 
+EXTRA["status_names"] = """SELECT o_orderstatus, CASE o_orderstatus WHEN 'F' THEN 'filled' WHEN 'O' THEN 'open' END AS status, count(*) AS n_orders
+      FROM orders GROUP BY 1"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: COMMON + sql for name, sql in ON_COMMON.items()} | EXTRA

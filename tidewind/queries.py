@@ -12,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewind.config import Config, RegimeConfig, feature_names
-from tidewind.functions.exprs import safe_corr
+from tidewind.functions.exprs import mapped, safe_corr
 from tidewind.operators import errors, evaluate, features, folds, gate, models, quality
 from tidewind.sources.bars import SyntheticMarketSource, lineitem_bars
+from tidewind.sources.files import file_hashes
 from tidewind.streaming.bars import sessions, windowed_bars
 
 CFG = Config()
@@ -85,6 +86,27 @@ def provenance_profile(spark, sf_dir):
     return b.agg(F.count("*").alias("n_rows"), F.min("Date").alias("first_date"), F.max("Date").alias("last_date"), F.lit(len(b.columns)).cast("long").alias("n_columns"))
 
 
+@query
+def status_names(spark, sf_dir):
+    """A value map: order states by name, how many orders have each."""
+    names = {"F": "filled", "O": "open"}
+    orders = spark.read.parquet(f"{sf_dir}/orders.parquet").groupBy("o_orderstatus").agg(F.count("*").alias("n_orders"))
+    return orders.select("o_orderstatus", mapped(F.col("o_orderstatus"), names).alias("status"), "n_orders")
+
+
+@query
+def sampled_dates(spark, sf_dir):
+    """Twelve seeded dates of the bars, for proofs at a sample."""
+    return quality.sampled_dates(lineitem_bars(spark, sf_dir))
+
+
+@query
+def table_hashes(spark, sf_dir):
+    """Content hashes of the two smallest tables' files."""
+    found = file_hashes(spark, sf_dir, "{region,nation}*.parquet")
+    return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length", "sha256")
+
+
 @query
 def frame_fingerprint(spark, sf_dir):
     return quality.fingerprint(lineitem_bars(spark, sf_dir))
