@@ -47,6 +47,12 @@ def _place(spark: SparkSession, path: str) -> tuple:
     return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), where
 
 
+def delete_at_exit(spark: SparkSession, path: str) -> None:
+    """The application takes this folder with it when it ends."""
+    fs, where = _place(spark, path)
+    fs.deleteOnExit(where)
+
+
 def parts(rows: int, each: int = 50_000) -> int:
     """Files for a table of so many rows."""
     return max(1, -(-rows // each))
@@ -63,8 +69,7 @@ def materialize(df: DataFrame, files: int | None = None) -> DataFrame:
     spark = df.sparkSession
     df = df.coalesce(files) if files else df
     path = f"{shared_folder(spark)}/tidewind-{uuid.uuid4().hex}"
-    fs, where = _place(spark, path)
-    fs.deleteOnExit(where)
+    delete_at_exit(spark, path)
     before = spark.conf.get(CLEANUP, "false")
     spark.conf.set(CLEANUP, "true")
     try:

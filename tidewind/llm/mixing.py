@@ -68,20 +68,23 @@ def source_targets(sizes: DataFrame, weights: tuple[float, ...], share: float, l
     return s.select("source", "source_size", "target")
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2.0, seed: int = 42, run_bits: int = 12) -> DataFrame:
+def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float = 1.5, limit: float = 2.0, seed: int = 42, run_bits: int = 12, key: Column | None = None) -> DataFrame:
     """``docs(doc_id, text, source)`` -> ``(doc_id, source, size, source_size, target, taken)``, one row per row.
 
     taken is size times the number of times the mix takes the document, at most
     ``ceil(limit)`` times.  A null text has no words and is taken 0 words; a null
     source is a source of its own, the last.  Equal rows draw equal keys and stand
     next to each other.  A budget ends at the document that comes nearest to it.
-    No rows give no rows; other columns are not read.
+    Texts of any length count whole.  No rows give no rows; other columns are not
+    read.  With a ``key`` of the caller, rows have it as ``rk``.
     """
+    named_rows = [key.alias("rk")] if key is not None else []
     key = -F.log(uniform_draw(seed, F.col("doc_id"), F.col("size"))) / F.col("weight")
-    rows = docs.select("doc_id", "source", words(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("weight"))
+    rows = docs.select("doc_id", "source", words(F.col("text")).alias("size"), quality_weight(F.col("text")).alias("weight"), *named_rows)
     # exp(-key) falls as the key rises and lies in (0, 1): runs of nearly even size for any weights near one.
     run = F.floor((1 - F.exp(-F.col("key"))) * (1 << run_bits)).cast("int")
-    rows = materialize(rows.withColumn("key", key).select("doc_id", "source", "size", "key", run.alias("run")))
+    carried = ["rk"] if named_rows else []
+    rows = materialize(rows.withColumn("key", key).select("doc_id", "source", "size", "key", run.alias("run"), *carried))
     runs = materialize(rows.groupBy("source", "run").agg(F.sum("size").alias("run_size")))
     targets = source_targets(runs.groupBy("source").agg(F.sum("run_size").alias("source_size")), weights, share, limit)
     epochs = F.when(F.col("source_size") > 0, F.floor(F.col("target") / F.col("source_size"))).otherwise(0).cast("long")
@@ -102,4 +105,4 @@ def mix(docs: DataFrame, weights: tuple[float, ...] = (5, 2, 1), share: float =
     last = rows.where("run = edge").withColumn("more", (upto - F.col("size") / 2 <= F.col("rest")).cast("long"))
     taken = F.col("size") * (F.col("epochs") + F.col("more"))
     both = whole.unionByName(last)
-    return both.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"))
+    return both.select("doc_id", "source", "size", "source_size", "target", taken.cast("long").alias("taken"), *carried)
