@@ -8,7 +8,6 @@ from files whatever becomes of the executors that made them.
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 
@@ -18,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tidewind.llm import quality
 from tidewind.llm.bpe import encode_decode
-from tidewind.llm.common import read_table
+from tidewind.llm.common import delete_at_exit, read_table, shared_folder
 from tidewind.llm.mixing import mix
 from tidewind.llm.paragraphs import repeated_paragraphs
 from tidewind.llm.queries import digests
@@ -26,7 +25,7 @@ from tidewind.llm.simhash import first_of_components
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep (a null or empty text is rejected)."""
+    """Documents that the quality rules keep; a null or empty text is rejected, repeated rows fare alike, no rows give no rows."""
     model = quality.train(docs, read_table(spark, sf_dir, "labels"))
     return quality.judge(docs, model).where("kept").select(docs.columns)
 
@@ -38,8 +37,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     repeated rows one.
     """
     key = F.xxhash64("doc_id", "text")
-    keep = first_of_components(docs, key)
-    kept = docs.withColumn("_tw_rk", key).join(keep, F.col("_tw_rk") == F.col("rk"), "left_semi")
+    keep = first_of_components(docs, key).withColumnRenamed("rk", "_tw_rk")
+    kept = docs.withColumn("_tw_rk", key).join(keep, "_tw_rk", "left_semi")
     return kept.dropDuplicates(["_tw_rk"]).select(docs.columns)
 
 
@@ -53,15 +52,21 @@ def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as many times as the mix takes it."""
-    taken = mix(docs).where("taken > 0").select("doc_id", "source", (F.col("taken") / F.col("size")).cast("int").alias("_tw_times"))
-    times = taken.groupBy(F.col("doc_id").alias("_tw_of")).agg(F.max("_tw_times").alias("_tw_times"))
-    out = docs.join(times, F.col("doc_id").eqNullSafe(F.col("_tw_of"))).withColumn("_tw_copy", F.explode(F.sequence(F.lit(1), F.col("_tw_times"))))
-    return out.select(docs.columns)
+    """Each document as many times as the mix takes it.
+
+    A document is told by doc_id, text and source, so a null or shared doc_id takes
+    nobody else's copies; repeated rows have all copies of theirs together.  A null
+    or empty text has no words, so it is not taken; no rows give no rows.
+    """
+    key = F.xxhash64("doc_id", "text", "source")
+    taken = mix(docs, key=key).where("taken > 0").select(F.col("rk").alias("_tw_rk"), (F.col("taken") / F.col("size")).cast("int").alias("_tw_times"))
+    times = taken.groupBy("_tw_rk").agg(F.sum("_tw_times").cast("int").alias("_tw_times"))
+    out = docs.withColumn("_tw_rk", key).join(times, "_tw_rk").dropDuplicates(["_tw_rk"])
+    return out.withColumn("_tw_copy", F.explode(F.sequence(F.lit(1), F.col("_tw_times")))).select(docs.columns)
 
 
 def bpe_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Number of tokens and digests of ids and decoded text of each document."""
+    """Number of tokens and digests of ids and decoded text of each document, a null text as an empty one, row by row."""
     return digests(encode_decode(docs, public_tokenizers.path("word_bpe_49k.json")))
 
 
@@ -79,9 +84,8 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents")
-    sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidewind-")
-    place = f"{folder.rstrip('/')}/pipeline-{uuid.uuid4().hex}"
+    place = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    delete_at_exit(spark, place)
     for i, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
