@@ -345,6 +345,17 @@ def test_language_scores_by_brute_force(spark, sf_dir):
         assert math.isclose(got[doc_id]["score"], 1 / sum(share) if found else 0.0, rel_tol=1e-4)
 
 
+def test_sparse_and_dense_language_tables_agree(spark, sf_dir, monkeypatch):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    model = langid.train(docs)
+    dense = langid.Scorer(model)
+    monkeypatch.setattr(langid, "DENSE_CELLS", 0)
+    sparse = langid.Scorer(model)
+    for r in docs.collect():
+        (a, s), (b, t) = dense.text(r["text"]), sparse.text(r["text"])
+        assert a == b and math.isclose(s, t, rel_tol=1e-4)
+
+
 def test_toxicity_scores_by_brute_force(spark, sf_dir):
     docs, labels = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/labels.parquet")
     model = toxicity.train(docs.where(~q.held_out(0, 5)), labels.where(~q.held_out(0, 5)))

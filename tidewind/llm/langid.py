@@ -21,6 +21,8 @@ from tidewind.llm.common import bounded, discard, materialize, tidy
 
 LETTERS = re.compile(r"[^\W\d_]+")
 CACHE_WORDS = 200_000
+#: Cells of a model table that a task spreads out to a matrix, 16 MB.
+DENSE_CELLS = 4_000_000
 #: Languages whose counts are broadcast; more of them go through the shuffle.
 MOST_BROADCAST = 100_000
 
@@ -97,9 +99,19 @@ class Scorer:
         self.step = np.log(step)
         self.seen: dict[str, int] = {}
         self.scores = np.zeros((1024, len(self.langs)))
+        # A table of few languages is read as a matrix, one of many as it is; the scores are the same.
+        self.dense = [self._matrix(k) if len(t[0]) * len(self.langs) <= DENSE_CELLS else None for k, t in enumerate(self.tables)]
+
+    def _matrix(self, kind: int) -> np.ndarray:
+        known, ends, langs, above = self.tables[kind]
+        out = np.tile(self.floor[kind].astype(np.float32), (len(known), 1))
+        out[np.repeat(np.arange(len(known)), np.diff(ends)), langs] += above
+        return out
 
     def _entries(self, kind: int, rows: list[int]) -> np.ndarray:
         """Mean log frequency of some entries in each language."""
+        if self.dense[kind] is not None:
+            return self.dense[kind][rows[0]] if len(rows) == 1 else self.dense[kind][rows].mean(axis=0)
         _, ends, langs, above = self.tables[kind]
         out = np.zeros(len(self.langs))
         for row in rows:
