@@ -367,7 +367,7 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 20, width: int = 5, th
     key = F.xxhash64("doc_id", "text")
     source = docs.select(key.alias("rk"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), "text")
     n_docs = source.count()
-    files = parts(n_docs, 5000)
+    files = parts(n_docs, 25_000)
     made = materialize(_units(source, min_words, width, bands, rows, run_words), 2 * files)
     units, pages = made.where("line >= 0"), made.where("line < 0")
     copies, prints = _copies_and_wanted(pages, files)
