@@ -46,6 +46,31 @@ SELECT doc_id, size, source_size, target,
 FROM p
 """
 
+OP13_ROUND = """, a{r} AS MATERIALIZED (
+  SELECT rid, p, min(struct_pack(d := list_dot_product(v, v) - 2 * list_dot_product(v, c) + list_dot_product(c, c), j := j)) AS m FROM x JOIN b{r} USING (p) GROUP BY ALL
+), m{r} AS (
+  SELECT p, j, list(y ORDER BY k) AS c FROM (
+    SELECT p, j, k, floor(sum(y) / count(*)) AS y FROM (SELECT p, a.m.j AS j, unnest(v) AS y, generate_subscripts(v, 1) AS k FROM a{r} a JOIN x USING (rid, p)) GROUP BY ALL)
+  GROUP BY ALL
+), b{n} AS MATERIALIZED (SELECT p, j, coalesce(m.c, b.c) AS c FROM b{r} b LEFT JOIN m{r} m USING (p, j))
+"""
+
+OP13 = (
+    """
+WITH kept AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+), x AS MATERIALIZED (SELECT rid, p, e[p * len(e) // 4 + 1 : (p + 1) * len(e) // 4] AS v FROM kept, (SELECT unnest(range(4)) AS p)
+), b0 AS MATERIALIZED (SELECT p, rid - 1 AS j, v AS c FROM x WHERE rid <= 256)"""
+    + "".join(OP13_ROUND.format(r=r, n=r + 1) for r in range(4))
+    + """, a4 AS MATERIALIZED (
+  SELECT rid, p, min(struct_pack(d := list_dot_product(v, v) - 2 * list_dot_product(v, c) + list_dot_product(c, c), j := j)) AS m FROM x JOIN b4 USING (p) GROUP BY ALL
+), f AS (SELECT rid, string_agg(format('{:02x}', a4.m.j), '' ORDER BY p) AS code, sum(a4.m.d)::BIGINT AS error FROM a4 GROUP BY 1
+), g AS (SELECT sha256(string_agg(y::BIGINT::VARCHAR, ',' ORDER BY p, j, k)) AS sha FROM (SELECT p, j, unnest(c) AS y, generate_subscripts(c, 1) AS k FROM b4))
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error, sha AS codebooks_sha256 FROM f JOIN kept USING (rid), g
+"""
+)
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_top_k": OP1, "op3_mixing": OP3}
+    return {"op1_top_k": OP1, "op3_mixing": OP3, "op13_codes": OP13}

@@ -9,8 +9,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewind.llm import langid, quality, toxicity
+from tidewind.llm.codebooks import codebooks_sha256, compress
 from tidewind.llm.bpe import encode_decode
-from tidewind.llm.common import read_table
+from tidewind.llm.common import attach, materialize, read_table
 from tidewind.llm.html import extract
 from tidewind.llm.mixing import mix
 from tidewind.llm.paragraphs import repeated_paragraphs
@@ -85,6 +86,15 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found, books = compress(read_table(spark, sf_dir, "embeddings"), ("vec_id", "label"))
+    found = materialize(found.withColumn("_tw_l", F.coalesce(F.col("label").cast("string"), F.lit("null"))))
+    sums = found.groupBy("_tw_l").agg(F.sum("error").alias("label_error"), F.count("*").alias("n"))
+    hexes = F.array_join(F.transform("code", lambda c: F.lpad(F.lower(F.hex(c)), 2, "0")), "")
+    sha = F.lit(codebooks_sha256(books)).alias("codebooks_sha256")
+    return attach(found, sums, "_tw_l", "n", found.count()).select("vec_id", hexes.alias("code"), "error", "label_error", sha)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_top_k": op1_top_k,
@@ -97,4 +107,5 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_language": op9_language,
         "op10_bpe": op10_bpe,
+        "op13_codes": op13_codes,
     }
