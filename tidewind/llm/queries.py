@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tidewind.llm import langid, quality, toxicity
 from tidewind.llm.codebooks import codebooks_sha256, compress
+from tidewind.llm.audit import audit
 from tidewind.llm.bpe import encode_decode
 from tidewind.llm.common import attach, materialize, read_table
 from tidewind.llm.html import extract
@@ -86,6 +87,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op13_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found, books = compress(read_table(spark, sf_dir, "embeddings"), ("vec_id", "label"))
     found = materialize(found.withColumn("_tw_l", F.coalesce(F.col("label").cast("string"), F.lit("null"))))
@@ -107,5 +112,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_language": op9_language,
         "op10_bpe": op10_bpe,
+        "op12_filter_audit": op12_filter_audit,
         "op13_codes": op13_codes,
     }
