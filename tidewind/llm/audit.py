@@ -17,7 +17,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from itertools import permutations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidewind.llm.common import attach, discard, materialize
@@ -42,40 +42,47 @@ def failures(text: Column) -> dict[str, Column]:
 
 def block_hashes(text: Column, block: int, growth: int, digest: Callable[[Column], Column]) -> Column:
     """Hashes of a text's blocks: ``block`` code points, then ``growth`` times as many in each."""
-    # Ends are block * (1 + growth + growth ** 2 + ...); the last block may be shorter, an empty text has one.
+    # The ends of i blocks; the last block may be shorter, an empty text has one.
     upto = lambda i: F.floor(block * (F.pow(F.lit(float(growth)), i) - 1) / (growth - 1)).cast("int")
-    blocks = F.ceil(F.log(F.length(text) * (growth - 1) / block + 1) / F.log(F.lit(float(growth)))).cast("int")
-    at = F.sequence(F.lit(0), F.greatest(blocks, F.lit(1)))  # one more than needed, should the logarithm be rounded down
-    return F.transform(at, lambda i: digest(F.substring(text, upto(i) + 1, F.lit(block) * F.pow(F.lit(float(growth)), i).cast("int"))))
+    about = F.greatest(F.round(F.log(F.length(text) * (growth - 1) / block + 1) / F.log(F.lit(float(growth)))).cast("int"), F.lit(1))
+    last = F.when(upto(about) < F.length(text), about).otherwise(about - 1)
+    return F.transform(F.sequence(F.lit(0), last), lambda i: digest(F.substring(text, upto(i) + 1, F.lit(block) * F.pow(F.lit(float(growth)), i).cast("int"))))
 
 
-def refined(rows: DataFrame) -> DataFrame:
-    """``rows(n_chars, blocks)`` -> ``(key, n)``, the classes of several rows that agree in length and all blocks, as a table.
+def _counted(df: DataFrame, **counts: Column) -> tuple[DataFrame, dict]:
+    """The rows as a table, and counts taken while it is written."""
+    seen = Observation()
+    table = materialize(df.observe(seen, F.count(F.lit(1)).alias("n"), *[F.count_if(c).alias(k) for k, c in counts.items()]))
+    return table, seen.get
+
+
+def refined(rows: DataFrame, n_rows: int) -> tuple[DataFrame, int]:
+    """``rows(n_chars, blocks)`` -> ``(key, n)``, the classes of several rows that agree in length and all blocks, as a table, and their number.
 
     ``key`` is the hash of length and block hashes so far; classes are split block
     by block, and rows that are alone leave.
     """
-    key = F.xxhash64("n_chars")
-    live, done, spare, block = rows.select(key.alias("key"), "blocks"), [], [], 0
+    live, done, spare, block = rows.select(F.xxhash64("n_chars").alias("key"), "blocks"), [], [], 0
     while True:
         counts = live.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-        live = materialize(attach(live, counts, "key", "n", live.count()).where("n is not null").select("key", "blocks"))
-        spare.append(live)
-        whole = F.size("blocks") == block
-        done.append(live.where(whole).groupBy("key").agg(F.count("*").alias("n")))
-        live = live.where(~whole).select(F.xxhash64("key", F.col("blocks")[block]).alias("key"), "blocks")
-        if live.isEmpty():
+        more = F.size("blocks") > block
+        table, seen = _counted(attach(live, counts, "key", "n", n_rows).where("n is not null"), more=more)
+        spare.append(table)
+        done.append(table.where(~more).select("key", "n").distinct())
+        n_rows = seen["more"]
+        if not n_rows:
             break
+        live = table.where(more).select(F.xxhash64("key", F.col("blocks")[block]).alias("key"), "blocks")
         block += 1
     out = done[0]
     for more in done[1:]:
         out = out.unionByName(more)
-    out = materialize(out)
+    out, seen = _counted(out)
     discard(*spare)
-    return out
+    return out, seen["n"]
 
 
-def with_masks(docs: DataFrame, fails: Callable[[Column], dict[str, Column]] = failures, copies: str = "E", part: str = "lang", block: int = 256, growth: int = 8, digest: Callable[[Column], Column] = F.xxhash64) -> tuple[DataFrame, str]:
+def with_masks(docs: DataFrame, fails: Callable[[Column], dict[str, Column]] = failures, copies: str = "E", part: str = "lang", block: int = 1024, growth: int = 16, digest: Callable[[Column], Column] = F.xxhash64) -> tuple[DataFrame, str]:
     """``(doc_id, part, mask)`` of each row, and the letters whose bits the mask holds, lowest first.
 
     ``copies`` is the letter of the filter that a text fails if a row with a smaller
@@ -90,22 +97,20 @@ def with_masks(docs: DataFrame, fails: Callable[[Column], dict[str, Column]] = f
     made = made.withColumn("n_chars", F.length("text")).withColumn("blocks", block_hashes(F.col("text"), block, growth, digest))
     # The key of a class after its last block, as refined() makes it.
     made = made.withColumn("key", F.aggregate("blocks", F.xxhash64("n_chars"), lambda key, b: F.xxhash64(key, b)))
-    facts = materialize(made.select("doc_id", "d", "part", "n_chars", "blocks", "key", sum(bits[1:], bits[0]).alias("mask")))
-    classes = refined(facts)
-    n_classes = classes.count()
+    facts, seen = _counted(made.select("doc_id", "d", "part", "n_chars", "blocks", "key", sum(bits[1:], bits[0]).alias("mask")))
+    classes, n_classes = refined(facts, seen["n"])
     keys = classes.select("key")
     keys = F.broadcast(keys) if n_classes <= MOST_KEYS else keys
     # Copies collapse in the task that reads them, so a large class isn't gathered.
     texts = made.select("key", "text", "d").join(keys, "key", "left_semi").groupBy("key", "text").agg(F.min("d").alias("first"))
     texts = materialize(texts)
-    firsts = materialize(texts.groupBy("key").agg(F.count("*").alias("n_texts"), F.min("first").alias("first")).join(classes, "key"))
+    firsts, found = _counted(texts.groupBy("key").agg(F.count("*").alias("n_texts"), F.min("first").alias("first")).join(classes, "key"), several=F.col("n_texts") > 1)
     copy = 1 << (len(letters) - 1)
     late = F.when(F.col("d") > F.col("first"), copy).otherwise(0)
-    found = attach(facts.select("doc_id", "d", "part", "mask", "key"), firsts, "key", "n", facts.count())
-    rows = found.where("n_texts is null or n_texts = 1").select("doc_id", "part", (F.col("mask") + F.coalesce(late, F.lit(0))).alias("mask"))
-    collided = firsts.where("n_texts > 1").select("key")
-    if not collided.isEmpty():  # different texts of one key: told apart by the texts themselves
-        apart = made.join(collided, "key", "left_semi").join(texts, ["key", "text"])
+    rows = attach(facts.select("doc_id", "d", "part", "mask", "key"), firsts, "key", "n", seen["n"])
+    rows = rows.where("n_texts is null or n_texts = 1").select("doc_id", "part", (F.col("mask") + F.coalesce(late, F.lit(0))).alias("mask"))
+    if found["several"]:  # different texts of one key: told apart by the texts themselves
+        apart = made.join(firsts.where("n_texts > 1").select("key"), "key", "left_semi").join(texts, ["key", "text"])
         rows = rows.unionByName(apart.select("doc_id", "part", (sum(bits[1:], bits[0]) + late).alias("mask")))
     discard(classes)
     return rows, letters

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewind.llm import langid, quality, toxicity
+from tidewind.llm import langid, linecrf, quality, toxicity
 from tidewind.llm.codebooks import codebooks_sha256, compress
 from tidewind.llm.audit import audit
 from tidewind.llm.bpe import encode_decode
@@ -87,6 +87,13 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(encode_decode(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op11_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, labels = read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels")
+    model = linecrf.train(docs.where(~held_out(1, 3)), labels.where(~held_out(1, 3)))
+    found = linecrf.score(docs, model).withColumn("held_out", held_out(1, 3))
+    return found.select("doc_id", "held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return audit(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
@@ -112,6 +119,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_substring_dedup": op8_substring_dedup,
         "op9_language": op9_language,
         "op10_bpe": op10_bpe,
+        "op11_line_quality": op11_line_quality,
         "op12_filter_audit": op12_filter_audit,
         "op13_codes": op13_codes,
     }
