@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import math
-from fractions import Fraction
 
+import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewind.functions.exprs import safe_corr
+from tidewind.operators.features import keys
+from tidewind.operators.order import BUFFER, average_rank, islands, largest, plain
 
 TOP_SHARE = 0.01
 CLUSTER_DAYS = 10
@@ -26,23 +28,23 @@ def top_count(n: int, share: float = TOP_SHARE) -> int:
     return round(n * share)
 
 
-def ranked(errors: DataFrame, share: float = TOP_SHARE) -> DataFrame:
+def ranked(errors: DataFrame, share: float = TOP_SHARE, buffer: int = BUFFER) -> DataFrame:
     """Adds in_top_errors and in_top_actuals: among the k rows with the largest values, equal values by date.
 
-    k is the rounded share of all rows; the k largest are found by a limit that
-    every partition applies first, so no task sorts all rows.
+    k is the rounded share of all rows; the k largest are told by a comparison with
+    the kth value, so neither is anything sorted nor joined.
     """
-    k = top_count(errors.count(), share)
-    by_error = errors.orderBy(F.col("abs_error").desc(), "Date").limit(k).select("Date", F.lit(True).alias("in_top_errors"))
-    by_actual = errors.orderBy(F.col("abs_actual").desc(), "Date").limit(k).select("Date", F.lit(True).alias("in_top_actuals"))
-    out = errors.join(by_error, "Date", "left").join(by_actual, "Date", "left")
-    return out.withColumns({c: F.coalesce(c, F.lit(False)) for c in ("in_top_errors", "in_top_actuals")})
+    names = ("abs_error", "abs_actual")
+    n, *values = errors.agg(F.count("*"), *[F.count(plain(F.col(c))) for c in names]).first()
+    k, then = top_count(n, share), ["Date", *keys(errors)]
+    marks = [largest(errors, c, k, m, then, buffer) for c, m in zip(names, values, strict=True)]
+    return errors.withColumns(dict(zip(("in_top_errors", "in_top_actuals"), marks, strict=True)))
 
 
-def top_errors(errors: DataFrame, share: float = TOP_SHARE) -> DataFrame:
-    k = top_count(errors.count(), share)
-    top = errors.orderBy(F.col("abs_error").desc(), "Date").limit(k)
-    return top.select("Date", "fold_id", "regime", "actual_return_5d", "prediction", "error", "abs_error")
+def top_errors(errors: DataFrame, share: float = TOP_SHARE, buffer: int = BUFFER) -> DataFrame:
+    n, values = errors.agg(F.count("*"), F.count(plain(F.col("abs_error")))).first()
+    top = errors.where(largest(errors, "abs_error", top_count(n, share), values, ["Date", *keys(errors)], buffer))
+    return top.select(*keys(errors), "Date", "fold_id", "regime", "actual_return_5d", "prediction", "error", "abs_error")
 
 
 def top_overlap(marked: DataFrame) -> DataFrame:
@@ -61,13 +63,17 @@ def error_only(marked: DataFrame) -> DataFrame:
 
 
 def clusters(top: DataFrame, days: int = CLUSTER_DAYS) -> DataFrame:
-    """Runs of top dates with gaps of at most ``days`` calendar days; ``largest`` marks the longest, the earliest of equals."""
-    w = Window.orderBy("Date")  # k rows
-    split = top.select("Date", F.coalesce((F.date_diff("Date", F.lag("Date").over(w)) > days).cast("int"), F.lit(1)).alias("starts"))
-    runs = split.withColumn("cluster", F.sum("starts").over(w).cast("int")).groupBy("cluster")
+    """Runs of top dates with gaps of at most ``days`` calendar days; ``largest`` marks the longest, the earliest of equals.
+
+    With a symbol column the runs are those of each symbol.
+    """
+    by = keys(top)
+    runs = islands(top.select(*by, "Date"), days, by).groupBy(*by, "cluster")
     out = runs.agg(F.count("*").alias("n_dates"), F.min("Date").alias("start_date"), F.max("Date").alias("end_date"))
-    first = F.row_number().over(Window.orderBy(F.col("n_dates").desc(), "start_date")) == 1
-    return out.withColumn("largest", first)
+    size = F.struct("n_dates", -F.unix_date("start_date"))
+    best = out.groupBy(*by).agg(F.max(size).alias("_best"))
+    both = out.join(best, by) if by else out.crossJoin(F.broadcast(best))  # one row
+    return both.withColumn("largest", size == F.col("_best")).drop("_best")
 
 
 def shares(marked: DataFrame, by: str) -> DataFrame:
@@ -81,17 +87,6 @@ def regime_stats(errors: DataFrame) -> DataFrame:
     return errors.groupBy("regime").agg(F.count("*").alias("n"), F.avg("abs_error").alias("mae"), F.avg("abs_actual").alias("mean_abs_actual"))
 
 
-def average_rank(rows: DataFrame, value: str, out: str) -> DataFrame:
-    """Adds the rank of a value, equal values sharing the mean of their ranks.
-
-    Ranks are offsets of distinct values: only these are put in order in one task.
-    """
-    counts = rows.groupBy(value).agg(F.count("*").alias("_n"))
-    upto = F.sum("_n").over(Window.orderBy(value))
-    ranks = counts.select(F.col(value).alias("_v"), (upto - (F.col("_n") - 1) / 2).alias(out))
-    return rows.join(ranks, F.col(value).eqNullSafe(F.col("_v"))).drop("_v")
-
-
 def correlations(errors: DataFrame) -> DataFrame:
     """Pearson and Spearman between move and error, and Pearson between error and baseline error."""
     r = average_rank(average_rank(errors, "abs_actual", "actual_rank"), "abs_error", "error_rank")
@@ -102,10 +97,45 @@ def correlations(errors: DataFrame) -> DataFrame:
     )
 
 
+def _ratios(at: np.ndarray, population: int, successes: int, draws: int) -> np.ndarray:
+    """P(X = i + 1) / P(X = i) of the hypergeometric law."""
+    i = at.astype(float)
+    return (successes - i) / (i + 1) * ((draws - i) / (population - successes - draws + i + 1))
+
+
+def _sum_from(start: int, end: int, step: int, law: tuple[int, int, int], part: int = 1 << 16) -> float:
+    """P(X = start) + P(X = start + step) + ... up to ``end``, over P(X = start); stops where terms no longer count."""
+    total, term, at = 1.0, 1.0, start
+    while at != end and term > 1e-25 * total:
+        n = min(part, abs(end - at))
+        here = at + step * np.arange(n) if step > 0 else at - 1 - np.arange(n)
+        ratios = _ratios(here, *law) if step > 0 else 1 / _ratios(here, *law)
+        terms = term * np.cumprod(ratios)
+        total, term, at = total + math.fsum(terms), float(terms[-1]), at + step * n
+    return total
+
+
 def upper_tail(population: int, successes: int, draws: int, observed: int) -> float:
-    """Exact P(X >= observed) of the hypergeometric law, in integers."""
-    ways = sum(math.comb(successes, k) * math.comb(population - successes, draws - k) for k in range(observed, min(draws, successes) + 1))
-    return float(Fraction(ways, math.comb(population, draws)))
+    """P(X >= observed) of the hypergeometric law.
+
+    Terms follow from one another by their ratios, so no factorial is needed: the
+    sum of the tail over the sum of all, both positive.  Each ratio is good to a few
+    units in the last place, so the relative error is below about 1e-15 times the
+    number of terms between the mode and the end of the tail that counts, some
+    forty standard deviations or the way from the mode to ``observed``.
+    """
+    law = (population, successes, draws)
+    low, high = max(0, successes + draws - population), min(successes, draws)
+    if observed <= low:
+        return 1.0
+    if observed > high:
+        return 0.0
+    mode = min(high, max(low, (successes + 1) * (draws + 1) // (population + 2)))
+    up, down = _sum_from(mode, high, 1, law), _sum_from(mode, low, -1, law) - 1
+    if observed <= mode:
+        return (up + _sum_from(mode, observed, -1, law) - 1) / (up + down)
+    logs = [math.fsum(np.log(_ratios(np.arange(a, min(observed, a + (1 << 16))), *law))) for a in range(mode, observed, 1 << 16)]
+    return math.exp(math.fsum(logs)) * _sum_from(observed, high, 1, law) / (up + down)
 
 
 def enrichment(marked: DataFrame, regime: str = "HighVol") -> DataFrame:

@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewind.config import Config, feature_names
 from tidewind.functions.exprs import all_finite, any_true, is_close, is_finite
 from tidewind.operators.features import by_date, canonical_columns, keys
+from tidewind.operators.order import BUFFER, descents, quantiles
 
 PRICES = ("Open", "High", "Low", "Close")
 OHLCV = (*PRICES, "Volume")
@@ -85,9 +86,8 @@ def duplicate_dates(rows: DataFrame) -> DataFrame:
 
 
 def monotonic_check(rows: DataFrame, ordinal: str) -> DataFrame:
-    """Neighbours out of order by an ingest ordinal; equal dates are in order."""
-    back = F.lag("Date").over(Window.partitionBy(*keys(rows)).orderBy(ordinal)) > F.col("Date")
-    return rows.select(back.alias("back")).agg(F.count("*").alias("n_rows"), F.count_if("back").alias("n_descending")).withColumn("ascending", F.col("n_descending") == 0)
+    """Neighbours out of order by an ingest ordinal, of each symbol; equal dates are in order."""
+    return descents(rows, ordinal, keys(rows)).withColumn("ascending", F.col("n_descending") == 0)
 
 
 def missing_counts(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -155,10 +155,17 @@ def same_within(a: DataFrame, b: DataFrame, names: list[str], atol: float = 1e-1
     return one.select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n_different")) for c in names])).alias("x")).select("x.*", F.col("n").alias("n_dates"))
 
 
-def describe(rows: DataFrame, c: str) -> DataFrame:
-    q = F.percentile(c, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    one = rows.agg(F.count(c).alias("n"), F.avg(c).alias("mean_value"), F.stddev_samp(c).alias("std_value"), F.min(c).alias("min_value"), q.alias("q"), F.max(c).alias("max_value"))
-    return one.select("n", "mean_value", "std_value", "min_value", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max_value")
+def describe(rows: DataFrame, c: str, buffer: int = BUFFER) -> DataFrame:
+    """Number, mean, deviation, extremes and exact quartiles of a column."""
+    one = rows.agg(F.count(c).alias("n"), F.avg(c).alias("mean_value"), F.stddev_samp(c).alias("std_value"), F.min(c).alias("min_value"), F.max(c).alias("max_value"))
+    found = quantiles(rows, F.col(c), [0.25, 0.5, 0.75], buffer)
+    q = [F.lit(v).cast("double").alias(n) for v, n in zip(found, ("q25", "q50", "q75"), strict=True)]
+    return one.select("n", "mean_value", "std_value", "min_value", *q, "max_value")
+
+
+def median(rows: DataFrame, c: str, out: str, buffer: int = BUFFER) -> DataFrame:
+    """The exact median of a column, one row."""
+    return rows.sparkSession.createDataFrame([tuple(quantiles(rows, F.col(c), [0.5], buffer))], f"`{out}` double")
 
 
 def histogram(rows: DataFrame, c: str, bins: int = 100) -> DataFrame:

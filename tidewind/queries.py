@@ -236,14 +236,14 @@ def row_accounting(spark, sf_dir):
 
 @query
 def full_sample_threshold(spark, sf_dir):
-    return features.with_features(lineitem_bars(spark, sf_dir)).agg(F.median("volatility_20d").alias("full_sample_threshold"))
+    return quality.median(features.with_features(lineitem_bars(spark, sf_dir)), "volatility_20d", "full_sample_threshold")
 
 
 @query
 def leaky_label_disagreement(spark, sf_dir):
     """Rows that a threshold over the whole sample would label differently."""
     rows = prepared(spark, sf_dir).where("regime is not null").select("volatility_20d", "regime")
-    leaky = features.with_features(lineitem_bars(spark, sf_dir)).agg(F.median("volatility_20d").alias("t"))
+    leaky = quality.median(features.with_features(lineitem_bars(spark, sf_dir)), "volatility_20d", "t")
     other = F.when(F.col("volatility_20d") >= F.col("t"), "HighVol").otherwise("LowVol")
     return rows.crossJoin(F.broadcast(leaky)).agg(F.count("*").alias("n_labelled"), F.count_if(other != F.col("regime")).alias("n_disagree"))  # leaky is one row
 
@@ -306,11 +306,8 @@ def duplicate_dates(spark, sf_dir):
 def monotonic_check(spark, sf_dir):
     """Are orders in date order of their keys?  o_orderkey is the ingest ordinal."""
     rows = spark.read.parquet(f"{sf_dir}/orders.parquet")
-    per_symbol = rows.select(F.to_date("o_orderdate").alias("Date"), "o_orderkey", F.col("o_orderstatus").alias("symbol"))
-    back = F.lag("Date").over(features.Window.partitionBy("symbol").orderBy("o_orderkey")) > F.col("Date")
-    marked = per_symbol.select("symbol", back.alias("back"))
-    out = marked.groupBy("symbol").agg(F.count("*").alias("n_rows"), F.count_if("back").alias("n_descending"))
-    return out.withColumn("ascending", F.col("n_descending") == 0)
+    rows = rows.select(F.to_date("o_orderdate").alias("Date"), "o_orderkey", F.col("o_orderstatus").alias("symbol"))
+    return quality.monotonic_check(rows, "o_orderkey")
 
 
 @query
