@@ -605,3 +605,54 @@ def test_bpe_of_nasty_rows(spark):
     got = encode_decode(df, path).collect()
     assert len(got) == df.count() and [bytes(r["ids"]) for r in got if r["doc_id"] == 2] == [b""]
     assert encode_decode(df.limit(0), path).count() == 0
+
+
+def thue_morse(n, zero, one):
+    """Two sequences that agree under any polynomial with an odd base modulo a power of two."""
+    bits = [i.bit_count() & 1 for i in range(n)]
+    return [(zero, one)[b] for b in bits], [(one, zero)[b] for b in bits]
+
+
+@pytest.mark.parametrize("n", [64, 1024, 2048, 4096])
+def test_words_and_lines_of_no_common_hash(n):
+    a, b = ("".join(x).encode() for x in thue_morse(n, "a", "b"))
+    one, two = (paragraphs.word_hashes(x, paragraphs.word_spans(x)) for x in (a, b))
+    assert one != two
+    lines = [" ".join(x).encode() for x in thue_morse(n, "left", "right")]
+    hashes = [paragraphs.word_hashes(x, paragraphs.word_spans(x)) for x in lines]
+    whole = np.array([0]), np.array([n])
+    assert paragraphs.range_hashes(hashes[0], *whole) != paragraphs.range_hashes(hashes[1], *whole)
+    for width in (5, 16, 51, 64, n):
+        assert paragraphs.rolling(hashes[0], width)[0] != paragraphs.rolling(hashes[1], width)[0]
+
+
+def test_word_hashes_are_of_the_word_alone():
+    words = ["a", "b" * 63, "c" * 64, "d" * 65, "e" * 300, "é", "a"]
+    raw = "  \n".join(words).encode() + b"\t"
+    for lead in (b"", b" \n"):
+        data = lead + raw
+        got = paragraphs.word_hashes(data, paragraphs.word_spans(data))
+        alone = [paragraphs.word_hashes(w.encode(), paragraphs.word_spans(w.encode()))[0] for w in words]
+        assert got.tolist() == alone and len(set(alone)) == 6
+    assert len(paragraphs.word_hashes(b" \n", paragraphs.word_spans(b" \n"))) == 0
+
+
+def test_different_texts_stay_however_alike_their_polynomials(spark):
+    pairs = [["".join(x) for x in thue_morse(1024, f"{i:02d}a", f"{i:02d}b")] for i in range(60)]
+    texts = [" ".join(p[side] for p in pairs) for side in (0, 1)]
+    texts += [" ".join(x) for x in thue_morse(2048, "left", "right")]
+    got = {r["doc_id"]: r for r in paragraphs.repeated_paragraphs(docs_of(spark, texts), run_words=2000).collect()}
+    assert all(got[i]["text"] == texts[i] and got[i]["n_removed"] == 0 for i in (0, 1))
+
+
+def test_recall_of_production_bands(spark):
+    rng = random.Random(11)
+    texts, links = [], 0
+    for i in range(300):
+        words = [f"w{rng.randrange(10**6)}" for _ in range(60)]
+        near = list(words)
+        near[rng.randrange(5, 55)] = f"x{i}"  # 5 of 56 shingles differ: a similarity of 51 / 61
+        texts += [" ".join(words), " ".join(near)]
+        links += 1
+    got = {r["doc_id"]: r for r in paragraphs.repeated_paragraphs(docs_of(spark, texts), run_words=10**6).collect()}
+    assert sum(got[2 * i + 1]["class_id"] == 2 * i for i in range(links)) >= 0.97 * links

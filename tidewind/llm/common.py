@@ -132,7 +132,7 @@ def chunks(pdf: pd.DataFrame, most: int = 1 << 20) -> Iterator[pd.DataFrame]:
             yield pdf.iloc[low:high]
 
 
-def attach(rows: DataFrame, classes: DataFrame, key: str, count: str, total: int) -> DataFrame:
+def attach(rows: DataFrame, classes: DataFrame, key: str | list[str], count: str, total: int) -> DataFrame:
     """Left-join ``classes`` (one row per ``key``, ``count`` rows of ``rows`` each) to ``rows``.
 
     Keys with at least ``1 / HOT_SHARE`` of all rows number at most HOT_SHARE, so

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from tidewind.llm.common import attach, bounded, chunks, discard, join_labels, materialize, parts, stream_groups, tidy
@@ -36,9 +36,11 @@ MIX = np.uint64(0x9E3779B97F4A7C15)
 BLANK = np.isin(np.arange(256), list(b" \t\n\v\f\r"))
 #: Words in a fingerprint of a run.
 ANCHOR = 16
-#: A value for each byte, and powers of STEP and of its inverse as far as they were needed.
-BYTES = np.random.default_rng(5).integers(0, 1 << 63, 256, dtype=np.uint64)
-POWERS = [np.ones(1, dtype=np.uint64), np.ones(1, dtype=np.uint64)]
+#: Two hashes of 64 bits tell a run.
+RUN = ["run", "check"]
+#: A value for each byte at each of PLACES places in a word, none for blanks.
+PLACES = 64
+BYTES = np.where(BLANK, np.uint64(0), np.random.default_rng(5).integers(0, 1 << 64, (PLACES, 256), dtype=np.uint64)).ravel()
 
 
 def tune_bands(threshold: float, recall: float, rows: int = 5, most: int = 64) -> tuple[int, int]:
@@ -55,29 +57,40 @@ def word_spans(raw: bytes) -> np.ndarray:
     return np.flatnonzero(solid).reshape(-1, 2)
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """STEP ** i and its inverse modulo 2 ** 64 for i < n, kept for the next call."""
-    while len(POWERS[0]) < n:
-        size = len(POWERS[0])
-        for i, table in enumerate(POWERS):
-            POWERS[i] = np.concatenate([table, table * np.uint64(pow(int(STEP), size if i == 0 else -size, 1 << 64))])
-    return POWERS[0][:n], POWERS[1][:n]
+def _mixed(h: np.ndarray) -> np.ndarray:
+    for _ in range(2):
+        h = (h ^ (h >> np.uint64(31))) * MIX
+    return h ^ (h >> np.uint64(30))
 
 
 def range_hashes(values: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of values[starts[i]:ends[i]], by prefix sums of a polynomial."""
-    up, down = _powers(len(values) + 1)
-    sums = np.zeros(len(values) + 1, dtype=np.uint64)
-    np.cumsum(values * up[:-1], out=sums[1:])
-    out = (sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)
-    for _ in range(2):
-        out ^= out >> np.uint64(31)
-        out *= MIX
-    return out ^ (out >> np.uint64(30))
+    """64-bit hashes of values[starts[i]:ends[i]]: sums of a value and its place, mixed together.
+
+    No polynomial, so there are no sequences that agree whatever the values are.
+    """
+    sizes = ends - starts
+    place = _ranges(np.zeros_like(sizes), sizes).astype(np.uint64)
+    sums = np.zeros(len(place) + 1, dtype=np.uint64)
+    np.cumsum(_mixed(values[_ranges(starts, sizes)] + place * STEP), out=sums[1:])
+    upto = np.cumsum(sizes)
+    return _mixed(sums[upto] - sums[upto - sizes] + sizes.astype(np.uint64))
 
 
 def word_hashes(raw: bytes, spans: np.ndarray) -> np.ndarray:
-    return range_hashes(BYTES[np.frombuffer(raw, dtype=np.uint8)], spans[:, 0], spans[:, 1])
+    """64-bit hashes of the words: sums of a value for each byte and place."""
+    if not len(spans):
+        return np.empty(0, dtype=np.uint64)
+    data = np.frombuffer(raw, dtype=np.uint8)[spans[0, 0] :]
+    first = spans[:, 0] - spans[0, 0]
+    place = np.arange(len(data)) - np.repeat(first, np.diff(first, append=len(data)))
+    far = np.flatnonzero(place >= PLACES)
+    values = BYTES[(place % PLACES) * 256 + data] if len(far) else BYTES[place * 256 + data]
+    if len(far):
+        values[far] = np.where(values[far] == 0, np.uint64(0), _mixed(values[far] + (place[far] // PLACES).astype(np.uint64) * STEP))
+    sums = np.zeros(len(data) + 1, dtype=np.uint64)
+    np.cumsum(values, out=sums[1:])
+    end = spans[:, 1] - spans[0, 0]
+    return _mixed(sums[end] - sums[first] + (end - first).astype(np.uint64))
 
 
 def band_keys(flat: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.ndarray:
@@ -97,18 +110,22 @@ def band_keys(flat: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np
     return out.view(np.int64)
 
 
-def rolling(hashes: np.ndarray, width: int) -> np.ndarray:
-    """64-bit hashes of all windows of ``width`` words, by doubling."""
+def rolling(hashes: np.ndarray, width: int, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of all windows of ``width`` words, by doubling; halves are mixed at each step, so it is no polynomial."""
+    def joined(left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        h = left * STEP + right
+        h ^= h >> np.uint64(32)
+        return h * MIX
+
     part, size, done, n = hashes, 1, 0, max(0, len(hashes) - width + 1)
-    out = np.zeros(n, dtype=np.uint64)
+    out = np.full(n, seed, dtype=np.uint64)
     while n:
-        power = np.uint64(pow(int(STEP), size, 1 << 64))
         if width & size:
-            out = out * power + part[done : done + n]
+            out = joined(out, part[done : done + n])
             done += size
         if size * 2 > width:
             break
-        part, size = part[:-size] * power + part[size:], size * 2
+        part, size = joined(part[:-size], part[size:]), size * 2
     out ^= out >> np.uint64(32)
     return out * MIX
 
@@ -306,15 +323,15 @@ def _copies_and_wanted(pages: DataFrame, files: int) -> tuple[DataFrame, DataFra
 
 
 def _run_fates(each: DataFrame, order: DataFrame, copies: DataFrame, files: int) -> DataFrame:
-    """``each(ord, at, run)``, ``order(ord, of, d)`` -> table ``(rk, shared, gone, first, ids)`` of each document with repeated runs:
+    """``each(ord, at, run, check)``, ``order(ord, of, d)`` -> table ``(rk, shared, gone, first, ids)`` of each document with repeated runs:
 
     starts of runs that another document has, of those that an earlier one has,
     the smallest doc_id of a run's first document, and these of the gone ones.
     """
-    owner = each.groupBy("run").agg(F.min("ord").alias("keep"), F.max("ord").alias("last"), F.count("*").alias("n"))
-    owner = materialize(owner.where("keep <> last").select("run", "n", "keep"), 2 * files)
+    owner = each.groupBy(*RUN).agg(F.min("ord").alias("keep"), F.max("ord").alias("last"), F.count("*").alias("n"))
+    owner = materialize(owner.where("keep <> last").select(*RUN, "n", "keep"), files)
     gone = F.col("keep") != F.col("ord")
-    single = attach(each, owner, "run", "n", each.count()).where("keep is not null").groupBy("ord").agg(
+    single = attach(each, owner, RUN, "n", each.count()).where("keep is not null").groupBy("ord").agg(
         F.collect_list("at").alias("shared"),
         F.collect_list(F.when(gone, F.col("at"))).alias("gone"),
         F.min("keep").alias("first"),
@@ -366,9 +383,10 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 20, width: int = 5, th
     bands, rows = tune_bands(threshold, recall)
     key = F.xxhash64("doc_id", "text")
     source = docs.select(key.alias("rk"), F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST)).alias("d"), "text")
-    n_docs = source.count()
-    files = parts(n_docs, 25_000)
-    made = materialize(_units(source, min_words, width, bands, rows, run_words), 2 * files)
+    seen = Observation()
+    sizes = F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.octet_length("text").cast("long")), F.lit(0)).alias("bytes")
+    made = materialize(_units(source.observe(seen, *sizes), min_words, width, bands, rows, run_words))
+    files = max(parts(seen.get["n"]), parts(seen.get["bytes"], 256 << 20))
     units, pages = made.where("line >= 0"), made.where("line < 0")
     copies, prints = _copies_and_wanted(pages, files)
     first = F.min(F.struct("d", "rk", "line", "bands")).alias("first")
@@ -406,19 +424,19 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 20, width: int = 5, th
                         # Equal windows have the same least fingerprint.
                         least = _slide(np.minimum, rolling(hashes, size), run_words - size + 1)
                         at = np.flatnonzero(np.isin(least.view(np.int64), shared))
-                        windows.append((number, at, rolling(hashes, run_words).view(np.int64)[at]))
+                        windows.append((number, at, rolling(hashes, run_words).view(np.int64)[at], rolling(_mixed(hashes), run_words, 1).view(np.int64)[at]))
                 if sets:
                     made = pd.DataFrame(sets, columns=["root", "u", "set"])
-                    yield made.assign(ord=None, at=None, run=None).astype({"ord": "Int64", "at": "Int32", "run": "Int64"})
+                    yield made.assign(ord=None, at=None, run=None, check=None).astype({"ord": "Int64", "at": "Int32", "run": "Int64", "check": "Int64"})
                 if windows:
-                    number, at, run = zip(*windows, strict=True)
-                    made = pd.DataFrame({"ord": np.repeat(np.array(number, dtype=np.int64), list(map(len, at))), "at": np.concatenate(at).astype(np.int32), "run": np.concatenate(run)})
+                    number, at, run, check = zip(*windows, strict=True)
+                    made = pd.DataFrame({"ord": np.repeat(np.array(number, dtype=np.int64), list(map(len, at))), "at": np.concatenate(at).astype(np.int32), "run": np.concatenate(run), "check": np.concatenate(check)})
                     made = made.assign(root=None, u=None, set=None).astype({"root": "Int64", "u": "Int64"})
-                    yield made[["root", "u", "set", "ord", "at", "run"]]
+                    yield made[["root", "u", "set", "ord", "at", *RUN]]
 
     payload = source.join(wanted, F.col("rk") == F.col("of")).select("rk", "text", "wanted", "prints", F.coalesce("ord", F.lit(-1)).alias("ord")).dropDuplicates(["rk"]).drop("rk")
-    payload = materialize(payload.mapInPandas(tidy(cut), "root long, u long, set array<long>, ord long, at int, run long"), 2 * files)
-    runs = _run_fates(payload.where("ord is not null").select("ord", "at", "run"), prints.select("ord", "of", "d"), copies, files)
+    payload = materialize(payload.mapInPandas(tidy(cut), "root long, u long, set array<long>, ord long, at int, run long, check long"), 2 * files)
+    runs = _run_fates(payload.where("ord is not null").select("ord", "at", *RUN), prints.select("ord", "of", "d"), copies, files)
     discard(prints, near)
     linked, spare = _verified(payload.where("u is not null").select("root", "u", "set"), threshold, part_rows, files)
     classes = connected_components(linked, files)
