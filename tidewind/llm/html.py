@@ -44,6 +44,12 @@ CHROME_NAMES = frozenset(
     "sidebar aside menu nav navbar navigation breadcrumb breadcrumbs header masthead footer comment comments reply replies respond disqus share sharing "
     "social related recommended newsletter subscribe subscription signup login popup modal overlay widget pagination pager toolbar skip hidden".split()
 )
+# Words that only say what kind of box a name is of, and what a header may belong to without being chrome.
+BOXES = frozenset(
+    "area author bar block body box btn button buttons card cards center col column container content count date form group icon icons image img inner item items "
+    "left link links list main meta outer panel posts articles stories right row section slot small tabs text thread title top bottom unit wrap wrapper".split()
+)
+CONTENT = frozenset("article chapter content entry paper post recipe report section story text".split())
 CHROME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar alertdialog".split())
 ATTR = re.compile(r"""([^\s=/"'>]+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
 HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
@@ -54,6 +60,16 @@ def host_of(url: str | None) -> str:
     return found[1].lower() if found else ""
 
 
+def _chrome_name(word: str) -> bool:
+    """Whether a class or id names chrome: by its last word that isn't a box, so ``share-buttons`` does and ``social-history`` doesn't."""
+    parts = [p for p in re.split(r"[^a-z0-9]+", word) if p and not p[0].isdigit()]
+    if not parts or parts[0] in ("has", "with", "no", "without"):
+        return False
+    while len(parts) > 1 and parts[-1] in BOXES:
+        parts.pop()
+    return parts[-1] in CHROME_NAMES and not (parts[-1] == "header" and not CONTENT.isdisjoint(parts))
+
+
 def _chrome(tag: str, attrs: str) -> bool:
     if tag in CHROME_TAGS:
         return True
@@ -66,10 +82,8 @@ def _chrome(tag: str, attrs: str) -> bool:
         if name == "role" and value.strip() in CHROME_ROLES:
             return True
         if name in ("class", "id") and tag not in ("html", "body", "article", "main"):
-            for word in value.split():
-                parts = re.split(r"[^a-z0-9]+", word)
-                if parts[0] not in ("has", "with", "no", "without") and not CHROME_NAMES.isdisjoint(parts):
-                    return True
+            if any(map(_chrome_name, value.split())):
+                return True
     return False
 
 
@@ -175,17 +189,7 @@ def extract(pages: DataFrame, min_tokens: int = 8, group_bytes: int = 2 << 20) -
     ``group_bytes`` says how a host is read and changes no result.
     """
 
-    def articles(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            for at in range(0, len(pdf), 256):
-                rows = []
-                for page_id, url, page in pdf.iloc[at : at + 256].itertuples(index=False):
-                    found = blocks(page)
-                    if any(main for _, _, main in found):
-                        rows.append((page_id, url, " ".join(t for t, chrome, main in found if main and not chrome), None))
-                yield pd.DataFrame(rows, columns=["page_id", "url", "text", "n_boilerplate"])
-
-    def outside(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for at in range(0, len(pdf), 256):
                 rows = []
@@ -193,8 +197,10 @@ def extract(pages: DataFrame, min_tokens: int = 8, group_bytes: int = 2 << 20) -
                     found = blocks(page)
                     loose, host = [b for b in found if not b[2]], host_of(url)
                     key = xxhash.xxh64_intdigest("\0".join([host, *(b[0] for b in found)]).encode("utf-8", "surrogatepass")) - (1 << 63)
-                    rows.append((page_id, url, host, key, len(page or ""), len(loose) < len(found), [b[0] for b in loose], [b[1] for b in loose]))
-                yield pd.DataFrame(rows, columns=["page_id", "url", "host", "key", "size", "core", "loose", "chrome"])
+                    core = len(loose) < len(found)
+                    text = " ".join(t for t, chrome, main in found if main and not chrome) if core else None
+                    rows.append((page_id, url, host, key, len(page or ""), core, text, [b[0] for b in loose], [b[1] for b in loose]))
+                yield pd.DataFrame(rows, columns=["page_id", "url", "host", "key", "size", "core", "text", "loose", "chrome"])
 
     def page_of(page_id: int, url: str, loose: list[str], chrome: list[bool], again: np.ndarray) -> tuple:
         ends = np.cumsum([0, *(len(b.split()) for b in loose)])
@@ -235,13 +241,13 @@ def extract(pages: DataFrame, min_tokens: int = 8, group_bytes: int = 2 << 20) -
 
     source = bounded(pages).select(F.col("page_id").cast("long"), "url", "html")
     out = "page_id long, url string, text string, n_boilerplate long"
-    parsed = source.mapInPandas(outside, "page_id long, url string, host string, key long, size long, core boolean, loose array<string>, chrome array<boolean>")
-    parsed = materialize(parsed)
+    whole = materialize(source.mapInPandas(parse, "page_id long, url string, host string, key long, size long, core boolean, text string, loose array<string>, chrome array<boolean>"))
+    found, parsed = whole.where("core").select("page_id", "url", "text", F.lit(None).cast("long").alias("n_boilerplate")), whole.drop("text")
     hosts = parsed.groupBy("host").agg(F.count("*").alias("n"), F.sum("size").alias("host_size"), F.min("core").alias("all_core"))
     hosts = materialize(hosts.where("not all_core").select("host", "n", "host_size"))
     dealt = attach(parsed, hosts, "host", "n", parsed.count()).where("n is not null").drop("n")
     small = dealt.where(F.col("host_size") <= group_bytes).repartition(tasks(pages), "host").groupBy("host").applyInPandas(finish, out)
-    found = source.mapInPandas(articles, out).unionByName(small)
+    found = found.unionByName(small)
     if hosts.where(F.col("host_size") > group_bytes).isEmpty():
         return found
 
