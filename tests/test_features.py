@@ -35,7 +35,7 @@ def test_zero_price_gives_null_not_an_error(spark):
     assert got[1]["return_1d"] is None
 
 
-@pytest.mark.parametrize("method", ["grouped", "frame"])
+@pytest.mark.parametrize("method", ["grouped", "frame", "blocks"])
 def test_threshold_needs_history_and_sees_only_the_past(spark, method):
     cfg = Config(regime=RegimeConfig(min_history=4))
     vols = [None, 1.0, 3.0, None, 2.0, 4.0, 100.0, 0.0]
@@ -100,3 +100,37 @@ def test_config_errors():
     for wrong in ({}, whole | {"regime": {"equality_rule": "MidVol"}}, whole | {"target": {"horizon": 3}}, whole | {"folds": {"size": 1}}, whole | {"model": {"seed": "x"}}):
         with pytest.raises(ConfigError):
             parse(wrong)
+
+
+@pytest.mark.parametrize(("block_days", "ranges"), [(16, 4), (50, 64), (4096, 8)])
+def test_threshold_by_blocks_is_that_of_the_frame(spark, block_days, ranges):
+    import random
+
+    draw = random.Random(6)
+    start, rows = date(2001, 3, 4), []
+    for symbol, level in (("a", 1.0), ("b", 1000.0), ("c", 0.0)):
+        for i in sorted(draw.sample(range(700), 300)):
+            v = draw.choice([None, 0.5 * level, draw.gauss(level, 1 + i / 100), level * i])  # ties, gaps and a trend
+            rows.append((symbol, start + timedelta(days=i), v, "kept"))
+    df = spark.createDataFrame(rows, "symbol string, Date date, volatility_20d double, other string").repartition(4)
+    cfg, t = Config(regime=RegimeConfig(min_history=20)), "historical_volatility_threshold_20d"
+    got = features.with_threshold(df, cfg, "blocks", block_days, ranges)
+    want = features.with_threshold(df, cfg, "frame")
+    assert got.columns == want.columns
+    key = lambda r: (r["symbol"], r["Date"])
+    pairs = list(zip(sorted(got.collect(), key=key), sorted(want.collect(), key=key), strict=True))
+    assert all(key(a) == key(b) and a["other"] == "kept" and a[t] == (None if b[t] is None else pytest.approx(b[t], rel=1e-12)) for a, b in pairs)
+    assert sum(a[t] is not None for a, _ in pairs) > 500
+    assert features.with_threshold(df.where("false"), cfg, "blocks").count() == 0
+
+
+def test_point_in_time_finds_a_planted_leak(spark, sf_dir):
+    from tidewind.operators import gate, quality
+
+    b = lineitem_bars(spark, sf_dir)
+    days = [r["Date"].isoformat() for r in quality.sampled_dates(b.where("Date > '1994-01-01'")).collect()]
+    sound = features.prepared(b)
+    ahead = sound.withColumn("return_5d", F.lead("return_5d", 1).over(features.by_date(sound)))
+    found = {name: gate.point_in_time(b, days, published=table).collect() for name, table in (("sound", sound), ("leak", ahead))}
+    assert len(found["sound"]) == 12 and not any(r["n_features_changed"] or r["regime_changed"] for r in found["sound"])
+    assert all(r["n_features_changed"] == 1 for r in found["leak"])

@@ -6,6 +6,7 @@ partitioned by it and symbols are independent.
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -64,17 +65,20 @@ def with_target(rows: DataFrame, cfg: Config = Config()) -> DataFrame:
     return rows.withColumn(cfg.target.column, F.try_divide(ahead, F.col("Close")) - 1)
 
 
-def with_threshold(rows: DataFrame, cfg: Config = Config(), method: str = "grouped") -> DataFrame:
+def with_threshold(rows: DataFrame, cfg: Config = Config(), method: str = "grouped", block_days: int = 1024, ranges: int = 64) -> DataFrame:
     """Adds the median of all earlier volatilities, null below ``min_history`` of them.
 
     ``grouped`` keeps a running median per symbol, n log n in the length of its
-    history; ``frame`` is one window expression, exact too but quadratic, for
-    short histories.
+    history, which has a row a calendar day at most; ``blocks`` spreads a symbol's
+    history over blocks of ``block_days`` days; ``frame`` is one window expression,
+    exact too but quadratic, for short histories.
     """
     c, t, least = cfg.regime.volatility_column, cfg.regime.threshold_column, cfg.regime.min_history
     if method == "frame":
         past = by_date(rows).rowsBetween(Window.unboundedPreceding, -1)
         return rows.withColumn(t, F.when(F.count(c).over(past) >= least, F.percentile(c, 0.5).over(past)))
+    if method == "blocks":
+        return _threshold_by_blocks(rows, c, t, least, block_days, ranges)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("Date", kind="stable")
@@ -84,6 +88,77 @@ def with_threshold(rows: DataFrame, cfg: Config = Config(), method: str = "group
     return rows.groupBy(*keys(rows)).applyInPandas(run, schema)
 
 
+def _threshold_by_blocks(rows: DataFrame, c: str, t: str, least: int, block_days: int, ranges: int) -> DataFrame:
+    """The running median block by block.
+
+    A block of n rows moves the median of the rows before it by n ranks at most, so
+    it needs only their middle: the 2n + 2 values around their median.  Values are
+    cut into ``ranges`` ranges of each symbol; the numbers of values of each block
+    and range, summed over earlier blocks, say which ranges hold a block's middle and
+    how many values lie below.  Only those ranges' values are sent to the block, equal
+    values of a block as one.
+    """
+    by = keys(rows)
+    rows = rows.withColumn("_block", F.floor(F.unix_date("Date") / block_days).cast("int"))
+    value = F.when(~F.isnan(c), F.col(c))
+    values = rows.select(*by, "_block", value.alias("_v")).where("_v is not null").groupBy(*by, "_block", "_v").agg(F.count("*").alias("_n"))
+    at = F.array(*[F.lit(i / ranges) for i in range(1, ranges)])
+    cuts = values.groupBy(*by).agg(F.percentile_approx("_v", at, F.lit(50 * ranges)).alias("_cuts"))
+    ranged = (values.join(cuts, by) if by else values.crossJoin(F.broadcast(cuts))).withColumn("_range", F.size(F.filter("_cuts", lambda x: x < F.col("_v")))).drop("_cuts")
+    cells = ranged.groupBy(*by, "_block", "_range").agg(F.sum("_n").alias("_n"))
+    sizes = rows.groupBy(*by, "_block").agg(F.count("*").alias("_rows")).withColumn("_range", F.lit(-1))
+    kinds = {n: k for n, k in rows.dtypes if n in by}
+
+    def plan(pdf: pd.DataFrame) -> pd.DataFrame:
+        """For each block of a symbol the ranges that it needs, and how many earlier values there are and lie below."""
+        blocks = pdf[pdf["_range"] < 0].sort_values("_block")
+        counts = pdf[pdf["_range"] >= 0].sort_values("_block")
+        made, before, done = [], np.zeros(ranges, dtype=np.int64), 0
+        of, cell, n = counts["_block"].to_numpy(), counts["_range"].to_numpy(dtype=np.int64), counts["_n"].to_numpy(dtype=np.int64)
+        for block, size in zip(blocks["_block"], blocks["_rows"], strict=True):
+            upto = np.searchsorted(of, block)
+            np.add.at(before, cell[done:upto], n[done:upto])
+            done, total = upto, int(before.sum())
+            if not total:
+                continue
+            trim = max(0, total // 2 - int(size) - 1)
+            ends = np.cumsum(before)
+            low, high = np.searchsorted(ends, trim, side="right"), np.searchsorted(ends, total - trim)
+            below = int(ends[low - 1]) if low else 0
+            made += [(block, r, total, below, trim) for r in range(low, high + 1)]
+        out = pd.DataFrame(made, columns=["_for", "_range", "_total", "_below", "_trim"])
+        for k in by:
+            out[k] = pdf[k].iloc[0]
+        return out
+
+    key = "".join(f", `{k}` {kinds[k]}" for k in by)
+    cells = cells.withColumn("_rows", F.lit(None).cast("long")).unionByName(sizes.withColumn("_n", F.lit(None).cast("long")))
+    needs = cells.groupBy(*by).applyInPandas(plan, f"_for int, _range int, _total long, _below long, _trim long{key}")
+    sent = ranged.join(needs, [*by, "_range"]).where("_block < _for").select(*by, F.col("_for").alias("_block"), "_v", "_n", "_total", "_below", "_trim")
+    own, names = rows.columns, ["_v", "_n", "_total", "_below", "_trim"]
+    none = {n: F.lit(None).cast(k) for n, k in sent.dtypes if n in names}
+    both = rows.withColumns(none).unionByName(sent, allowMissingColumns=True)
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        past, mine = pdf[pdf["_n"].notna()].sort_values("_v"), pdf[pdf["_n"].isna()].sort_values("Date", kind="stable")
+        middle, total = np.empty(0), 0
+        if len(past):
+            total, below, trim = (int(past[x].iloc[0]) for x in ("_total", "_below", "_trim"))
+            ends = below + past["_n"].cumsum().to_numpy(dtype=np.int64)
+            starts = np.append(below, ends[:-1])
+            times = np.clip(ends, trim, total - trim) - np.clip(starts, trim, total - trim)
+            middle = np.repeat(past["_v"].to_numpy(), times)
+        # As many values are left out below as above, so the median of the rest is that of all.
+        series = pd.Series(np.concatenate([middle, mine[c].to_numpy(dtype=float)]))
+        running = series.expanding(min_periods=1).median().shift(1).to_numpy()[len(middle) :]
+        known = total + mine[c].notna().cumsum().shift(1, fill_value=0).to_numpy()
+        return mine[[n for n in own if n != "_block"]].assign(**{t: np.where(known >= least, running, np.nan)})
+
+    schema = ", ".join(f"`{n}` {k}" for n, k in rows.dtypes if n != "_block") + f", `{t}` double"
+    out = both.groupBy(*by, "_block").applyInPandas(run, schema)
+    return out.withColumn(t, F.when(~F.isnan(t), F.col(t)))
+
+
 def regime_label(v: Column, threshold: Column, equality_rule: str) -> Column:
     high = v >= threshold if equality_rule == "HighVol" else v > threshold
     return F.when(v.isNull() | threshold.isNull(), F.lit(None).cast("string")).when(high, "HighVol").otherwise("LowVol")

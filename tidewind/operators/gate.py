@@ -16,8 +16,8 @@ def in_sample(predictions: DataFrame, rows: DataFrame, cfg: Config = Config()) -
     return predictions.join(tested, ["fold", "Date"], "left_anti")
 
 
-def point_in_time(bars: DataFrame, as_of: list[str], cfg: Config = Config()) -> DataFrame:
-    """Features and regime of each day rebuilt from bars up to that day against those built from all bars.
+def point_in_time(bars: DataFrame, as_of: list[str], cfg: Config = Config(), published: DataFrame | None = None) -> DataFrame:
+    """Features and regime of each day rebuilt from bars up to that day against the published ones, by default those built from all bars.
 
     Each truncated history is a symbol of its own, so all days are rebuilt by one plan.
     """
@@ -25,7 +25,7 @@ def point_in_time(bars: DataFrame, as_of: list[str], cfg: Config = Config()) ->
     cut = bars.withColumn("as_of", days).where("Date <= as_of").withColumn("symbol", F.date_format("as_of", "yyyy-MM-dd")).drop("as_of")
     names = feature_names(cfg.features)
     again = prepared(cut, cfg).where(F.date_format("Date", "yyyy-MM-dd") == F.col("symbol"))
-    full = prepared(bars, cfg)
+    full = prepared(bars, cfg) if published is None else published
     pick = lambda df, s: df.select("Date", *[F.col(c).alias(f"{c}_{s}") for c in [*names, "regime"]])
     both = pick(again, "a").join(pick(full, "b"), "Date")
     from tidewind.functions.exprs import is_close

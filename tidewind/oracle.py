@@ -170,8 +170,6 @@ ON_COMMON: dict[str, str] = {
       count(*) FILTER (regime IS NULL OR regime NOT IN ('LowVol', 'HighVol')) AS regime_outside_domain FROM canon""",
     "raw_unchanged": f"""SELECT (SELECT count(*) FROM (SELECT "Date", {OHLCV} FROM bars EXCEPT ALL SELECT "Date", {OHLCV} FROM prep)) AS lost,
       (SELECT count(*) FROM (SELECT "Date", {OHLCV} FROM prep EXCEPT ALL SELECT "Date", {OHLCV} FROM bars)) AS gained""",
-    "point_in_time_rebuild": """SELECT "Date", 0::INT AS n_features_changed, false AS regime_changed FROM bars
-      WHERE "Date" IN (DATE '1995-06-01', DATE '1996-02-29', DATE '1997-07-04', DATE '1998-01-05', DATE '2000-06-30', DATE '2001-03-15')""",
     "fold_spec": "SELECT fold, greatest(test_start_idx - 5, 0)::INT AS train_end_idx, test_start_idx, test_end_idx, n_rows::INT AS n_rows FROM spec",
     "fold_rows": 'SELECT fold, row_idx, "Date", role FROM frows',
     "fold_boundary_audit": AUDIT,
@@ -235,7 +233,6 @@ ON_COMMON: dict[str, str] = {
         - lgamma(n + 1) + lgamma(k + 1) + lgamma(n - k + 1))) AS p FROM (SELECT *, unnest(range(x, least(k, s) + 1)) AS i FROM c))
       SELECT n AS n_total, s AS n_regime, k, x AS n_regime_top, round(k * (s / n), 9) + 0.0 AS expected,
         round(sqrt(k * (s / n) * (1 - s / n) * (n - k) / (n - 1)), 9) + 0.0 AS sd, round(p, 9) + 0.0 AS p_value FROM c, tail""",
-    "integrity_gate": """SELECT unnest(['chronology', 'purge', 'in_sample', 'traceability', 'same_rows']) AS check_name, 0::BIGINT AS n_violations""",
 }
 
 EXTRA = {
@@ -259,5 +256,22 @@ EXTRA["status_names"] = """SELECT o_orderstatus, CASE o_orderstatus WHEN 'F' THE
       FROM orders GROUP BY 1"""
 
 
+#: Features and threshold of each sampled day from bars up to it alone, against those of all bars.
+ON_COMMON["point_in_time_rebuild"] = f""", days AS ({ON_COMMON["sampled_dates"]}), cut AS (SELECT bars.*, days."Date" AS as_of FROM bars JOIN days ON bars."Date" <= days."Date"),
+  {feature_tables("cut", "c", "as_of")},
+  cthr AS (SELECT *, CASE WHEN count(volatility_20d) OVER p >= 252 THEN median(volatility_20d) OVER p END AS {THRESHOLD}
+    FROM cfeat WINDOW p AS (PARTITION BY as_of ORDER BY "Date" ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  again AS (SELECT *, CASE WHEN volatility_20d IS NULL OR {THRESHOLD} IS NULL THEN NULL WHEN volatility_20d >= {THRESHOLD} THEN 'HighVol' ELSE 'LowVol' END AS regime
+    FROM cthr WHERE "Date" = as_of)
+  SELECT "Date", ({" + ".join(f"(NOT coalesce(abs(a.{c} - b.{c}) <= 1e-12 + 1e-9 * abs(b.{c}), a.{c} IS NULL AND b.{c} IS NULL))::INT" for c in NAMES)})::INT AS n_features_changed,
+    a.regime IS DISTINCT FROM b.regime AS regime_changed FROM again a JOIN prep b USING ("Date")"""
+
+ON_COMMON["integrity_gate"] = f"""SELECT 'chronology' AS check_name, count(*) FILTER (NOT chronological) AS n_violations FROM ({ON_COMMON["fold_chronology"]})
+  UNION ALL SELECT 'purge', count(*) FILTER (NOT sufficient) FROM ({ON_COMMON["purge_gap_check"]})
+  UNION ALL SELECT 'in_sample', count(*) FROM mom m WHERE NOT EXISTS (SELECT 1 FROM tested t WHERE t.fold = m.fold AND t."Date" = m."Date")
+  UNION ALL SELECT 'traceability', count(*) FILTER (NOT traceable) FROM ({ON_COMMON["fold_traceability"].replace("model = 'baseline_zero'", "model = 'momentum'")})
+  UNION ALL SELECT 'same_rows', (repeated_a + repeated_b + only_a + only_b + regime_differs + target_differs)::BIGINT FROM ({ON_COMMON["same_oos_rows"]})"""
+
+
 def oracle_sql() -> dict[str, str]:
     return {name: COMMON + sql for name, sql in ON_COMMON.items()} | EXTRA

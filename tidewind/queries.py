@@ -175,7 +175,9 @@ def feature_range_read(spark, sf_dir):
 
 @query
 def regime_threshold(spark, sf_dir):
-    return prepared(spark, sf_dir).select("Date", CFG.regime.volatility_column, CFG.regime.threshold_column)
+    """By blocks of the calendar, each from summaries of the blocks before."""
+    rows = features.with_threshold(features.with_features(lineitem_bars(spark, sf_dir)), method="blocks")
+    return rows.select("Date", CFG.regime.volatility_column, CFG.regime.threshold_column)
 
 
 @query
@@ -333,9 +335,10 @@ def dictionary_coverage(spark, sf_dir):
 
 @query
 def point_in_time_rebuild(spark, sf_dir):
-    """Six days rebuilt from a history that ends there."""
-    days = ["1995-06-01", "1996-02-29", "1997-07-04", "1998-01-05", "2000-06-30", "2001-03-15"]
-    return gate.point_in_time(lineitem_bars(spark, sf_dir), days)
+    """The sampled days rebuilt from a history that ends there."""
+    b = lineitem_bars(spark, sf_dir)
+    days = [r["Date"].isoformat() for r in quality.sampled_dates(b).collect()]  # twelve
+    return gate.point_in_time(b, days)
 
 
 # Folds.
