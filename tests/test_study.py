@@ -241,3 +241,19 @@ def test_market_source(spark):
     quality.validate_raw(read(start="2020-01-01", end="2021-01-01"))
     with pytest.raises(Exception, match="no rows"):
         read(start="2021-01-01", end="2021-01-01").collect()
+
+
+def test_symbols_go_through_evaluation_and_errors(spark, sf_dir):
+    """Two symbols are two studies: each has the rows, errors and top errors that it has alone, and no date counts twice."""
+    one = features.canonical(features.prepared(lineitem_bars(spark, sf_dir)))
+    two = one.withColumn("symbol", F.explode(F.array(F.lit("a"), F.lit("b")))).withColumn("return_5d", F.when(F.col("symbol") == "b", -F.col("return_5d")).otherwise(F.col("return_5d")))
+    made, base = evaluate.momentum_predictions(two), evaluate.zero_predictions(two)
+    assert set(evaluate.same_rows(made, base).first()) == {0}
+    assert gate.in_sample(made, two).count() == 0
+    found = errors.with_errors(evaluate.to_oos(made), base)
+    alone = errors.with_errors(evaluate.to_oos(evaluate.momentum_predictions(one)), evaluate.zero_predictions(one))
+    assert found.count() == 2 * alone.count()
+    pick = lambda df: sorted((r["Date"], r["abs_error"]) for r in df.select("Date", "abs_error").collect())
+    assert pick(found.where("symbol = 'a'")) == pick(alone)
+    k = errors.top_count(found.count())
+    assert errors.top_errors(found).count() == k and errors.ranked(found).where("in_top_errors").count() == k

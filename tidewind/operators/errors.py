@@ -17,10 +17,11 @@ CLUSTER_DAYS = 10
 
 
 def with_errors(oos: DataFrame, baseline: DataFrame) -> DataFrame:
-    """Adds error, abs_error, abs_actual and the baseline's absolute error of the date (null if it has none)."""
-    b = baseline.select("Date", F.abs("y_true").alias("baseline_abs_error"))
+    """Adds error, abs_error, abs_actual and the baseline's absolute error of the date, and symbol if there is one (null if it has none)."""
+    by = [*keys(oos), "Date"]
+    b = baseline.select(*by, F.abs("y_true").alias("baseline_abs_error"))
     e = F.col("actual_return_5d") - F.col("prediction")
-    return oos.join(b, "Date", "left").withColumns({"error": e, "abs_error": F.abs(e), "abs_actual": F.abs("actual_return_5d")})
+    return oos.join(b, by, "left").withColumns({"error": e, "abs_error": F.abs(e), "abs_actual": F.abs("actual_return_5d")})
 
 
 def top_count(n: int, share: float = TOP_SHARE) -> int:
@@ -59,7 +60,7 @@ def top_overlap(marked: DataFrame) -> DataFrame:
 def error_only(marked: DataFrame) -> DataFrame:
     """Rows with a large error but not a large move."""
     rows = marked.where(F.col("in_top_errors") & ~F.col("in_top_actuals"))
-    return rows.select("Date", "actual_return_5d", "prediction", "abs_error", (F.signum("actual_return_5d") != F.signum("prediction")).alias("sign_mismatch"))
+    return rows.select(*keys(rows), "Date", "actual_return_5d", "prediction", "abs_error", (F.signum("actual_return_5d") != F.signum("prediction")).alias("sign_mismatch"))
 
 
 def clusters(top: DataFrame, days: int = CLUSTER_DAYS) -> DataFrame:

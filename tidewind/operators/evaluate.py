@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewind.config import Config
 from tidewind.functions.exprs import is_close, is_finite, metrics
+from tidewind.operators.features import keys
 from tidewind.operators.folds import fold_rows, test_rows
 
 SCOPES = ("Overall", "LowVol", "HighVol")
@@ -22,9 +23,9 @@ class PredictionError(ValueError):
 
 
 def expression_predictions(rows: DataFrame, prediction: Column, cfg: Config = Config()) -> DataFrame:
-    """``(fold, Date, regime, y_true, y_pred)`` of every test row for a prediction made of its own features."""
+    """``(fold, Date, regime, y_true, y_pred)`` of every test row, and its symbol if it has one, for a prediction made of its own features."""
     t = test_rows(rows, cfg)
-    return t.select("fold", "Date", "regime", F.col(cfg.target.column).alias("y_true"), prediction.alias("y_pred"))
+    return t.select("fold", *keys(t), "Date", "regime", F.col(cfg.target.column).alias("y_true"), prediction.alias("y_pred"))
 
 
 def zero_predictions(rows: DataFrame, cfg: Config = Config()) -> DataFrame:
@@ -46,22 +47,22 @@ def union_models(models: dict[str, DataFrame]) -> DataFrame:
 
 def to_oos(predictions: DataFrame) -> DataFrame:
     """The canonical out-of-sample table."""
-    return predictions.select("Date", F.col("y_pred").alias("prediction"), F.col("y_true").alias("actual_return_5d"), "regime", F.col("fold").alias("fold_id"))
+    return predictions.select(*keys(predictions), "Date", F.col("y_pred").alias("prediction"), F.col("y_true").alias("actual_return_5d"), "regime", F.col("fold").alias("fold_id"))
 
 
 def check_oos(predictions: DataFrame) -> DataFrame:
     """The canonical table, or an error for extra columns, missing values or a date twice."""
-    wanted = ["fold", "Date", "regime", "y_true", "y_pred"]
+    wanted = ["fold", *keys(predictions), "Date", "regime", "y_true", "y_pred"]
     if sorted(predictions.columns) != sorted(wanted):
         raise PredictionError(f"columns are {predictions.columns}, not {wanted}")
-    n, days, bad = predictions.agg(F.count("*"), F.count_distinct("Date"), F.count_if(~is_finite(F.col("y_pred")) | ~is_finite(F.col("y_true")) | F.col("Date").isNull())).first()
+    n, days, bad = predictions.agg(F.count("*"), F.count_distinct("Date", *keys(predictions)), F.count_if(~is_finite(F.col("y_pred")) | ~is_finite(F.col("y_true")) | F.col("Date").isNull())).first()
     if n == 0:
         raise PredictionError("no rows")
     if bad:
         raise PredictionError(f"{bad} rows with missing or infinite values")
     if days != n:
         raise PredictionError("duplicate dates")
-    return to_oos(predictions).orderBy("Date")
+    return to_oos(predictions).orderBy("Date", *keys(predictions))
 
 
 def fold_metrics(predictions: DataFrame, rows: DataFrame, cfg: Config = Config()) -> DataFrame:
@@ -131,9 +132,10 @@ def best_models(models: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 
 def same_rows(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row of counts of what makes a comparison unfair, over a full outer join on Date."""
-    side = lambda p, s: p.groupBy("Date").agg(F.count("*").alias(f"n_{s}"), F.min("regime").alias(f"regime_{s}"), F.min("y_true").alias(f"y_{s}"))
-    both = side(a, "a").join(side(b, "b"), "Date", "full_outer")
+    """One row of counts of what makes a comparison unfair, over a full outer join on Date, and symbol if there is one."""
+    by = [*keys(a), "Date"]
+    side = lambda p, s: p.groupBy(*by).agg(F.count("*").alias(f"n_{s}"), F.min("regime").alias(f"regime_{s}"), F.min("y_true").alias(f"y_{s}"))
+    both = side(a, "a").join(side(b, "b"), by, "full_outer")
     return both.agg(
         F.count_if(F.coalesce("n_a", F.lit(0)) > 1).alias("repeated_a"),
         F.count_if(F.coalesce("n_b", F.lit(0)) > 1).alias("repeated_b"),

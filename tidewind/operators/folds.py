@@ -112,9 +112,10 @@ def coverage(rows: DataFrame, cfg: Config = Config()) -> DataFrame:
 
 def traceability(predictions: DataFrame, rows: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Per fold, dates predicted but not tested, tested but not predicted, and predicted twice; unknown folds too."""
-    t = test_rows(rows, cfg).select(F.col("fold").alias("fold_id"), "Date", F.lit(1).alias("tested"))
-    p = predictions.groupBy(F.col("fold").alias("fold_id"), "Date").agg(F.count("*").alias("predicted"))
-    both = t.join(p, ["fold_id", "Date"], "full_outer")
+    by = [*keys(rows), "Date"]
+    t = test_rows(rows, cfg).select(F.col("fold").alias("fold_id"), *by, F.lit(1).alias("tested"))
+    p = predictions.groupBy(F.col("fold").alias("fold_id"), *by).agg(F.count("*").alias("predicted"))
+    both = t.join(p, ["fold_id", *by], "full_outer")
     out = both.groupBy("fold_id").agg(
         F.count_if(F.col("tested").isNull()).alias("n_unexpected"),
         F.count_if(F.col("predicted").isNull()).alias("n_missing"),

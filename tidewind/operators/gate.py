@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from tidewind.config import Config, feature_names
 from tidewind.operators import evaluate, folds, quality
-from tidewind.operators.features import canonical, prepared
+from tidewind.operators.features import canonical, keys, prepared
 
 
 def in_sample(predictions: DataFrame, rows: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Predictions of dates that are not in their fold's test block."""
-    tested = folds.test_rows(rows, cfg).select("fold", "Date")
-    return predictions.join(tested, ["fold", "Date"], "left_anti")
+    by = ["fold", *keys(rows), "Date"]
+    return predictions.join(folds.test_rows(rows, cfg).select(*by), by, "left_anti")
 
 
 def point_in_time(bars: DataFrame, as_of: list[str], cfg: Config = Config(), published: DataFrame | None = None) -> DataFrame:
