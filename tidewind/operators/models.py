@@ -1,8 +1,9 @@
-"""Fold trainers: each (model, fold) is a task of its own, fitted on that fold's training rows.
+"""Fold trainers: every model is fitted on each fold's training rows and predicts its test rows.
 
-The boosted trees and forests are numpy implementations over quantile bins, with
+Boosted trees grow on Spark, all models and folds together (``trees``); the forest
+and AdaBoost take a task for each fold.  All are analogues over quantile bins with
 the parameters of the studied models: depth, leaf size, row and column sampling,
-L2 leaf penalty, seed.  They are analogues, equal in contract but not in digits.
+L2 leaf penalty, seed; equal in contract but not in digits.
 """
 
 from __future__ import annotations
@@ -17,6 +18,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewind.config import Config, feature_names
+from tidewind.operators import trees
+from tidewind.operators.features import keys
 from tidewind.operators.folds import fold_rows
 
 BINS = 64
@@ -106,7 +109,10 @@ def walk(nodes: list, b: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Boosting:
-    """Gradient boosting of squared loss; trees of at most ``leaves`` leaves grow leaf by leaf, with 0 level by level."""
+    """Gradient boosting of squared loss; trees of at most ``leaves`` leaves grow leaf by leaf, with 0 level by level.
+
+    ``fit`` is for arrays; ``model_predictions`` grows these trees on Spark.
+    """
 
     trees: int = 200
     depth: int = 4
@@ -223,29 +229,50 @@ register(ModelSpec("xgboost", Boosting, {"columns": 0.8, "l2": 1.0, "rows": 0.8,
 
 
 def model_predictions(rows: DataFrame, names: list[str], cfg: Config = Config()) -> DataFrame:
-    """``(model, fold, Date, regime, y_true, y_pred, train_mae_diagnostic_only)`` of every test row.
+    """``(model, fold, Date, regime, y_true, y_pred, train_mae_diagnostic_only)`` of every test row, and its symbol if there is one.
 
-    The seed always comes from the configuration.  Training rows of a fold are
-    the longest group a task holds, the history of one symbol.
+    The seed always comes from the configuration.  Boosted trees are grown when
+    this is called; of the other models a task holds the training rows of a fold.
+    Symbols are fitted together.
     """
-    features, target, seed = feature_names(cfg.features), cfg.target.column, cfg.model.seed
-    specs = {n: REGISTRY[n] for n in names}
-    use = fold_rows(rows, cfg).where("role in ('train', 'test')").select("fold", "role", "Date", "regime", F.col(target).alias("y"), *features)
-    use = use.withColumn("model", F.explode(F.array(*map(F.lit, names))))
+    features, target = feature_names(cfg.features), cfg.target.column
+    use = fold_rows(rows, cfg).where("role in ('train', 'test')").select("fold", "role", *keys(rows), "Date", "regime", F.col(target).alias("y"), *features)
+    made = {n: REGISTRY[n].build(**{**REGISTRY[n].params, **cfg.model.params.get(n, {}), "seed": cfg.model.seed}) for n in names}
+    boosted = {n: m for n, m in made.items() if isinstance(m, Boosting)}
+    parts = [_boosted(use, features, boosted)] if boosted else []
+    if others := {n: m for n, m in made.items() if n not in boosted}:
+        parts.append(_by_fold(use, features, others))
+    return parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
+
+
+def _boosted(use: DataFrame, features: list[str], made: dict[str, Boosting]) -> DataFrame:
+    """Boosted trees of all models and folds at once."""
+    rid = F.xxhash64(*keys(use), "Date")
+    fit = trees.Fit(use.withColumn("train", F.col("role") == "train").withColumn("rid", rid).drop("role"), features, list(made.values()))
+    rows = fit.run()
+    each = [F.struct(F.lit(n).alias("model"), F.col(f"p{i}").alias("y_pred"), F.col(f"e{i}").alias("train_mae_diagnostic_only")) for i, n in enumerate(made)]
+    tests = rows.where("not train").join(F.broadcast(fit.train_error(rows)), "fold").withColumn("_m", F.explode(F.array(*each)))  # a row for each fold
+    return tests.select("_m.model", "fold", *keys(use), "Date", "regime", F.col("y").alias("y_true"), "_m.y_pred", "_m.train_mae_diagnostic_only")
+
+
+def _by_fold(use: DataFrame, features: list[str], made: dict) -> DataFrame:
+    """A task for each model and fold."""
+    use = use.withColumn("model", F.explode(F.array(*map(F.lit, made))))
+    passed = ["model", "fold", *keys(use), "Date", "regime"]
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("Date", kind="stable")
+        pdf = pdf.sort_values([*passed[2:-1]][::-1], kind="stable")
         train, test = pdf[pdf["role"] == "train"], pdf[pdf["role"] == "test"]
-        spec = specs[pdf["model"].iloc[0]]
         x, y = train[features].to_numpy(), train["y"].to_numpy()
         if len(train) == 0 or not np.isfinite(x).all() or not np.isfinite(y).all():
             raise ValueError("no or not finite training rows")
-        model = spec.build(**{**spec.params, **cfg.model.params.get(spec.name, {}), "seed": seed}).fit(x, y)
+        model = made[pdf["model"].iloc[0]].fit(x, y)
         inside = float(np.abs(model.predict(x) - y).mean())
-        out = test[["model", "fold", "Date", "regime"]].assign(y_true=test["y"], y_pred=model.predict(test[features].to_numpy()), train_mae_diagnostic_only=inside)
+        out = test[passed].assign(y_true=test["y"], y_pred=model.predict(test[features].to_numpy()), train_mae_diagnostic_only=inside)
         if not np.isfinite(out["y_pred"]).all():
             raise ValueError("a prediction is not finite")
         return out
 
-    schema = "model string, fold int, Date date, regime string, y_true double, y_pred double, train_mae_diagnostic_only double"
+    types = {**dict(use.dtypes), "model": "string"}
+    schema = ", ".join([f"`{c}` {types[c]}" for c in passed] + ["y_true double", "y_pred double", "train_mae_diagnostic_only double"])
     return use.groupBy("model", "fold").applyInPandas(run, schema)
