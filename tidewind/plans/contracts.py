@@ -5,11 +5,11 @@ from __future__ import annotations
 import json
 from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
-from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 
 from tidewind.operators.quality import fingerprint
+from tidewind.plans.store import Store
 
 
 class StaleOutputError(RuntimeError):
@@ -39,16 +39,15 @@ def json_safe(value: object) -> object:
     return value if value is None or isinstance(value, (str, int, float, bool)) else repr(value)
 
 
-def save(contract: StageContract, path: str) -> None:
+def text(contract: StageContract) -> str:
     contract.generated_at_utc = datetime.now(UTC).isoformat()
     contract.params = json_safe(contract.params)
-    Path(path).parent.mkdir(parents=True, exist_ok=True)
-    Path(path).write_text(json.dumps(asdict(contract), indent=2, sort_keys=True), encoding="utf-8")
+    return json.dumps(asdict(contract), indent=2, sort_keys=True)
 
 
-def load(path: str) -> StageContract | None:
-    file = Path(path)
-    return StageContract(**json.loads(file.read_text(encoding="utf-8"))) if file.exists() else None
+def load(store: Store, name: str) -> StageContract | None:
+    found = store.read(name)
+    return StageContract(**json.loads(found)) if found is not None else None
 
 
 def check_inputs(kept: StageContract, config_hash: str, inputs: dict[str, str]) -> None:
@@ -61,12 +60,21 @@ def check_inputs(kept: StageContract, config_hash: str, inputs: dict[str, str])
             raise StaleOutputError(f"{kept.stage}: input {name} has changed")
 
 
-def check_outputs(spark: SparkSession, kept: StageContract) -> None:
-    for path, value in kept.outputs.items():
-        if not Path(path).exists():
-            raise StaleOutputError(f"{kept.stage}: output {path} is missing")
-        if content_hash(spark.read.parquet(path)) != value:
-            raise StaleOutputError(f"{kept.stage}: output {path} was changed")
-    for path in kept.records:
-        if not Path(path).exists():
-            raise StaleOutputError(f"{kept.stage}: record {path} is missing")
+def check_outputs(store: Store, kept: StageContract) -> None:
+    for name, value in kept.outputs.items():
+        if not store.exists(name):
+            raise StaleOutputError(f"{kept.stage}: output {name} is missing")
+        if content_hash(store.spark.read.parquet(store.path(name))) != value:
+            raise StaleOutputError(f"{kept.stage}: output {name} was changed")
+    for name in kept.records:
+        if not store.exists(name):
+            raise StaleOutputError(f"{kept.stage}: record {name} is missing")
+
+
+def check_source(maker: StageContract | None, stage: str, current: dict[str, str]) -> None:
+    """A table made by another stage must come from the same source tables as are in use now."""
+    if maker is None:
+        raise StaleOutputError(f"{stage}: no contract of the stage that made an input")
+    for name, value in current.items():
+        if maker.inputs.get(name, value) != value:
+            raise StaleOutputError(f"{stage}: {maker.stage} was made from another {name}")
