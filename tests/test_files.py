@@ -18,8 +18,30 @@ def test_hash_is_that_of_the_content(spark, tmp_path):
     (tmp_path / "sub" / "b.csv").write_bytes(b"z")
     (tmp_path / "sub" / "empty.csv").write_bytes(b"")
     got = {r["path"].rsplit("/", 1)[-1]: r for r in file_hashes(spark, str(tmp_path), "*.csv").collect()}
-    assert {n: r["sha256"] for n, r in got.items()} == {n: hashlib.sha256(c).hexdigest() for n, c in (("a.csv", b"x,y\n1,2\n"), ("b.csv", b"z"))}
-    assert got["b.csv"]["length"] == 1
+    assert {n: r["sha256"] for n, r in got.items()} == {n: hashlib.sha256(c).hexdigest() for n, c in (("a.csv", b"x,y\n1,2\n"), ("b.csv", b"z"), ("empty.csv", b""))}
+    assert got["b.csv"]["length"] == 1 and got["empty.csv"]["length"] == 0
+
+
+def test_hash_of_a_file_above_two_gigabytes(spark, tmp_path):
+    with open(tmp_path / "large.bin", "wb") as file:
+        file.truncate(3 << 30)
+        file.seek(3 << 30)
+        file.write(b"end")
+    want = hashlib.sha256()
+    for _ in range(3 << 4):
+        want.update(bytes(1 << 26))
+    want.update(b"end")
+    (tmp_path / "small.bin").write_bytes(b"s")
+    got = {r["path"].rsplit("/", 1)[-1]: (r["length"], r["sha256"]) for r in file_hashes(spark, f"file:{tmp_path}").collect()}
+    assert got == {"large.bin": ((3 << 30) + 3, want.hexdigest()), "small.bin": (1, hashlib.sha256(b"s").hexdigest())}
+
+
+def test_hashes_of_no_files_and_of_one(spark, tmp_path):
+    assert file_hashes(spark, str(tmp_path)).count() == 0
+    (tmp_path / "a").write_bytes(b"1")
+    assert [r["path"] for r in file_hashes(spark, str(tmp_path / "a")).collect()] == [str(tmp_path / "a")]
+    with pytest.raises(Exception, match="FileNotFoundError"):
+        file_hashes(spark, str(tmp_path / "none")).collect()
 
 
 def test_table_hashes(spark, sf_dir):

@@ -103,7 +103,7 @@ def sampled_dates(spark, sf_dir):
 @query
 def table_hashes(spark, sf_dir):
     """Content hashes of the two smallest tables' files."""
-    found = file_hashes(spark, sf_dir, "{region,nation}*.parquet")
+    found = file_hashes(spark, sf_dir, "region*.parquet,nation*.parquet")
     return found.select(F.regexp_extract("path", r"([^/]+)$", 1).alias("file"), "length", "sha256")
 
 
