@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tidewind.config import Config, feature_names
 from tidewind.functions.exprs import all_finite, any_true, is_close, is_finite
-from tidewind.operators.features import by_date, canonical_columns, keys
+from tidewind.operators.features import by_date, canonical_columns, keys, prepared, with_row_index
 from tidewind.operators.order import BUFFER, descents, quantiles
 
 PRICES = ("Open", "High", "Low", "Close")
@@ -148,13 +148,75 @@ def changed_rows(before: DataFrame, after: DataFrame, names: tuple[str, ...] = (
 
 def same_within(a: DataFrame, b: DataFrame, names: list[str], atol: float = 1e-12, rtol: float = 1e-9) -> DataFrame:
     """Per column, dates at which two tables differ by more than the tolerance or one has no value."""
-    left = a.select("Date", *[F.col(c).alias(f"{c}_a") for c in names])
-    both = left.join(b.select("Date", *[F.col(c).alias(f"{c}_b") for c in names]), "Date", "full_outer")
+    by = [*keys(a), "Date"]
+    left = a.select(*by, *[F.col(c).alias(f"{c}_a") for c in names])
+    both = left.join(b.select(*by, *[F.col(c).alias(f"{c}_b") for c in names]), by, "full_outer")
     differ = lambda c: ~F.coalesce(is_close(F.col(f"{c}_a"), F.col(f"{c}_b"), atol, rtol), F.col(f"{c}_a").isNull() & F.col(f"{c}_b").isNull())
     one = both.agg(F.count("*").alias("n"), *[F.count_if(differ(c)).alias(c) for c in names])
     return one.select("n", F.explode(F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n_different")) for c in names])).alias("x")).select("x.*", F.col("n").alias("n_dates"))
 
 
+def reload_check(made: DataFrame, again: DataFrame, cfg: Config = Config()) -> DataFrame:
+    """``(column_name, n_different, n_dates)`` of canonical rows as made and as read again from where they were written."""
+    if again.columns != made.columns:
+        raise ValidationError(f"columns are {again.columns}, not {made.columns}")
+    numbers = same_within(made, again, [*feature_names(cfg.features), cfg.target.column], 1e-14, 1e-12)
+    by = [*keys(made), "Date"]
+    regimes = made.select(*by, F.col("regime").alias("a")).join(again.select(*by, F.col("regime").alias("b")), by, "full_outer")
+    return numbers.unionByName(regimes.agg(F.lit("regime").alias("column_name"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("n_different"), F.count("*").alias("n_dates")))
+
+
+def feature_manual_check(bars: DataFrame, cfg: Config = Config(), rows: DataFrame | None = None) -> DataFrame:
+    """``(Date, row_idx, feature, value, by_hand, agrees)``: features and threshold recomputed at three rows of each symbol.
+
+    The rows are the 101st, the middle one and the tenth from the end, as far as there
+    are any.  A row's features follow from it and the 60 rows before, which are joined
+    by number.  The threshold is right if as many earlier volatilities lie below as
+    above it, which counts tell.  ``rows`` are the features to look at, by default
+    those of ``bars``.
+    """
+    by, v, t, f = keys(bars), cfg.regime.volatility_column, cfg.regime.threshold_column, cfg.features
+    looked = ["return_5d", "volatility_20d", "trend_60d", "volume_ratio_20d"]
+    rows = with_row_index(prepared(bars, cfg) if rows is None else rows).select(*by, "Date", "row_idx", "n_rows", *dict.fromkeys([*looked, v]), t)
+    n = F.col("n_rows")
+    sample = rows.where(F.col("row_idx").isin(100) | (F.col("row_idx") == F.floor(n / 2)) | (F.col("row_idx") == n - 10))
+    back = sample.select(*by, "row_idx", F.explode(F.sequence(F.greatest(F.col("row_idx") - 60, F.lit(0)), "row_idx")).alias("at"))
+    past = with_row_index(bars).select(*by, F.col("row_idx").alias("at"), F.col("Close").cast("double").alias("c"), F.col("Volume").cast("double").alias("v"))
+    seen = back.join(past, [*by, "at"]).groupBy(*by, "row_idx").agg(F.sort_array(F.collect_list(F.struct("at", "c", "v")), asc=False).alias("w"))  # 61 rows at most
+    close, volume = (lambda k: F.get("w", F.lit(k))["c"]), F.transform(F.slice("w", 1, 20), lambda x: x["v"])
+    mean = lambda xs: F.aggregate(xs, F.lit(0.0), lambda s, x: s + x) / F.size(xs)
+    days = F.array(*[F.try_divide(close(k), close(k + 1)) - 1 for k in range(20)])
+    spread = F.sqrt(F.aggregate(F.transform(days, lambda x: (x - mean(days)) * (x - mean(days))), F.lit(0.0), lambda s, x: s + x) / 19)
+    full = lambda k, x: F.when(F.size("w") >= k, x)
+    closes = F.transform(F.slice("w", 1, 60), lambda x: x["c"])
+    hands = seen.select(
+        *by,
+        "row_idx",
+        full(6, F.try_divide(close(0), close(5)) - 1).alias("h0"),
+        full(21, spread * F.sqrt(F.lit(float(f.days_per_year)))).alias("h1"),
+        full(60, F.try_divide(close(0), mean(closes)) - 1).alias("h2"),
+        full(20, F.try_divide(volume[0], mean(volume))).alias("h3"),
+    )
+    one = sample.select(*by, F.col("row_idx").alias("pos"), F.col(t).alias("t"))
+    earlier = rows.where(F.col(v).isNotNull()).select(*by, "row_idx", F.col(v).alias("x"))
+    on = F.col("s.pos") > F.col("e.row_idx")
+    for k in by:
+        on = on & F.col(f"s.{k}").eqNullSafe(F.col(f"e.{k}"))
+    pairs = one.alias("s").join(earlier.alias("e"), on, "left").select("s.*", "x")
+    x, m = F.col("x"), F.col("t")
+    counts = pairs.groupBy(*by, F.col("pos").alias("row_idx")).agg(
+        F.count("x").alias("n"), F.count_if(x < m).alias("less"), F.count_if(x <= m).alias("upto"), F.max(F.when(x < m, x)).alias("lo"), F.max(F.when(x == m, x)).alias("mid"), F.min(F.when(x > m, x)).alias("hi")
+    )
+    place = lambda r: F.when(r == F.col("less") - 1, F.col("lo")).when((r >= F.col("less")) & (r < F.col("upto")), F.col("mid")).when(r == F.col("upto"), F.col("hi"))
+    median_ = (place(F.floor((F.col("n") - 1) / 2)) + place(F.floor(F.col("n") / 2))) / 2
+    halves = counts.select(*by, "row_idx", F.when(F.col("n") >= cfg.regime.min_history, median_).alias("h4"), (F.col("n") >= cfg.regime.min_history).alias("due"))
+    both = sample.join(hands, [*by, "row_idx"]).join(halves, [*by, "row_idx"])
+    each = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("value"), F.col(f"h{i}").alias("by_hand"), (F.lit(False) if c != t else F.col("due")).alias("due")) for i, c in enumerate([*looked, t])]
+    long = both.select(*by, "Date", "row_idx", F.explode(F.array(*each)).alias("x")).select(*by, "Date", "row_idx", "x.*")
+    agrees = F.coalesce(is_close(F.col("by_hand"), F.col("value"), 1e-12, 1e-12), F.col("by_hand").isNull() & F.col("value").isNull() & ~F.col("due"))
+    return long.withColumn("agrees", agrees).drop("due")
+
+
 def describe(rows: DataFrame, c: str, buffer: int = BUFFER) -> DataFrame:
     """Number, mean, deviation, extremes and exact quartiles of a column."""
     one = rows.agg(F.count(c).alias("n"), F.avg(c).alias("mean_value"), F.stddev_samp(c).alias("std_value"), F.min(c).alias("min_value"), F.max(c).alias("max_value"))

@@ -143,6 +143,26 @@ ON_COMMON: dict[str, str] = {
       FROM (SELECT *, row_number() OVER (ORDER BY "Date") - 1 AS i, count(*) OVER () AS n FROM feat) a
       JOIN (SELECT "Close", row_number() OVER (ORDER BY "Date") - 1 AS i FROM bars) b ON b.i = a.i + 5
       WHERE a.i IN (0, (a.n - 6) // 2, a.n - 6)""",
+    "feature_manual_check": f"""SELECT * FROM (WITH x AS (SELECT *, row_number() OVER (ORDER BY "Date") - 1 AS i, count(*) OVER () AS n FROM prep),
+      y AS (SELECT a."Date", a.i, a.return_5d AS v0, a.volatility_20d AS v1, a.trend_60d AS v2, a.volume_ratio_20d AS v3, a.{THRESHOLD} AS v4,
+          max(CASE WHEN b.i = a.i - 5 THEN a."Close" / b."Close" - 1 END) AS h0,
+          CASE WHEN a.i >= 20 THEN stddev_samp(b.return_1d) FILTER (b.i > a.i - 20) * sqrt(252) END AS h1,
+          CASE WHEN a.i >= 59 THEN a."Close" / avg(b."Close") - 1 END AS h2,
+          CASE WHEN a.i >= 19 THEN a."Volume" / avg(b."Volume") FILTER (b.i > a.i - 20) END AS h3
+        FROM x a JOIN x b ON b.i BETWEEN a.i - 59 AND a.i WHERE a.i IN (100, a.n // 2, a.n - 10)
+        GROUP BY a."Date", a.i, a."Close", a."Volume", v0, v1, v2, v3, v4),
+      z AS (SELECT y.i, CASE WHEN count(x.volatility_20d) >= 252 THEN median(x.volatility_20d) END AS h4 FROM y LEFT JOIN x ON x.i < y.i GROUP BY y.i),
+      s AS (SELECT y.*, z.h4 FROM y JOIN z USING (i))
+      """
+    + per(
+        (("return_5d", 0), ("volatility_20d", 1), ("trend_60d", 2), ("volume_ratio_20d", 3), (THRESHOLD, 4)),
+        """SELECT "Date", i::INT AS row_idx, '{c[0]}' AS feature, round(v{c[1]}, 9) + 0.0 AS value, round(h{c[1]}, 9) + 0.0 AS by_hand,
+          coalesce(abs(h{c[1]} - v{c[1]}) < 1e-9, h{c[1]} IS NULL AND v{c[1]} IS NULL) AS agrees FROM s""",
+    )
+    + ")",
+    "canonical_round_trip": per(
+        (*NAMES, TARGET, "regime"), "SELECT '{c}' AS column_name, count(*) FILTER ({c} IS NULL) AS n_different, count(*) AS n_dates FROM canon"
+    ),
     "canonical_dataset": f'SELECT "Date", {r(*NAMES, TARGET)}, regime FROM canon',
     "row_accounting": f"""SELECT *, raw_rows - warm_up_rows - tail_rows = canonical_rows AS balances FROM (
       SELECT count(*) AS raw_rows, min(i) FILTER ({PRESENT}) AS warm_up_rows, count(*) FILTER ({TARGET} IS NULL) AS tail_rows,

@@ -96,7 +96,13 @@ class Study:
         verdict = folds.verdict(self.table("canonical"), self.cfg)
         if verdict["verdict"] != "PASS":
             raise folds.FoldError("; ".join(verdict["reasons"]))
-        return {"fold_boundaries": folds.boundary_audit(self.table("canonical"), self.cfg)}
+        rows = self.table("canonical")
+        faults = quality.canonical_gate(rows, self.cfg).drop("rows").first().asDict()
+        again = quality.reload_check(canonical(prepared(self.table("raw"), self.cfg), self.cfg), rows, self.cfg)
+        faults |= {r["column_name"]: r["n_different"] for r in again.collect()}  # a row for each column
+        if any(faults.values()):
+            raise quality.ValidationError(f"canonical rows as read again: {[k for k, v in faults.items() if v]}")
+        return {"fold_boundaries": folds.boundary_audit(rows, self.cfg), "reload_check": again}
 
     def _oos(self) -> dict[str, DataFrame]:
         found = self.table("model")

@@ -6,6 +6,7 @@ nine decimals at the very end, so that another engine's last digits don't show.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,7 +15,8 @@ from pyspark.sql import functions as F
 from tidewind.config import Config, RegimeConfig, feature_names
 from tidewind.functions.exprs import mapped, safe_corr
 from tidewind.operators import errors, evaluate, features, folds, gate, models, quality
-from tidewind.sources.bars import SyntheticMarketSource, lineitem_bars
+from tidewind.operators.tables import delete_at_exit, shared_folder
+from tidewind.sources.bars import SyntheticMarketSource, lineitem_bars, read_csv, write_bars_csv
 from tidewind.sources.files import file_hashes
 from tidewind.streaming.bars import sessions, windowed_bars
 
@@ -222,6 +224,22 @@ def target_manual_check(spark, sf_dir):
     return both.select("Date", "row_idx", TARGET, "by_hand", (F.abs(F.col("by_hand") - F.col(TARGET)) < 1e-12).alias("agrees"))
 
 
+@query
+def feature_manual_check(spark, sf_dir):
+    """Features and threshold at three rows, recomputed from the rows before."""
+    return quality.feature_manual_check(lineitem_bars(spark, sf_dir))
+
+
+@query
+def canonical_round_trip(spark, sf_dir):
+    """Canonical rows against themselves, written as CSV and read again."""
+    rows = canonical(spark, sf_dir)
+    path = f"{shared_folder(spark)}/tidewind-csv-{uuid.uuid4().hex}"
+    write_bars_csv(rows, path)
+    delete_at_exit(spark, path)
+    return quality.reload_check(rows, read_csv(spark, path, rows.schema))
+
+
 @query
 def canonical_dataset(spark, sf_dir):
     return canonical(spark, sf_dir)

@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql.types import StructType
 
 from tidewind.schemas import BARS
 
@@ -36,6 +37,11 @@ def lineitem_bars(spark: SparkSession, sf_dir: str, symbol: str | None = None) -
     return bars_from_trades(rows, F.to_date("l_shipdate"), price, F.col("l_quantity"), order, F.col(symbol).cast("string") if symbol else None)
 
 
+def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
+    """CSV files whose header and rows fit the schema; those that don't are an error."""
+    return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").option("nanValue", "NaN").csv(path)
+
+
 def read_bars_csv(spark: SparkSession, path: str) -> DataFrame:
     """Bars of CSV files with a header; a row that doesn't fit the schema is an error, NaN becomes null."""
     rows = spark.read.schema(BARS).option("header", True).option("mode", "FAILFAST").option("nanValue", "NaN").csv(path)
