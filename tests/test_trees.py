@@ -31,9 +31,9 @@ def brute(train, test, p):
     cuts = [np.unique(np.quantile(c, np.arange(1, trees.BINS) / trees.BINS)) for c in x.T]
     made, f, out = [], np.full(len(y), y.mean()), np.full(len(test), y.mean())
     for turn in range(p.trees):
-        drawn = trees.uniform(train["rid"].to_numpy(), p.seed, turn) < p.rows
+        drawn = trees.uniform(train["rid"].to_numpy(), p.seed, p.leaves, turn) < p.rows
         n = len(FEATURES)
-        columns = np.sort(np.random.default_rng([p.seed, turn]).permutation(n)[: max(1, int(p.columns * n))])
+        columns = np.sort(np.random.default_rng([p.seed, p.leaves, turn]).permutation(n)[: max(1, int(p.columns * n))])
         miss = y - f
 
         def best(at):

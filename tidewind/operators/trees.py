@@ -9,7 +9,7 @@ summed; its sibling is the parent less it.
 
 Gradients are whole numbers of a fixed unit, so a sum is the same in any order
 and a lost task changes no tree.  Rows of a tree are drawn by a hash of their
-symbol and date.  Margins are written every ``KEEP`` trees; between two writes
+symbol and date; the two kinds of tree draw apart.  Margins are written every ``KEEP`` trees; between two writes
 tasks add the trees grown since.
 
 A round trip to the cluster for each level is dear for small folds.  Where no fold
@@ -130,7 +130,7 @@ def unpacked(b: pd.Series, width: int) -> np.ndarray:
 
 def node_sums(b: np.ndarray, y: np.ndarray, rid: np.ndarray, p: np.ndarray, tree: Tree, nodes: list[int], params: object, turn: int, unit: float, span: float) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """``(node, gradients, rows)`` by feature * BINS + bin for the rows drawn for this turn, as whole numbers."""
-    use, width = uniform(rid, params.seed, turn) < params.rows, b.shape[1]
+    use, width = uniform(rid, params.seed, params.leaves, turn) < params.rows, b.shape[1]
     b, miss = b[use], y[use] - p[use]
     if len(miss) and np.abs(miss).max() > 8 * span:
         raise ValueError("gradients beyond their unit")
@@ -144,7 +144,7 @@ def node_sums(b: np.ndarray, y: np.ndarray, rid: np.ndarray, p: np.ndarray, tree
 def grow(params: list, growing: list[At], width: int, unit: dict[int, float], turn: int, sums_of: Callable[[dict[At, Tree], list], Sums]) -> dict[At, Tree]:
     """The next tree of each model and fold, level by level; ``sums_of(trees, wanted)`` gives the histograms of new nodes."""
     trees, gains = {at: Tree() for at in growing}, {at: {} for at in growing}
-    columns = {m: np.sort(np.random.default_rng([p.seed, turn]).permutation(width)[: max(1, int(p.columns * width))]) for m, p in enumerate(params)}
+    columns = {m: np.sort(np.random.default_rng([p.seed, p.leaves, turn]).permutation(width)[: max(1, int(p.columns * width))]) for m, p in enumerate(params)}
     wanted, parents = [(m, f, 0) for m, f in growing if params[m].depth > 0], {}
     level = 0
     while wanted:
