@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidewind.config import Config, FoldConfig, TargetConfig
-from tidewind.operators import errors, evaluate, features, folds, gate, models, quality
+from tidewind.operators import errors, evaluate, features, folds, gate, models, quality, trees
 from tidewind.plans import contracts
 from tidewind.plans.pipeline import Study
 from tidewind.sources.bars import SyntheticMarketSource, lineitem_bars
@@ -168,13 +168,23 @@ def test_models_are_deterministic_and_not_degenerate(spark, rows):
     assert len(once) == 2 * n and len({r[5] for r in once}) > 10
 
 
+def fitted(params, x, y, train):
+    """Predictions of all rows and the trees of models fitted on some rows of arrays."""
+    edges = [np.unique(np.quantile(c, np.arange(1, trees.BINS) / trees.BINS)) for c in x[train].T]
+    b = np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T, strict=True)], axis=1).astype(np.uint8)
+    n, span = int(train.sum()), float(np.ptp(y[train]))
+    at = trees.Scale(n, float(y[train].mean()), span, 2.0 ** np.floor(trees.EXACT - np.log2(n * span)))
+    return trees.whole_fold(params, 0, at, b, y, np.arange(len(y)) * 7919, train)
+
+
 def test_models_learn():
     rng = np.random.default_rng(0)
     x = rng.normal(size=(2000, 3))
     y = np.where(x[:, 0] > 0, 1.0, -1.0) + 0.1 * rng.normal(size=2000)
-    for kind in (models.Boosting, models.Forest, models.BoostR2):
-        p = kind(trees=60).fit(x[:1500], y[:1500]).predict(x[1500:])
-        assert np.abs(p - y[1500:]).mean() < 0.3, kind
+    kinds = [models.Boosting, models.Forest, models.BoostR2]
+    found, _ = fitted([kind(trees=60) for kind in kinds], x, y, np.arange(2000) < 1500)
+    for kind, p in zip(kinds, found, strict=True):
+        assert np.abs(p - y)[1500:].mean() < 0.3, kind
     for spec in models.REGISTRY.values():
         assert all(not isinstance(v, (list, tuple, dict)) for v in spec.params.values())
 
@@ -183,14 +193,16 @@ def test_lightgbm_grows_leaf_by_leaf_and_xgboost_by_levels():
     rng = np.random.default_rng(1)
     x = rng.normal(size=(3000, 3))
     y = x @ np.array([1.0, 0.9, 0.8]) + 0.1 * rng.normal(size=3000)
-    made = {n: models.REGISTRY[n].build(**{**models.REGISTRY[n].params, "trees": 20}).fit(x, y) for n in ("lightgbm", "xgboost")}
-    leaves = {n: max(sum(not isinstance(node, tuple) for node in tree) for tree in m.made) for n, m in made.items()}
-    assert leaves == {"lightgbm": 15, "xgboost": 16}
-    assert not np.array_equal(made["lightgbm"].predict(x), made["xgboost"].predict(x))
-    b = models.to_bins(x, models.bin_edges(x))
-    grown = [models.grow(b, y, np.ones(3000), 4, 30, 1.0, lambda: np.arange(3), leaves) for leaves in (0, 16)]
-    assert np.array_equal(models.walk(grown[0], b), models.walk(grown[1], b))
-    assert sum(not isinstance(node, tuple) for node in models.grow(b, y, np.ones(3000), 4, 30, 1.0, lambda: np.arange(3), 3)) == 3
+    names, all_rows = ("lightgbm", "xgboost"), np.ones(3000, dtype=bool)
+    leaves_of = lambda every, m: max(t.feature.count(-1) for t in every[m, 0])
+    p, every = fitted([models.REGISTRY[n].build(**{**models.REGISTRY[n].params, "trees": 20}) for n in names], x, y, all_rows)
+    assert {n: leaves_of(every, m) for m, n in enumerate(names)} == {"lightgbm": 15, "xgboost": 16}
+    assert not np.array_equal(*p)
+    _, every = fitted([models.Boosting(trees=1, columns=1.0, leaves=3)], x, y, all_rows)
+    assert leaves_of(every, 0) == 3
+    grown = every[0, 0][0]
+    free, kept = trees.best_first(grown, {}, 3), trees.best_first(grown, {n: 1.0 for n, f in enumerate(grown.feature) if f >= 0}, 16)
+    assert free.feature == [-1] and sorted(kept.value) == sorted(grown.value)
 
 
 def test_seed_comes_from_the_configuration():

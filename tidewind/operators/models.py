@@ -1,19 +1,17 @@
 """Fold trainers: every model is fitted on each fold's training rows and predicts its test rows.
 
-Boosted trees grow on Spark, all models and folds together (``trees``); the forest
-and AdaBoost take a task for each fold.  All are analogues over quantile bins with
-the parameters of the studied models: depth, leaf size, row and column sampling,
-L2 leaf penalty, seed; equal in contract but not in digits.
+All models and folds grow their trees together on Spark (``trees``), which says
+what the classes' methods are for.  They are analogues over quantile bins with the
+parameters of the studied models: depth, leaf size, row and column sampling, L2
+leaf penalty, seed; equal in contract but not in digits.
 """
 
 from __future__ import annotations
 
-import heapq
 from collections.abc import Callable
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -22,97 +20,15 @@ from tidewind.operators import trees
 from tidewind.operators.features import keys
 from tidewind.operators.folds import fold_rows
 
-BINS = 64
-
-
-def bin_edges(x: np.ndarray) -> list[np.ndarray]:
-    return [np.unique(np.quantile(c, np.linspace(0, 1, BINS + 1)[1:-1])) for c in x.T]
-
-
-def to_bins(x: np.ndarray, edges: list[np.ndarray]) -> np.ndarray:
-    return np.stack([np.searchsorted(e, c, side="left") for e, c in zip(edges, x.T, strict=True)], axis=1)
-
-
-def grow(b: np.ndarray, grad: np.ndarray, hess: np.ndarray, depth: int, leaf: float, l2: float, columns: Callable[[], np.ndarray], leaves: int = 0) -> list:
-    """A tree of squared loss as a list of nodes: (column, bin, left, right) or a value; ``columns()`` are those that a split may use.
-
-    With ``leaves`` the leaf of the largest gain is split next, up to that many leaves; else all are, down to the depth.
-    """
-    nodes: list = []
-
-    def add(rows: np.ndarray, level: int) -> tuple[float, tuple[int, int] | None]:
-        """A new leaf; its best split and what that gains."""
-        g, h = grad[rows].sum(), hess[rows].sum()
-        nodes.append(float(g / (h + l2)) if h + l2 > 0 else 0.0)
-        if level == depth or h < 2 * leaf:
-            return 0.0, None
-        base = g * g / (h + l2)
-        best, choice = base + 1e-12, None
-        for c in columns():
-            sums_g = np.bincount(b[rows, c], weights=grad[rows], minlength=BINS + 1).cumsum()
-            sums_h = np.bincount(b[rows, c], weights=hess[rows], minlength=BINS + 1).cumsum()
-            other_g, other_h = g - sums_g, h - sums_h
-            ok = (sums_h >= leaf) & (other_h >= leaf)
-            if ok.any():
-                gain = np.where(ok, sums_g**2 / np.maximum(sums_h + l2, 1e-12) + other_g**2 / np.maximum(other_h + l2, 1e-12), -np.inf)
-                k = int(np.argmax(gain))
-                if gain[k] > best:
-                    best, choice = gain[k], (int(c), k)
-        return float(best - base), choice
-
-    def split(rows: np.ndarray, level: int) -> int:
-        at = len(nodes)
-        _, choice = add(rows, level)
-        if choice:
-            left = b[rows, choice[0]] <= choice[1]
-            nodes[at] = (*choice, split(rows[left], level + 1), split(rows[~left], level + 1))
-        return at
-
-    def split_leafwise(rows: np.ndarray) -> None:
-        heap: list = []
-
-        def leaf_of(rows: np.ndarray, level: int) -> int:
-            at = len(nodes)
-            gain, choice = add(rows, level)
-            if choice:
-                heapq.heappush(heap, (-gain, at, level, choice, rows))
-            return at
-
-        leaf_of(rows, 0)
-        for _ in range(leaves - 1):
-            if not heap:
-                break
-            _, at, level, choice, rows = heapq.heappop(heap)
-            left = b[rows, choice[0]] <= choice[1]
-            nodes[at] = (*choice, leaf_of(rows[left], level + 1), leaf_of(rows[~left], level + 1))
-
-    if leaves:
-        split_leafwise(np.flatnonzero(hess > 0))
-    else:
-        split(np.flatnonzero(hess > 0), 0)
-    return nodes
-
-
-def walk(nodes: list, b: np.ndarray) -> np.ndarray:
-    out = np.zeros(len(b))
-    todo = [(0, np.arange(len(b)))]
-    while todo:
-        at, rows = todo.pop()
-        node = nodes[at]
-        if isinstance(node, tuple):
-            left = b[rows, node[0]] <= node[1]
-            todo += [(node[2], rows[left]), (node[3], rows[~left])]
-        else:
-            out[rows] = node
-    return out
+#: Keep the draws of the forest and of AdaBoost apart from one another and from the boosters', which use their leaves.
+FOREST, R2 = 1 << 20, 1 << 21
+#: Rows that the weighted median looks at together.
+MEDIAN_ROWS = 1 << 14
 
 
 @dataclass
 class Boosting:
-    """Gradient boosting of squared loss; trees of at most ``leaves`` leaves grow leaf by leaf, with 0 level by level.
-
-    ``fit`` is for arrays; ``model_predictions`` grows these trees on Spark.
-    """
+    """Gradient boosting of squared loss; trees of at most ``leaves`` leaves grow leaf by leaf, with 0 level by level."""
 
     trees: int = 200
     depth: int = 4
@@ -123,89 +39,119 @@ class Boosting:
     l2: float = 1.0
     leaves: int = 0
     seed: int = 42
+    weighs = False
+
+    def start(self, at: trees.Scale) -> float:
+        return at.base
+
+    def columns_of(self, width: int, turn: int, node: int) -> np.ndarray:
+        """One draw for a tree."""
+        return np.sort(np.random.default_rng([self.seed, self.leaves, turn]).permutation(width)[: max(1, int(self.columns * width))])
+
+    def drawn(self, rid: np.ndarray, p: np.ndarray, turn: int, share: float) -> np.ndarray:
+        return (trees.uniform(rid, self.seed, self.leaves, turn) < self.rows).astype(np.int64)
+
+    def aim(self, y: np.ndarray, p: np.ndarray, at: trees.Scale) -> np.ndarray:
+        return y - p
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Boosting:
-        rng = np.random.default_rng(self.seed)
-        self.edges, self.base = bin_edges(x), float(y.mean())
-        b, p, self.made = to_bins(x, self.edges), np.full(len(y), self.base), []
-        for _ in range(self.trees):
-            use = rng.permutation(len(y))[: max(1, int(self.rows * len(y)))]
-            cols = np.sort(rng.permutation(x.shape[1])[: max(1, int(self.columns * x.shape[1]))])
-            h = np.zeros(len(y))
-            h[use] = 1
-            self.made.append(grow(b, (y - p) * h, h, self.depth, self.leaf, self.l2, lambda cols=cols: cols, self.leaves))
-            p += self.rate * walk(self.made[-1], b)
-        return self
+    def step(self, p: np.ndarray, y: np.ndarray, b: np.ndarray, grown: list[trees.Tree], at: trees.Scale) -> np.ndarray:
+        for tree in grown:
+            p = p + self.rate * tree.predict(b)
+        return p
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        b = to_bins(x, self.edges)
-        return self.base + self.rate * sum(walk(t, b) for t in self.made)
+    def final(self, p: np.ndarray, b: np.ndarray, every: list[trees.Tree], at: trees.Scale) -> np.ndarray:
+        return p
 
 
 @dataclass
 class Forest:
-    """Bagged trees with a draw of the columns for each split."""
+    """Bagged trees with a draw of the columns for each split; the mean of their values.
+
+    A row is in a tree's sample as often as a Poisson draw of mean one says, which
+    is what drawing as many rows as there are with replacement comes to.
+    """
 
     trees: int = 200
     depth: int = 4
     leaf: float = 30
     columns: float = 0.8
     seed: int = 42
+    l2, leaves, weighs = 0.0, 0, False
+
+    def start(self, at: trees.Scale) -> float:
+        return at.base
+
+    def columns_of(self, width: int, turn: int, node: int) -> np.ndarray:
+        return np.sort(np.random.default_rng([self.seed, FOREST, turn, node]).permutation(width)[: max(1, int(self.columns * width))])
 
-    def fit(self, x: np.ndarray, y: np.ndarray) -> Forest:
-        rng, use = np.random.default_rng(self.seed), max(1, int(self.columns * x.shape[1]))
-        self.edges, self.made = bin_edges(x), []
-        b = to_bins(x, self.edges)
-        for _ in range(self.trees):
-            h = np.bincount(rng.integers(0, len(y), len(y)), minlength=len(y)).astype(float)
-            self.made.append(grow(b, y * h, h, self.depth, self.leaf, 0.0, lambda: np.sort(rng.permutation(x.shape[1])[:use])))
-        return self
+    def drawn(self, rid: np.ndarray, p: np.ndarray, turn: int, share: float) -> np.ndarray:
+        return trees.poisson(trees.uniform(rid, self.seed, FOREST, turn), 1.0)
 
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        b = to_bins(x, self.edges)
-        return np.mean([walk(t, b) for t in self.made], axis=0)
+    def aim(self, y: np.ndarray, p: np.ndarray, at: trees.Scale) -> np.ndarray:
+        return y - at.base
+
+    def step(self, p: np.ndarray, y: np.ndarray, b: np.ndarray, grown: list[trees.Tree], at: trees.Scale) -> np.ndarray:
+        for tree in grown:
+            p = p + tree.predict(b) / self.trees
+        return p
+
+    def final(self, p: np.ndarray, b: np.ndarray, every: list[trees.Tree], at: trees.Scale) -> np.ndarray:
+        return p
 
 
 @dataclass
 class BoostR2:
-    """AdaBoost.R2 (Drucker 1997) with linear loss: reweighted resampling and a weighted median."""
+    """AdaBoost.R2 (Drucker 1997) with linear loss: reweighted resampling and a weighted median.
+
+    A row's number is the logarithm of its weight, none above zero; a row is drawn by a
+    Poisson law whose mean is its share of the weights times the rows.  Growing ends
+    with a tree that misses nothing and before one whose mean miss is half the largest.
+    """
 
     trees: int = 100
     depth: int = 3
     rate: float = 0.05
     leaf: float = 30
     seed: int = 42
-
-    def fit(self, x: np.ndarray, y: np.ndarray) -> BoostR2:
-        rng = np.random.default_rng(self.seed)
-        self.edges, self.made, self.say = bin_edges(x), [], []
-        b, w = to_bins(x, self.edges), np.full(len(y), 1 / len(y))
-        for _ in range(self.trees):
-            h = np.bincount(rng.choice(len(y), len(y), p=w), minlength=len(y)).astype(float)
-            tree = grow(b, y * h, h, self.depth, self.leaf, 0.0, lambda: np.arange(x.shape[1]))
-            miss = np.abs(walk(tree, b) - y)
-            if (top := miss.max()) <= 0:
-                self.made, self.say = [*self.made, tree], [*self.say, 1.0]
-                break
-            loss = float((w * miss / top).sum())
-            if loss >= 0.5:
-                if not self.made:
-                    self.made, self.say = [tree], [1.0]
-                break
-            beta = loss / (1 - loss)
-            self.made.append(tree)
-            self.say.append(self.rate * np.log(1 / beta))
-            w = w * beta ** (self.rate * (1 - miss / top))
-            w /= w.sum()
-        return self
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        b = to_bins(x, self.edges)
-        p = np.stack([walk(t, b) for t in self.made], axis=1)
-        order = np.argsort(p, axis=1, kind="stable")
-        upto = np.cumsum(np.array(self.say)[order], axis=1)
-        at = (upto >= 0.5 * upto[:, -1:]).argmax(axis=1)
-        return p[np.arange(len(p)), order[np.arange(len(p)), at]]
+    l2, leaves, weighs = 0.0, 0, True
+
+    def start(self, at: trees.Scale) -> float:
+        return 0.0
+
+    def columns_of(self, width: int, turn: int, node: int) -> np.ndarray:
+        return np.arange(width)
+
+    def drawn(self, rid: np.ndarray, p: np.ndarray, turn: int, share: float) -> np.ndarray:
+        return trees.poisson(trees.uniform(rid, self.seed, R2, turn), np.exp(p) * share)
+
+    def aim(self, y: np.ndarray, p: np.ndarray, at: trees.Scale) -> np.ndarray:
+        return y - at.base
+
+    def judge(self, tree: trees.Tree, first: bool, top: float, loss: float) -> tuple[bool, bool]:
+        """Whether the tree stays and whether others follow."""
+        tree.top = top
+        if top <= 0 or loss >= 0.5:
+            return top <= 0 or first, False
+        tree.beta = max(loss, 1e-12) / (1 - loss)
+        tree.say = self.rate * float(np.log(1 / tree.beta))
+        return True, True
+
+    def step(self, p: np.ndarray, y: np.ndarray, b: np.ndarray, grown: list[trees.Tree], at: trees.Scale) -> np.ndarray:
+        """Log weights; only those of training rows are ever used."""
+        for tree in grown:
+            if tree.beta < 1:
+                p = p - tree.say * (1 - np.abs(at.base + tree.predict(b) - y) / tree.top)
+        return p
+
+    def final(self, p: np.ndarray, b: np.ndarray, every: list[trees.Tree], at: trees.Scale) -> np.ndarray:
+        say, out = np.array([t.say for t in every]), [np.zeros(0)]
+        for low in range(0, len(b), MEDIAN_ROWS):
+            each = np.stack([t.predict(b[low : low + MEDIAN_ROWS]) for t in every], axis=1)
+            order = np.argsort(each, axis=1, kind="stable")
+            upto = np.cumsum(say[order], axis=1)
+            middle = (upto >= 0.5 * upto[:, -1:]).argmax(axis=1)[:, None]
+            out.append(at.base + np.take_along_axis(each, np.take_along_axis(order, middle, 1), 1)[:, 0])
+        return np.concatenate(out)
 
 
 @dataclass(frozen=True)
@@ -231,48 +177,15 @@ register(ModelSpec("xgboost", Boosting, {"columns": 0.8, "l2": 1.0, "rows": 0.8,
 def model_predictions(rows: DataFrame, names: list[str], cfg: Config = Config()) -> DataFrame:
     """``(model, fold, Date, regime, y_true, y_pred, train_mae_diagnostic_only)`` of every test row, and its symbol if there is one.
 
-    The seed always comes from the configuration.  Boosted trees are grown when
-    this is called; of the other models a task holds the training rows of a fold.
-    Symbols are fitted together.
+    The seed always comes from the configuration.  Trees are grown when this is
+    called.  Symbols are fitted together.
     """
     features, target = feature_names(cfg.features), cfg.target.column
     use = fold_rows(rows, cfg).where("role in ('train', 'test')").select("fold", "role", *keys(rows), "Date", "regime", F.col(target).alias("y"), *features)
-    made = {n: REGISTRY[n].build(**{**REGISTRY[n].params, **cfg.model.params.get(n, {}), "seed": cfg.model.seed}) for n in names}
-    boosted = {n: m for n, m in made.items() if isinstance(m, Boosting)}
-    parts = [_boosted(use, features, boosted)] if boosted else []
-    if others := {n: m for n, m in made.items() if n not in boosted}:
-        parts.append(_by_fold(use, features, others))
-    return parts[0].unionByName(parts[1]) if len(parts) > 1 else parts[0]
-
-
-def _boosted(use: DataFrame, features: list[str], made: dict[str, Boosting]) -> DataFrame:
-    """Boosted trees of all models and folds at once."""
+    made = [REGISTRY[n].build(**{**REGISTRY[n].params, **cfg.model.params.get(n, {}), "seed": cfg.model.seed}) for n in names]
     rid = F.xxhash64(*keys(use), "Date")
-    fit = trees.Fit(use.withColumn("train", F.col("role") == "train").withColumn("rid", rid).drop("role"), features, list(made.values()))
-    rows = fit.run()
-    each = [F.struct(F.lit(n).alias("model"), F.col(f"p{i}").alias("y_pred"), F.col(f"e{i}").alias("train_mae_diagnostic_only")) for i, n in enumerate(made)]
-    tests = rows.where("not train").join(F.broadcast(fit.train_error(rows)), "fold").withColumn("_m", F.explode(F.array(*each)))  # a row for each fold
+    fit = trees.Fit(use.withColumn("train", F.col("role") == "train").withColumn("rid", rid).drop("role"), features, made)
+    found = fit.run()
+    each = [F.struct(F.lit(n).alias("model"), F.col(f"p{i}").alias("y_pred"), F.col(f"e{i}").alias("train_mae_diagnostic_only")) for i, n in enumerate(names)]
+    tests = found.where("not train").join(F.broadcast(fit.train_error(found)), "fold").withColumn("_m", F.explode(F.array(*each)))  # a row for each fold
     return tests.select("_m.model", "fold", *keys(use), "Date", "regime", F.col("y").alias("y_true"), "_m.y_pred", "_m.train_mae_diagnostic_only")
-
-
-def _by_fold(use: DataFrame, features: list[str], made: dict) -> DataFrame:
-    """A task for each model and fold."""
-    use = use.withColumn("model", F.explode(F.array(*map(F.lit, made))))
-    passed = ["model", "fold", *keys(use), "Date", "regime"]
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values([*passed[2:-1]][::-1], kind="stable")
-        train, test = pdf[pdf["role"] == "train"], pdf[pdf["role"] == "test"]
-        x, y = train[features].to_numpy(), train["y"].to_numpy()
-        if len(train) == 0 or not np.isfinite(x).all() or not np.isfinite(y).all():
-            raise ValueError("no or not finite training rows")
-        model = made[pdf["model"].iloc[0]].fit(x, y)
-        inside = float(np.abs(model.predict(x) - y).mean())
-        out = test[passed].assign(y_true=test["y"], y_pred=model.predict(test[features].to_numpy()), train_mae_diagnostic_only=inside)
-        if not np.isfinite(out["y_pred"]).all():
-            raise ValueError("a prediction is not finite")
-        return out
-
-    types = {**dict(use.dtypes), "model": "string"}
-    schema = ", ".join([f"`{c}` {types[c]}" for c in passed] + ["y_true double", "y_pred double", "train_mae_diagnostic_only double"])
-    return use.groupBy("model", "fold").applyInPandas(run, schema)
