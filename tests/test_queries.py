@@ -6,8 +6,8 @@ from conftest import same_rows
 from tidewind import oracle, queries
 
 ORACLE = oracle.oracle_sql()
-#: Queries without SQL: content hashes, an offline source, and trained models.
-BEYOND_SQL = {"frame_fingerprint", "table_hashes", "market_source", "trained_model_ranking", "model_lightgbm", "model_random_forest", "model_adaboost", "model_xgboost"}
+#: Queries without SQL: content hashes and trained models.
+BEYOND_SQL = {"frame_fingerprint", "table_hashes", "trained_model_ranking", "model_lightgbm", "model_random_forest", "model_adaboost", "model_xgboost"}
 
 
 def test_every_query_is_accounted_for():

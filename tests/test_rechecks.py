@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from tidewind.operators import quality
 from tidewind.operators.features import canonical, prepared
-from tidewind.sources.bars import flatten_names, lineitem_bars, read_csv, write_bars_csv
+from tidewind.sources.bars import flatten_names, lineitem_bars, provider_bars, read_csv, write_bars_csv
 
 
 @pytest.fixture(scope="module")
@@ -52,3 +52,32 @@ def test_round_trip_sees_changed_missing_and_renamed(spark, bars, tmp_path):
 
 def test_a_two_level_header_keeps_the_fields():
     assert flatten_names([("Open", "T"), ("Close", "T")]) == ["Open", "Close"]
+
+
+def test_provider_answers_for_a_ticker_and_dates(spark, sf_dir):
+    path = f"{sf_dir}/lineitem.parquet"
+    net, gross = (provider_bars(spark, path, 1, "1996-01-01", "1997-01-01", auto_adjust=a) for a in (True, False))
+    both = net.join(gross.toDF("Date", *[f"g{c}" for c in gross.columns[1:]]), "Date").collect()
+    assert both and all(r["Low"] <= r["gLow"] and r["High"] <= r["gHigh"] and r["Volume"] == r["gVolume"] and r["Date"].year == 1996 for r in both)
+    assert any(r["Close"] < r["gClose"] for r in both)
+    with pytest.raises(ValueError, match="no rows"):
+        provider_bars(spark, path, 1, "1950-01-01", "1951-01-01")
+
+
+def test_dictionary_profile_tells_what_is_amiss(spark):
+    dictionary = spark.createDataFrame([("a", "double", "x"), ("b", "string", " "), ("gone", "date", "x")], "column string, dtype string, unit string")
+    rows = spark.createDataFrame([(1.0, 2, None), (None, 3, "z")], "a double, b int, `c.d` string")
+    got = {r["column"]: tuple(r)[1:] for r in quality.dictionary_profile(dictionary, rows).collect()}
+    assert got == {"a": (1, 0, True, 2, 1), "b": (1, 1, False, 2, 0), "c.d": (0, 0, False, 2, 1), "gone": (1, 0, False, None, None)}
+    none = {r["column"]: r["n_rows"] for r in quality.dictionary_profile(dictionary, rows.limit(0)).collect()}
+    assert none == {"a": 0, "b": 0, "c.d": 0, "gone": None}
+
+
+def test_provenance_digest_ignores_order_and_sees_changes(spark, sf_dir):
+    b = lineitem_bars(spark, sf_dir).limit(200).cache()
+    one = quality.provenance_record(b).first()
+    assert quality.provenance_record(b.repartition(7)).first() == one and one["columns"] == "Date,Open,High,Low,Close,Volume"
+    other = quality.provenance_record(b.withColumn("Close", F.col("Close") + 0.01)).first()
+    assert other["digest"] != one["digest"] and other["n_rows"] == one["n_rows"]
+    assert quality.provenance_record(b.limit(0)).first()["n_rows"] == 0
+    b.unpersist()

@@ -261,12 +261,32 @@ def data_dictionary(spark: SparkSession, cfg: Config = Config()) -> DataFrame:
     return spark.createDataFrame(rows, DICTIONARY)
 
 
-def dictionary_coverage(dictionary: DataFrame, names: list[str]) -> DataFrame:
-    """Canonical columns without an entry and entries with a blank field."""
-    wanted = dictionary.sparkSession.createDataFrame([(c,) for c in names], "column string")
-    missing = wanted.join(dictionary, "column", "left_anti").agg(F.count("*").alias("n_missing"))
+def dictionary_profile(dictionary: DataFrame, rows: DataFrame) -> DataFrame:
+    """The dictionary against a stored table: for each column of either its entries, their blank fields, whether the types agree, rows and missing values.
+
+    A column that only the dictionary has has null rows.
+    """
+    counts = rows.agg(F.count("*").alias("n_rows"), *[F.count(F.col(f"`{c}`")).alias(f"_n{i}") for i, c in enumerate(rows.columns)])
+    each = [F.struct(F.lit(c).alias("column"), F.lit(t).alias("_stored"), (F.col("n_rows") - F.col(f"_n{i}")).alias("n_missing")) for i, (c, t) in enumerate(rows.dtypes)]
     blank = any_true([F.coalesce(F.trim(c), F.lit("")) == "" for c in dictionary.columns])
-    return missing.crossJoin(dictionary.agg(F.count("*").alias("n_entries"), F.count_if(blank).alias("n_blank")))  # one row each
+    entries = dictionary.groupBy("column").agg(F.count("*").alias("n_entries"), F.count_if(blank).alias("n_blank"), F.max("dtype").alias("_said"))
+    both = counts.select("n_rows", F.inline(F.array(*each))).join(entries, "column", "full")
+    agrees = F.coalesce(F.col("_stored") == F.col("_said"), F.lit(False)).alias("type_agrees")
+    return both.select("column", *[F.coalesce(c, F.lit(0).cast("long")).alias(c) for c in ("n_entries", "n_blank")], agrees, "n_rows", "n_missing")
+
+
+def provenance_record(bars: DataFrame) -> DataFrame:
+    """Rows, first and last date, columns and a digest of raw bars.
+
+    The digest is the same in any order of rows: it takes the sum of 60 bits of each
+    row's MD5, prices in millionths.
+    """
+    numbers = [F.col(c) for c in bars.columns if c != "Date"]
+    text = F.concat_ws("|", F.col("Date").cast("string"), *[F.coalesce(F.round(c * 1_000_000).cast("long").cast("string"), F.lit("")) for c in numbers])
+    part = F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("decimal(38,0)")
+    one = bars.agg(F.count("*").alias("n_rows"), F.min("Date").alias("first_date"), F.max("Date").alias("last_date"), F.sum(part).alias("_sum"))
+    digest = F.sha2(F.concat_ws("|", F.col("n_rows").cast("string"), F.coalesce(F.col("_sum").cast("string"), F.lit("0"))), 256)
+    return one.select("n_rows", "first_date", "last_date", F.lit(",".join(bars.columns)).alias("columns"), digest.alias("digest"))
 
 
 def fingerprint(rows: DataFrame) -> DataFrame:

@@ -22,12 +22,12 @@ def per(names: tuple[str, ...], sql: str, sep: str = " UNION ALL ") -> str:
     return sep.join(sql.format(c=c) for c in names)
 
 
-def bars(symbol: str = "") -> str:
+def bars(symbol: str = "", price: str = "l_extendedprice / l_quantity", where: str = "l_quantity <> 0") -> str:
     s, by = (f"{symbol}::VARCHAR AS symbol, ", "1, 2") if symbol else ("", "1")
     return f"""SELECT {s}l_shipdate::DATE AS "Date", arg_min(px, o) AS "Open", max(px) AS "High", min(px) AS "Low",
       arg_max(px, o) AS "Close", sum(l_quantity) AS "Volume"
-    FROM (SELECT *, l_extendedprice / l_quantity AS px,
-        row(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS o FROM lineitem WHERE l_quantity <> 0)
+    FROM (SELECT *, {price} AS px,
+        row(l_orderkey, l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity) AS o FROM lineitem WHERE {where})
     GROUP BY {by}"""
 
 
@@ -263,7 +263,6 @@ EXTRA = {
     "duplicate_dates": 'SELECT o_orderdate::DATE AS "Date", count(*) AS n FROM orders GROUP BY 1 HAVING count(*) > 1',
     "monotonic_check": """SELECT symbol, count(*) AS n_rows, count(*) FILTER (back) AS n_descending, count(*) FILTER (back) = 0 AS ascending FROM (
       SELECT o_orderstatus AS symbol, lag(o_orderdate::DATE) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) > o_orderdate::DATE AS back FROM orders) GROUP BY 1""",
-    "dictionary_coverage": "SELECT 0::BIGINT AS n_missing, 14::BIGINT AS n_entries, 0::BIGINT AS n_blank",
     "event_bars": """SELECT ts::DATE AS "Date", round(arg_min(value, row(ts, event_id)), 9) + 0.0 AS "Open", round(max(value), 9) + 0.0 AS "High", round(min(value), 9) + 0.0 AS "Low",
       round(arg_max(value, row(ts, event_id)), 9) + 0.0 AS "Close", count(*) AS "Volume" FROM events GROUP BY 1""",
     "event_sessions": """SELECT event_type, min(ts) AS start_ts, max(ts) + INTERVAL 5 MINUTE AS end_ts, count(*) AS n_events, round(sum(value), 9) + 0.0 AS total FROM (
@@ -276,6 +275,21 @@ EXTRA["status_names"] = """SELECT o_orderstatus, CASE o_orderstatus WHEN 'F' THE
       FROM orders GROUP BY 1"""
 
 
+ON_COMMON["csv_bars"] = ON_COMMON["daily_bars"]
+
+EXTRA["market_source"] = f"""SELECT "Date", {ROUND_BARS} FROM ({bars(price="l_extendedprice / l_quantity * (1 - l_discount)",
+      where="l_quantity <> 0 AND l_suppkey = 1 AND l_shipdate >= TIMESTAMP '1994-01-01' AND l_shipdate < TIMESTAMP '1998-01-01'")})"""
+
+ON_COMMON["provenance_record"] = """SELECT count(*) AS n_rows, min("Date") AS first_date, max("Date") AS last_date, 'Date,Open,High,Low,Close,Volume' AS columns,
+      sha256(count(*)::VARCHAR || '|' || coalesce(sum(('0x' || substr(md5(line), 1, 15))::UBIGINT), 0)::VARCHAR) AS digest FROM (
+        SELECT "Date", concat_ws('|', "Date"::VARCHAR, """ + ", ".join(f"""coalesce(round("{c}" * 1000000)::BIGINT::VARCHAR, '')""" for c in ("Open", "High", "Low", "Close", "Volume")) + """) AS line FROM bars)"""
+
+#: One entry for each stored column and the type it should have.
+STORED = {"Date": "DATE", **dict.fromkeys((*NAMES, TARGET), "DOUBLE"), "regime": "VARCHAR"}
+ON_COMMON["dictionary_coverage"] = f""", stored AS ({ON_COMMON["canonical_dataset"]}) """ + " UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", 1::BIGINT AS n_entries, 0::BIGINT AS n_blank, coalesce(typeof(any_value("{c}")) = '{t}', false) AS type_agrees,
+      count(*) AS n_rows, count(*) FILTER ("{c}" IS NULL) AS n_missing FROM stored""" for c, t in STORED.items())
+
 #: Features and threshold of each sampled day from bars up to it alone, against those of all bars.
 ON_COMMON["point_in_time_rebuild"] = f""", days AS ({ON_COMMON["sampled_dates"]}), cut AS (SELECT bars.*, days."Date" AS as_of FROM bars JOIN days ON bars."Date" <= days."Date"),
   {feature_tables("cut", "c", "as_of")},

@@ -16,7 +16,7 @@ from tidewind.config import Config, RegimeConfig, feature_names
 from tidewind.functions.exprs import mapped, safe_corr
 from tidewind.operators import errors, evaluate, features, folds, gate, models, quality
 from tidewind.operators.tables import delete_at_exit, shared_folder
-from tidewind.sources.bars import SyntheticMarketSource, lineitem_bars, read_csv, write_bars_csv
+from tidewind.sources.bars import lineitem_bars, provider_bars, read_bars_csv, read_csv, write_bars_csv
 from tidewind.sources.files import file_hashes
 from tidewind.streaming.bars import sessions, windowed_bars
 
@@ -116,9 +116,23 @@ def frame_fingerprint(spark, sf_dir):
 
 @query
 def market_source(spark, sf_dir):
-    """Bars of the offline market-data source."""
-    spark.dataSource.register(SyntheticMarketSource)
-    return spark.read.format("tidewind_market").option("ticker", "TIDE").option("start", "2019-06-01").option("end", "2021-03-01").load()
+    """Adjusted bars of one ticker and a range of dates, from the provider's trades."""
+    return published(provider_bars(spark, f"{sf_dir}/lineitem.parquet", 1, "1994-01-01", "1998-01-01"))
+
+
+@query
+def csv_bars(spark, sf_dir):
+    """Bars written as CSV, scanned again with their schema."""
+    path = f"{shared_folder(spark)}/tidewind-csv-{uuid.uuid4().hex}"
+    write_bars_csv(lineitem_bars(spark, sf_dir), path)
+    delete_at_exit(spark, path)
+    return read_bars_csv(spark, path)
+
+
+@query
+def provenance_record(spark, sf_dir):
+    """What is kept about raw bars: rows, dates, columns and a digest."""
+    return quality.provenance_record(lineitem_bars(spark, sf_dir))
 
 
 # Window features.
@@ -348,7 +362,8 @@ def raw_unchanged(spark, sf_dir):
 
 @query
 def dictionary_coverage(spark, sf_dir):
-    return quality.dictionary_coverage(quality.data_dictionary(spark), features.canonical_columns())
+    """The data dictionary against the canonical rows: entries, blank fields, types and missing values by column."""
+    return quality.dictionary_profile(quality.data_dictionary(spark), canonical(spark, sf_dir))
 
 
 @query

@@ -37,6 +37,21 @@ def lineitem_bars(spark: SparkSession, sf_dir: str, symbol: str | None = None) -
     return bars_from_trades(rows, F.to_date("l_shipdate"), price, F.col("l_quantity"), order, F.col(symbol).cast("string") if symbol else None)
 
 
+def provider_bars(spark: SparkSession, path: str, ticker: int, start: str, end: str, auto_adjust: bool = True) -> DataFrame:
+    """Bars of one ticker (a supplier) from a provider's table of trades, from ``start`` up to but without ``end`` (ISO dates).
+
+    Adjusted prices are net of the trade's discount.  Ticker and dates reach the scan.
+    No rows at all are an error, as an empty answer would be.
+    """
+    at = lambda day: F.lit(day).cast("timestamp_ntz")
+    rows = spark.read.parquet(path).where((F.col("l_suppkey") == ticker) & (F.col("l_shipdate") >= at(start)) & (F.col("l_shipdate") < at(end)) & (F.col("l_quantity") != 0))
+    if rows.isEmpty():
+        raise ValueError(f"no rows for {ticker} from {start} to {end}")
+    order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
+    price = F.col("l_extendedprice") / F.col("l_quantity")
+    return bars_from_trades(rows, F.to_date("l_shipdate"), price * (1 - F.col("l_discount")) if auto_adjust else price, F.col("l_quantity"), order)
+
+
 def read_csv(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """CSV files whose header and rows fit the schema; those that don't are an error."""
     return spark.read.schema(schema).option("header", True).option("enforceSchema", False).option("mode", "FAILFAST").option("nanValue", "NaN").csv(path)
