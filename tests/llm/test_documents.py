@@ -194,6 +194,18 @@ def test_better_documents_are_taken_more_often(spark):
 # Sharding.
 
 
+def test_mixing_weight_sees_repetition_and_symbols_but_not_length(spark, sf_dir):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").join(spark.read.parquet("/root/testdata/sf0.01/labels.parquet"), "doc_id")
+    n = mixing.words(F.col("text"))
+    band = F.when(n <= 50, 0).when(n <= 1000, 1).otherwise(2)
+    rows = docs.groupBy("quality", band.alias("band")).agg(F.avg(mixing.quality_weight(F.col("text"))).alias("w"), F.count("*").alias("n")).collect()
+    good, bad = ([r["w"] for r in rows if r["quality"] == q and r["n"] >= 5] for q in (1, 0))
+    assert len(good) == 3 and min(good) > 0.9 * max(good) and min(good) > 1.4 * max(bad)
+    texts = ["word", "", None, "!!! ???", "a b c d", "a a a a", "a b # $", "a b c d " * 500]
+    got = [r["w"] for r in spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string").orderBy("i").select(mixing.quality_weight(F.col("text")).alias("w")).collect()]
+    assert got[:6] == [1.0, 0.1, 0.1, 0.1, 1.0, 0.1] and got[6] == 0.5 and 0.1 <= got[7] < 0.2
+
+
 def test_hypergeometric_moments():
     rng = random.Random(3)
     got = [sharding.hypergeometric(rng, 300, 700, 100) for _ in range(4000)]

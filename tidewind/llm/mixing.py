@@ -26,15 +26,17 @@ def words(text: Column) -> Column:
 
 
 def quality_weight(text: Column) -> Column:
-    """Share of letters among the characters that are not white space, times the share of distinct words; at least 0.1.
+    """Share of letters among the characters that are not white space, times the square of log distinct words by log words; at least 0.1.
 
-    Symbols, markup and repetition lower it: of the labelled documents of the test
-    tables the good ones have about twice the mean weight of the others.
+    Symbols, markup and repetition lower it, length hardly does: distinct words grow
+    like a power of all words (Herdan 1960), whose exponent is that of a text of any
+    length.  A single word counts as one; a text without words has 0.1.
     """
     letters = F.length(F.regexp_replace(text, r"[^\p{L}]+", ""))
     solid = F.length(F.regexp_replace(text, r"[\x20\x09-\x0D]+", ""))
     found = F.regexp_extract_all(text, F.lit(WORD), F.lit(0))
-    share = F.try_divide(letters, solid) * F.try_divide(F.size(F.array_distinct(found)), F.size(found))
+    varied = F.when(F.size(found) > 1, F.log(F.size(F.array_distinct(found))) / F.log(F.size(found))).otherwise(1.0)
+    share = F.try_divide(letters, solid) * varied * varied
     return F.coalesce(F.greatest(share, F.lit(0.1)), F.lit(0.1))
 
 

@@ -17,8 +17,9 @@ OP3 = r"""
 WITH d AS (
   SELECT doc_id, source, coalesce(len(words), 0)::BIGINT AS size,
     coalesce(greatest(length(regexp_replace(text, '[^\p{L}]+', '', 'g')) /
-      nullif(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')), 0) * (len(list_distinct(words)) / nullif(len(words), 0)), 0.1), 0.1) AS weight
-  FROM (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM documents)
+      nullif(length(regexp_replace(text, '[\x20\x09-\x0D]+', '', 'g')), 0) * varied * varied, 0.1), 0.1) AS weight
+  FROM (SELECT *, CASE WHEN len(words) > 1 THEN ln(len(list_distinct(words))) / ln(len(words)) ELSE 1.0::DOUBLE END AS varied
+    FROM (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM documents))
 ), k AS (
   SELECT *, -ln((('0x' || substr(md5(concat_ws('|', '42', coalesce(doc_id::VARCHAR, '-'), size::VARCHAR)), 1, 12))::BIGINT + 0.5::DOUBLE) / 281474976710656.0::DOUBLE) / weight AS key
   FROM d
