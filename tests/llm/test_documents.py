@@ -668,3 +668,13 @@ def test_recall_of_production_bands(spark):
         links += 1
     got = {r["doc_id"]: r for r in paragraphs.repeated_paragraphs(docs_of(spark, texts), run_words=10**6).collect()}
     assert sum(got[2 * i + 1]["class_id"] == 2 * i for i in range(links)) >= 0.97 * links
+
+
+def test_lines_without_a_lost_word_are_not_searched(monkeypatch):
+    lines = [" ".join(f"w{i}x{j}" for j in range(6)) for i in range(1000)]
+    calls, spans = [], paragraphs._spans
+    monkeypatch.setattr(paragraphs, "_spans", lambda mark: calls.append(1) or spans(mark))
+    new, n_links, n_removed = paragraphs.cut_runs("\n".join(lines), [], [], [3, 4], [3, 4], 51)
+    assert (n_links, n_removed) == (1, 1) and len(calls) <= 4  # before: one a line
+    # Words 3 to 54 went: the end of the first line, eight whole lines, the first word of the tenth.
+    assert new.split("\n") == ["w0x0 w0x1 w0x2", lines[9][5:], *lines[10:]]

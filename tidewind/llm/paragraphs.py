@@ -291,12 +291,14 @@ def cut_runs(text: str, linked: list[int], gone_lines: list[int], shared: list[i
         return np.cumsum(steps)[:-1] > 0
 
     lost, drop, rest = mark(gone, gone_lines), set(gone_lines), []
+    n_lost, n_words = np.diff(np.cumsum(np.pad(lost, (1, 0)))[ends]).tolist(), np.diff(ends).tolist()
     for number, line in enumerate(lines):
-        if number in drop:
+        if number in drop or 0 < n_lost[number] == n_words[number]:
             continue
-        words, mine = spans[ends[number] : ends[number + 1]] - line_at[number], lost[ends[number] : ends[number + 1]]
-        if len(words) and mine.all():
+        if not n_lost[number]:
+            rest.append(line)
             continue
+        words, mine = spans[ends[number] : ends[number + 1]] - line_at[number], lost[ends[number] : ends[number + 1]]
         for first, end in reversed(_spans(mine)):
             low, high = (words[first][0], words[end][0]) if end < len(words) else (words[first - 1][1], words[end - 1][1])
             line = line[:low] + line[high:]
@@ -330,12 +332,15 @@ def _run_fates(each: DataFrame, order: DataFrame, copies: DataFrame, files: int)
     """
     owner = each.groupBy(*RUN).agg(F.min("ord").alias("keep"), F.max("ord").alias("last"), F.count("*").alias("n"))
     owner = materialize(owner.where("keep <> last").select(*RUN, "n", "keep"), files)
-    gone = F.col("keep") != F.col("ord")
-    single = attach(each, owner, RUN, "n", each.count()).where("keep is not null").groupBy("ord").agg(
-        F.collect_list("at").alias("shared"),
-        F.collect_list(F.when(gone, F.col("at"))).alias("gone"),
-        F.min("keep").alias("first"),
-        F.collect_set(F.when(gone, F.col("keep"))).alias("ids"),
+    # One list a document: lists of arrays and sets beside each other would be sorted and merged one by one.
+    found = attach(each, owner, RUN, "n", each.count()).where("keep is not null").groupBy("ord").agg(F.collect_list(F.struct("at", "keep")).alias("w"))
+    lost = F.filter("w", lambda w: w["keep"] != F.col("ord"))
+    single = found.select(
+        "ord",
+        F.col("w.at").alias("shared"),
+        F.transform(lost, lambda w: w["at"]).alias("gone"),
+        F.array_min("w.keep").alias("first"),
+        F.array_distinct(F.transform(lost, lambda w: w["keep"])).alias("ids"),
     )
     single = materialize(single, files)
     named = order.select("ord", F.col("of").alias("rk"), "d")
@@ -401,7 +406,8 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 20, width: int = 5, th
 
     # Their shingle sets, read from one document that has the paragraph, and the windows around shared fingerprints.
     wanted = near.join(uniq, near["node"] == uniq["u"]).select(F.col("first.rk").alias("of"), F.struct(F.col("first.line").alias("line"), "u", "root").alias("w"))
-    wanted = wanted.groupBy("of").agg(F.collect_list("w").alias("wanted"))  # at most the paragraphs of a document
+    wanted = wanted.groupBy("of").agg(F.collect_list("w").alias("w"))  # at most the paragraphs of a document
+    wanted = wanted.select("of", *[F.col(f"w.{c}").alias(f"{c}s") for c in ("line", "u", "root")])
     wanted = wanted.join(prints.select("of", "prints", "ord"), "of", "full")
     size = min(ANCHOR, run_words)
 
@@ -409,19 +415,22 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 20, width: int = 5, th
         for pdf in batches:
             for part in chunks(pdf):
                 sets, windows = [], []
-                for text, wanted_lines, shared, number in part.itertuples(index=False):
-                    raw = text.encode("utf-8", "surrogatepass").lower()
-                    spans = word_spans(raw)
-                    hashes = word_hashes(raw, spans)
-                    if wanted_lines is not None:
-                        shingles = rolling(hashes, width)
-                        line_at = np.concatenate([[0], np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 10) + 1, [len(raw) + 1]])
-                        ends = np.searchsorted(spans[:, 0], line_at)
-                        for w in wanted_lines:
-                            low, high = ends[w["line"]], ends[w["line"] + 1]
-                            sets.append((w["root"], w["u"], np.unique(shingles[low : high - width + 1]).view(np.int64)))
+                # The texts' words are one stream; only its windows that lie inside a text are looked at.
+                texts = [t.encode("utf-8", "surrogatepass").lower() for t in part["text"]]
+                raw = b"\n".join(texts)
+                spans = word_spans(raw)
+                stream = word_hashes(raw, spans)
+                shingles = rolling(stream, width)
+                line_at = np.concatenate([[0], np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 10) + 1, [len(raw) + 1]])
+                ends = np.searchsorted(spans[:, 0], line_at)
+                text_at = np.searchsorted(line_at, np.cumsum([0, *(len(t) + 1 for t in texts)]))
+                for lines, us, roots, shared, number, first, last in zip(*(part[c] for c in ("lines", "us", "roots", "prints", "ord")), text_at[:-1], text_at[1:], strict=True):
+                    if lines is not None:
+                        for root, u, low, high in zip(roots, us, ends[first + lines], ends[first + lines + 1], strict=True):
+                            sets.append((root, u, np.unique(shingles[low : high - width + 1]).view(np.int64)))
                     if shared is not None:
                         # Equal windows have the same least fingerprint.
+                        hashes = stream[ends[first] : ends[last]]
                         least = _slide(np.minimum, rolling(hashes, size), run_words - size + 1)
                         at = np.flatnonzero(np.isin(least.view(np.int64), shared))
                         windows.append((number, at, rolling(hashes, run_words).view(np.int64)[at], rolling(_mixed(hashes), run_words, 1).view(np.int64)[at]))
@@ -434,7 +443,7 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 20, width: int = 5, th
                     made = made.assign(root=None, u=None, set=None).astype({"root": "Int64", "u": "Int64"})
                     yield made[["root", "u", "set", "ord", "at", *RUN]]
 
-    payload = source.join(wanted, F.col("rk") == F.col("of")).select("rk", "text", "wanted", "prints", F.coalesce("ord", F.lit(-1)).alias("ord")).dropDuplicates(["rk"]).drop("rk")
+    payload = source.join(wanted, F.col("rk") == F.col("of")).select("rk", "text", "lines", "us", "roots", "prints", F.coalesce("ord", F.lit(-1)).alias("ord")).dropDuplicates(["rk"]).drop("rk")
     payload = materialize(payload.mapInPandas(tidy(cut), "root long, u long, set array<long>, ord long, at int, run long, check long"), 2 * files)
     runs = _run_fates(payload.where("ord is not null").select("ord", "at", *RUN), prints.select("ord", "of", "d"), copies, files)
     discard(prints, near)
