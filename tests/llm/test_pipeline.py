@@ -86,3 +86,21 @@ def test_stages_take_nulls_and_no_rows(spark):
             assert out.count() <= 2 * table.count(), name
             if name != "bpe_ids":
                 assert out.columns == table.columns
+
+
+def test_passages_are_cut_once_a_row(spark, docs):
+    """The stage filters by the text that Python has cut; Spark must not call it again for the filter."""
+    cut = cp.repeated_passages(spark, docs, "/root/testdata/sf0.001")
+    plan = cut._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+
+
+def test_training_gives_its_room_back(spark, monkeypatch):
+    """The driver keeps nothing of the sample beside the later stages."""
+    from tidewind.llm import quality
+
+    done = []
+    monkeypatch.setattr(quality, "trim", lambda: done.append(1))
+    texts = [(i, " ".join(f"{'ab'[i % 2]}{i}{j}" for j in range(60)), i % 2) for i in range(40)]
+    rows = spark.createDataFrame(texts, "doc_id long, text string, quality int")
+    assert quality.train(rows, rows)["weights"] is not None and done == [1]

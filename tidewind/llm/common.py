@@ -93,6 +93,14 @@ def tasks(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
+def trim() -> None:
+    """Return to the system what the allocators hold of freed objects."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # another C library
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def tidy(run: Callable) -> Callable:
     """``run`` over batches, returning to the system what the allocators still hold at its end.
 
@@ -103,10 +111,7 @@ def tidy(run: Callable) -> Callable:
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            with contextlib.suppress(OSError, AttributeError):  # another C library
-                ctypes.CDLL("libc.so.6").malloc_trim(0)
+            trim()
 
     return wrapped
 

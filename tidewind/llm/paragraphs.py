@@ -484,9 +484,9 @@ def repeated_paragraphs(docs: DataFrame, min_words: int = 20, width: int = 5, th
         return pd.DataFrame(rows, columns=["text", "n_links", "n_removed"]).astype({"n_links": "Int64", "n_removed": "Int64"})
 
     out = docs.drop("class_id", "n_links", "n_removed", "source_doc_ids").withColumn("_tw_rk", key).join(per_doc, "_tw_rk", "left")
-    # Only texts with repeated runs are read in Python.
+    # Only texts with repeated runs are read in Python; a filter of the caller's must not have them read again.
     lists = (F.when(F.col("_tw_shared").isNotNull(), F.col(c)) for c in ("text", "_tw_linked", "_tw_gone", "_tw_shared", "_tw_runs"))
-    out = out.withColumn("_tw_cut", without(*lists))
+    out = out.withColumn("_tw_cut", without.asNondeterministic()(*lists))
     rest = F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains(F.col("_tw_gone"), i))
     rest = F.when(F.size("_tw_gone") > 0, F.array_join(rest, "\n")).otherwise(F.col("text"))
     out = out.withColumn("text", F.coalesce("_tw_cut.text", rest))

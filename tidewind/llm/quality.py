@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewind.llm import ngram_lr
-from tidewind.llm.common import bounded, tidy
+from tidewind.llm.common import bounded, tidy, trim
 from tidewind.llm.langid import hash_share
 
 SYMBOLS = "#*$%&|<>"
@@ -84,6 +84,9 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = 2400) -> dict:
     weights, bias = ngram_lr.fit([features[i] for i in np.flatnonzero(~test)], y[~test])
     raw = np.array([bias + float(weights[features[i][0]] @ features[i][1]) for i in np.flatnonzero(test)])
     a, b = ngram_lr.calibrate(raw, y[test])
+    # The driver outlives the sample; else it would keep the room of it beside all later stages.
+    del got, features
+    trim()
     return {"weights": weights, "bias": bias, "a": a, "b": b}
 
 
