@@ -134,3 +134,44 @@ def test_point_in_time_finds_a_planted_leak(spark, sf_dir):
     found = {name: gate.point_in_time(b, days, published=table).collect() for name, table in (("sound", sound), ("leak", ahead))}
     assert len(found["sound"]) == 12 and not any(r["n_features_changed"] or r["regime_changed"] for r in found["sound"])
     assert all(r["n_features_changed"] == 1 for r in found["leak"])
+
+
+def test_trailing_statistics_are_those_of_the_frames(spark):
+    import random
+
+    draw = random.Random(3)
+    start, rows = date(2001, 3, 4), []
+    for symbol, level in (("a", 1.0), ("b", 1e6), ("c", 0.0), ("d", 0.1), ("e", 1.0)):
+        for i in sorted(draw.sample(range(400), 150)):
+            v = draw.gauss(level, 1) if symbol in "ab" else level
+            if symbol == "e":
+                v = draw.choices([None, float("nan"), float("inf"), draw.random()], [1, 1, 1, 30])[0]
+            rows.append((symbol, start + timedelta(days=i), v, draw.random()))
+    df = spark.createDataFrame(rows, "symbol string, Date date, v double, u double").repartition(4)
+    w, n_values = features.by_date(df), 0
+    for windows in ((5, 10, 20, 60), (3, 7), (2, 3, 12), (1, 4), (11,)):
+        wanted = {f"{kind}_{c}_{n}": (kind, c, n) for kind in ("mean", "stddev") for c in ("v", "u") for n in windows}
+        frames = {n: w.rowsBetween(1 - n, 0) for n in windows}
+        plain = {"mean": F.avg, "stddev": F.stddev_samp}
+        want = df.select("*", *[F.when(F.count(c).over(frames[n]) == n, plain[k](c).over(frames[n])).alias(name) for name, (k, c, n) in wanted.items()])
+        got = features.with_trailing(df, wanted)
+        assert got.columns == want.columns
+        key = lambda r: (r["symbol"], r["Date"])
+        for a, b in zip(sorted(got.collect(), key=key), sorted(want.collect(), key=key), strict=True):
+            for name in wanted:
+                assert (a[name] is None) == (b[name] is None), name
+                assert b[name] is None or a[name] == pytest.approx(b[name], rel=1e-9, abs=1e-12, nan_ok=True), name
+                n_values += b[name] is not None
+            if a["symbol"] in "cd":  # one value throughout has no spread at all, not even a rounding error
+                assert all(a[name] in (None, 0.0) for name, (k, c, _) in wanted.items() if k == "stddev" and c == "v")
+    assert n_values > 20_000
+
+
+def test_features_look_back_without_summing_whole_frames(spark, sf_dir):
+    """No frame slides, each lag is made once, and a row has fewer of them than the longest window has rows."""
+    import re
+
+    df = features.with_features(lineitem_bars(spark, sf_dir, "l_suppkey"))
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    frames = re.findall(r"specifiedwindowframe\(RowFrame, (\S+), (\S+?)\)", plan)
+    assert 0 < len(frames) < 60 and all(low == high for low, high in frames)

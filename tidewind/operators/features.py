@@ -6,6 +6,10 @@ partitioned by it and symbols are independent.
 
 from __future__ import annotations
 
+import math
+import operator
+from functools import reduce
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window, WindowSpec
@@ -22,41 +26,70 @@ def by_date(df: DataFrame) -> WindowSpec:
     return Window.partitionBy(*keys(df)).orderBy("Date")
 
 
-def trailing(w: WindowSpec, n: int) -> WindowSpec:
-    return w.rowsBetween(-(n - 1), 0)
-
-
 def past_return(w: WindowSpec, n: int) -> Column:
     """Close over the close n rows before, less one; null in the first n rows."""
     return F.try_divide(F.col("Close"), F.lag("Close", n).over(w)) - 1
 
 
-def full_window(value: Column, agg: Column, w: WindowSpec, n: int) -> Column:
-    """An aggregate over the last n rows, null unless all n have a value."""
-    return F.when(F.count(value).over(trailing(w, n)) == n, agg)
-
-
 def with_returns(bars: DataFrame, cfg: Config = Config()) -> DataFrame:
     w = by_date(bars)
     return bars.withColumns({f"return_{n}d": past_return(w, n) for n in (1, *cfg.features.return_windows)})
 
 
-def volatility(w: WindowSpec, n: int, per_year: int | None) -> Column:
-    r = F.col("return_1d")
-    std = F.stddev_samp(r).over(trailing(w, n))
-    return full_window(r, std * F.sqrt(F.lit(float(per_year))) if per_year else std, w, n)
+def with_trailing(rows: DataFrame, wanted: dict[str, tuple[str, str, int]]) -> DataFrame:
+    """Adds for each name the ``mean`` or ``stddev`` of a column's last n rows, null unless all n have a value.
+
+    A frame that slides is summed anew at every row, so its cost is rows times n.  Here
+    each row sums a short block that ends with it, and the statistics of n rows are put
+    together from the blocks that lie n, n - step, ... rows back: a few lags a row.  Only
+    the frame's own values go into a result, no running sum that would carry errors on.
+    """
+    w, longest = by_date(rows), max(n for _, _, n in wanted.values())
+    common = math.gcd(*[n for _, _, n in wanted.values()])
+    step = min((d for d in range(1, common + 1) if common % d == 0), key=lambda d: d + longest // d)
+    sizes = {kind: {c: max(n for k, d, n in wanted.values() if (k, d) == (kind, c)) for k, c, _ in wanted.values() if k == kind} for kind in ("mean", "stddev")}
+    total = lambda xs: reduce(operator.add, xs)
+
+    def lags(of: dict[str, int], by: int) -> dict[str, Column]:
+        """The columns ``by``, 2 * ``by``, ... rows back, each once, for frames of so many rows."""
+        return {f"_{c}_{i}": F.lag(c, i).over(w) for c, n in of.items() for i in range(by, n, by)}
+
+    def back(c: str, n: int, by: int) -> list[Column]:
+        return [F.col(f"_{c}_{i}" if i else c) for i in range(0, n, by)]
+
+    def centre(xs: list[Column]) -> Column:
+        """The mean by differences from the first, which is that value if all are alike."""
+        return xs[0] + total([x - xs[0] for x in xs[1:]]) / len(xs) if len(xs) > 1 else xs[0]
+
+    def squares(xs: list[Column], middle: Column) -> Column:
+        return total([(x - middle) * (x - middle) for x in xs])
+
+    blocks = rows.withColumns(lags(dict.fromkeys([*sizes["mean"], *sizes["stddev"]], step), 1))
+    made = {f"sum_{c}": total(back(c, step, 1)) for c in sizes["mean"]} | {f"centre_{c}": centre(back(c, step, 1)) for c in sizes["stddev"]}
+    blocks = blocks.withColumns(made).withColumns({f"squares_{c}": squares(back(c, step, 1), F.col(f"centre_{c}")) for c in sizes["stddev"]})
+    of = {f"{part}_{c}": n for kind, parts in (("mean", ["sum"]), ("stddev", ["centre", "squares"])) for c, n in sizes[kind].items() for part in parts}
+    blocks = blocks.withColumns(lags(of, step))
+    blocks = blocks.withColumns({f"_all_{c}_{n}": centre(back(f"centre_{c}", n, step)) for k, c, n in wanted.values() if k == "stddev"})
+    found = {}
+    for name, (kind, c, n) in wanted.items():
+        if kind == "mean":
+            found[name] = total(back(f"sum_{c}", n, step)) / n
+        else:
+            between = squares(back(f"centre_{c}", n, step), F.col(f"_all_{c}_{n}"))
+            found[name] = F.sqrt(F.try_divide(total(back(f"squares_{c}", n, step)) + step * between, F.lit(n - 1)))
+    return blocks.select(*rows.columns, *[column.alias(name) for name, column in found.items()])
 
 
 def with_features(bars: DataFrame, cfg: Config = Config()) -> DataFrame:
     """Bars plus the eleven features; one sort by symbol and date serves all windows."""
-    f, w = cfg.features, by_date(bars)
-    rows = with_returns(bars, cfg)
-    made = {f"volatility_{n}d": volatility(w, n, f.days_per_year) for n in f.volatility_windows}
-    for n in f.trend_windows:
-        made[f"trend_{n}d"] = full_window(F.col("Close"), F.try_divide(F.col("Close"), F.avg("Close").over(trailing(w, n))) - 1, w, n)
-    n = f.volume_window
-    made[f"volume_ratio_{n}d"] = full_window(F.col("Volume"), F.try_divide(F.col("Volume"), F.avg("Volume").over(trailing(w, n))), w, n)
-    return rows.withColumns(made)
+    f = cfg.features
+    spread = {f"volatility_{n}d": ("stddev", "return_1d", n) for n in f.volatility_windows}
+    level = {f"trend_{n}d": ("mean", "Close", n) for n in f.trend_windows}
+    volume = {f"volume_ratio_{f.volume_window}d": ("mean", "Volume", f.volume_window)}
+    rows = with_trailing(with_returns(bars, cfg), spread | level | volume)
+    made = {name: F.col(name) * F.sqrt(F.lit(float(f.days_per_year))) for name in spread}
+    made |= {name: F.try_divide(F.col("Close"), F.col(name)) - 1 for name in level}
+    return rows.withColumns(made | {name: F.try_divide(F.col("Volume"), F.col(name)) for name in volume})
 
 
 def with_target(rows: DataFrame, cfg: Config = Config()) -> DataFrame:

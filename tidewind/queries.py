@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewind.config import Config, RegimeConfig, feature_names
-from tidewind.functions.exprs import mapped, safe_corr
+from tidewind.functions.exprs import mapped, rounded, safe_corr
 from tidewind.operators import errors, evaluate, features, folds, gate, models, quality
 from tidewind.operators.tables import delete_at_exit, shared_folder
 from tidewind.sources.bars import lineitem_bars, provider_bars, read_bars_csv, read_csv, write_bars_csv
@@ -30,7 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 def published(df: DataFrame) -> DataFrame:
     """Doubles with nine decimals and without a negative zero."""
-    return df.select(*[(F.round(c, 9) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+    return df.select(*[(rounded(F.col(c)) + 0.0).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
 
 
 def query(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
@@ -162,8 +162,8 @@ def volatility_features(spark, sf_dir):
 def volatility_raw(spark, sf_dir):
     """Not annualized."""
     b = features.with_returns(lineitem_bars(spark, sf_dir))
-    w = features.by_date(b)
-    return b.select("Date", *[features.volatility(w, n, None).alias(f"Vol{n}") for n in (5, 10, 20)])
+    made = {f"Vol{n}": ("stddev", "return_1d", n) for n in (5, 10, 20)}
+    return features.with_trailing(b, made).select("Date", *made)
 
 
 @query
